@@ -23,57 +23,103 @@ def _moisture(ffmc) -> Column:
     return F.lit(147.2) * (F.lit(101.0) - f) / (F.lit(59.5) + f)
 
 
-def ffmc(previous, temp, rh, wind, rain) -> Column:
-    """Today's fine fuel moisture code from yesterday's."""
+def let(value: Column, use) -> Column:
+    """Bind ``value`` once and use it several times inside an interpreted fold."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def ffmc_terms(temp, rh, wind, rain) -> dict[str, Column]:
+    """The parts of the FFMC update that do not depend on yesterday's code."""
     t, h, w, r = dbl(temp), dbl(rh), dbl(wind), dbl(rain)
-    m0 = _moisture(previous)
     rf = F.greatest(r - 0.5, F.lit(1e-12))
-    wetted = m0 + 42.5 * rf * F.exp(-100.0 / (251.0 - m0)) * (1.0 - F.exp(-6.93 / rf))
-    soaked = F.when(m0 > 150.0, 0.0015 * F.pow(m0 - 150.0, F.lit(2.0)) * F.sqrt(rf)).otherwise(0.0)
-    m = F.when(r > 0.5, F.least(wetted + soaked, F.lit(250.0))).otherwise(m0)
+    rained = r > 0.5
     heat = 0.18 * (21.1 - t) * (1.0 - F.exp(-0.115 * h))
     steam = F.exp((h - 100.0) / 10.0)
-    dry_eq = 0.942 * F.pow(h, F.lit(0.679)) + 11.0 * steam + heat
-    wet_eq = 0.618 * F.pow(h, F.lit(0.753)) + 10.0 * steam + heat
 
-    def rate(x: Column) -> Column:
+    def kept(x: Column) -> Column:
         base = 0.424 * (1.0 - F.pow(x, F.lit(1.7))) + 0.0694 * F.sqrt(w) * (1.0 - F.pow(x, F.lit(8.0)))
-        return base * 0.581 * F.exp(0.0365 * t)
+        return F.pow(F.lit(10.0), -(base * 0.581 * F.exp(0.0365 * t)))
 
-    dried = dry_eq + (m - dry_eq) * F.pow(F.lit(10.0), -rate(h / 100.0))
-    wet = wet_eq - (wet_eq - m) * F.pow(F.lit(10.0), -rate((100.0 - h) / 100.0))
-    end = F.when(m > dry_eq, dried).when(m < wet_eq, wet).otherwise(m)
-    return 59.5 * (250.0 - end) / (147.2 + end)
+    return {
+        "wet_gain": F.when(rained, 42.5 * rf * (1.0 - F.exp(-6.93 / rf))),
+        "soak_gain": F.when(rained, 0.0015 * F.sqrt(rf)),
+        "dry_eq": 0.942 * F.pow(h, F.lit(0.679)) + 11.0 * steam + heat,
+        "dry_kept": kept(h / 100.0),
+        "wet_eq": 0.618 * F.pow(h, F.lit(0.753)) + 10.0 * steam + heat,
+        "wet_kept": kept((100.0 - h) / 100.0),
+    }
 
 
-def dmc(previous, temp, rh, rain, month) -> Column:
-    """Today's duff moisture code from yesterday's."""
-    p, t, h, r = dbl(previous), dbl(temp), dbl(rh), dbl(rain)
+def ffmc_next(previous: Column, k) -> Column:
+    """FFMC update from yesterday's code and the day's terms ``k``."""
+
+    def rained(m0: Column) -> Column:
+        over = F.when(m0 > 150.0, m0 - 150.0).otherwise(0.0)
+        wetted = m0 + k["wet_gain"] * F.exp(-100.0 / (251.0 - m0)) + k["soak_gain"] * over * over
+        return F.when(k["wet_gain"].isNotNull(), F.least(wetted, F.lit(250.0))).otherwise(m0)
+
+    def settled(m: Column) -> Column:
+        return (
+            F.when(m > k["dry_eq"], k["dry_eq"] + (m - k["dry_eq"]) * k["dry_kept"])
+            .when(m < k["wet_eq"], k["wet_eq"] - (k["wet_eq"] - m) * k["wet_kept"])
+            .otherwise(m)
+        )
+
+    return let(let(let(_moisture(previous), rained), settled), lambda m: 59.5 * (250.0 - m) / (147.2 + m))
+
+
+def dmc_terms(temp, rh, rain, month) -> dict[str, Column]:
+    t, h, r = dbl(temp), dbl(rh), dbl(rain)
+    drying = 1.894 * (t + 1.1) * (100.0 - h) * _by_month(DMC_DAY_LENGTH, month) * 1e-6
+    return {
+        "duff_rain": F.when(r > 1.5, 0.92 * r - 1.27),
+        "duff_drying": F.when(t > -1.1, 100.0 * drying).otherwise(0.0),
+    }
+
+
+def dmc_next(previous: Column, k) -> Column:
+    p = previous
     log_p = F.log(F.greatest(p, F.lit(1e-12)))
     slope = (
         F.when(p <= 33.0, 100.0 / (0.5 + 0.3 * p))
         .when(p <= 65.0, 14.0 - 1.3 * log_p)
         .otherwise(6.2 * log_p - 17.2)
     )
-    eff = 0.92 * r - 1.27
-    wet = 20.0 + F.exp(5.6348 - p / 43.43) + 1000.0 * eff / (48.77 + slope * eff)
-    rained = F.greatest(F.lit(0.0), 43.43 * (5.6348 - F.log(F.greatest(wet - 20.0, F.lit(1e-12)))))
-    start = F.when(r > 1.5, rained).otherwise(p)
-    drying = F.when(
-        t > -1.1, 1.894 * (t + 1.1) * (100.0 - h) * _by_month(DMC_DAY_LENGTH, month) * 1e-6
-    ).otherwise(0.0)
-    return start + 100.0 * drying
+    eff = k["duff_rain"]
+    wet = F.exp(5.6348 - p / 43.43) + 1000.0 * eff / (48.77 + slope * eff)
+    rained = F.greatest(F.lit(0.0), 43.43 * (5.6348 - F.log(F.greatest(wet, F.lit(1e-12)))))
+    return F.when(eff.isNotNull(), rained).otherwise(p) + k["duff_drying"]
 
 
-def dc(previous, temp, rain, month) -> Column:
-    """Today's drought code from yesterday's."""
-    d, t, r = dbl(previous), dbl(temp), dbl(rain)
-    recharge = 800.0 * F.exp(-d / 400.0) + 3.937 * (0.83 * r - 1.27)
-    rained = F.greatest(F.lit(0.0), 400.0 * F.log(800.0 / F.greatest(recharge, F.lit(1e-12))))
-    start = F.when(r > 2.8, rained).otherwise(d)
+def dc_terms(temp, rain, month) -> dict[str, Column]:
+    t, r = dbl(temp), dbl(rain)
     lf = _by_month(DC_DAY_LENGTH, month)
     warm = F.when(t > -2.8, 0.36 * (t + 2.8) + lf).otherwise(lf)
-    return start + 0.5 * F.greatest(F.lit(0.0), warm)
+    return {
+        "deep_rain": F.when(r > 2.8, 3.937 * (0.83 * r - 1.27)),
+        "deep_drying": 0.5 * F.greatest(F.lit(0.0), warm),
+    }
+
+
+def dc_next(previous: Column, k) -> Column:
+    recharge = 800.0 * F.exp(-previous / 400.0) + k["deep_rain"]
+    rained = F.greatest(F.lit(0.0), 400.0 * F.log(800.0 / F.greatest(recharge, F.lit(1e-12))))
+    return F.when(k["deep_rain"].isNotNull(), rained).otherwise(previous) + k["deep_drying"]
+
+
+def ffmc(previous, temp, rh, wind, rain) -> Column:
+    """Today's fine fuel moisture code from yesterday's."""
+    return ffmc_next(dbl(previous), ffmc_terms(temp, rh, wind, rain))
+
+
+def dmc(previous, temp, rh, rain, month) -> Column:
+    """Today's duff moisture code from yesterday's."""
+    return dmc_next(dbl(previous), dmc_terms(temp, rh, rain, month))
+
+
+def dc(previous, temp, rain, month) -> Column:
+    """Today's drought code from yesterday's."""
+    return dc_next(dbl(previous), dc_terms(temp, rain, month))
 
 
 def isi(ffmc_code, wind) -> Column:

@@ -48,7 +48,7 @@ def is_empty(df: DataFrame) -> bool:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimized plan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
@@ -68,3 +68,16 @@ def require_empty(df: DataFrame, message: str) -> None:
 
 def distinct_cells(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys).distinct()
+
+
+def attach_all(big: DataFrame, little: DataFrame, salts: int = 64) -> DataFrame:
+    """Every row of ``big`` with every row of ``little`` (a short list such as a run's hours).
+
+    The list is broadcast after a size check; beyond the limit it is copied to ``salts``
+    groups, so the work stays spread over the cluster.
+    """
+    if estimated_bytes(little) <= BROADCAST_LIMIT_BYTES:
+        l1 = F.broadcast(little.withColumn("_k", F.lit(0)))
+        return big.withColumn("_k", F.lit(0)).join(l1, "_k").drop("_k")
+    l2 = little.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return big.withColumn("_k", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")).join(l2, "_k").drop("_k")

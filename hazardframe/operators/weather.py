@@ -64,31 +64,33 @@ def daily_noon(df: DataFrame, noon_hour: int = 10, keys=STATION) -> DataFrame:
 def daily_codes(df: DataFrame, noon_hour: int = 10, keys=STATION) -> DataFrame:
     """Daily FFMC, DMC and DC carried from day to day; days without a noon row are skipped.
 
-    One ordered fold per station over its noon rows. The carried state stays unrounded,
-    the output has two decimals.
+    The state-free terms of the update are computed per row in generated code; what is left
+    is one short ordered fold per station, bounded by its calendar days. One shuffle by
+    station serves the rain window and the fold. The carried state stays unrounded, the
+    output has two decimals.
     """
-    day = F.struct("day", *[dbl(c).alias(c) for c in ("temp_c", "rh_pct", "ws_kmh", "rain24")])
-    series = daily_noon(df, noon_hour, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(day)).alias("s"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    noon = daily_noon(df.repartition(n, *keys), noon_hour, keys)
+    month = F.month("day")
+    terms = {
+        **fw.ffmc_terms("temp_c", "rh_pct", "ws_kmh", "rain24"),
+        **fw.dmc_terms("temp_c", "rh_pct", "rain24", month),
+        **fw.dc_terms("temp_c", "rain24", month),
+    }
+    noon = noon.select(*keys, F.struct("day", *[c.alias(k) for k, c in terms.items()]).alias("d"))
+    series = noon.groupBy(*keys).agg(F.sort_array(F.collect_list("d")).alias("s"))
 
     def step(acc: Column, d: Column) -> Column:
-        month = F.month(d["day"])
-        state = F.struct(
-            fw.ffmc(acc["f"], d["temp_c"], d["rh_pct"], d["ws_kmh"], d["rain24"]).alias("f"),
-            fw.dmc(acc["p"], d["temp_c"], d["rh_pct"], d["rain24"], month).alias("p"),
-            fw.dc(acc["d"], d["temp_c"], d["rain24"], month).alias("d"),
-        )
-        return F.struct(
-            state["f"].alias("f"), state["p"].alias("p"), state["d"].alias("d"),
-            F.concat(acc["out"], F.array(F.struct(
-                d["day"].alias("day"), state["f"].alias("ffmc"), state["p"].alias("dmc"), state["d"].alias("dc")
-            ))).alias("out"),
-        )
-
-    f0, p0, d0 = fw.START_CODES
-    empty = F.expr("cast(array() as array<struct<day:date,ffmc:double,dmc:double,dc:double>>)")
-    start = F.struct(F.lit(f0).alias("f"), F.lit(p0).alias("p"), F.lit(d0).alias("d"), empty.alias("out"))
-    days = series.select(*keys, F.explode(F.aggregate("s", start, step, lambda a: a["out"])).alias("o"))
-    return days.select(
+        last = F.element_at(acc, -1)
+        return F.concat(acc, F.array(F.struct(
+            d["day"].alias("day"), fw.ffmc_next(last["ffmc"], d).alias("ffmc"),
+            fw.dmc_next(last["dmc"], d).alias("dmc"), fw.dc_next(last["dc"], d).alias("dc"),
+        )))
+
+    f0, p0, d0 = (F.lit(v) for v in fw.START_CODES)
+    start = F.array(F.struct(F.lit(None).cast("date").alias("day"), f0.alias("ffmc"), p0.alias("dmc"), d0.alias("dc")))
+    days = series.select(*keys, F.explode(F.aggregate("s", start, step)).alias("o"))
+    return days.filter("o.day is not null").select(
         *keys, F.col("o.day").alias("day"),
         *[F.round(F.col(f"o.{c}"), 2).alias(c) for c in ("ffmc", "dmc", "dc")],
     )

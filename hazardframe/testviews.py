@@ -66,6 +66,9 @@ FROM (SELECT r, c, (r-48)*(r-48)+(c-44)*(c-44) AS d2 FROM
       (SELECT l_partkey%97 AS r, l_orderkey%89 AS c FROM lineitem) s) t
 WHERE d2<=225 GROUP BY r, c"""
 
+# Every cell of that grid.
+VIEWS["fx_gridcell"] = "SELECT DISTINCT l_partkey%97 AS r, l_orderkey%89 AS c FROM lineitem"
+
 # Hourly weather of many stations (one per supplier), irregular hours.
 VIEWS["fx_weather"] = """
 SELECT station_id, ts,
