@@ -41,7 +41,7 @@ opn AS (SELECT h.period, s.node_id, s.refuge_id, s.d FROM snap s, hours h WHERE
   AND NOT EXISTS (SELECT 1 FROM expo WHERE -expo.settlement_id-1=s.refuge_id AND risk_at<=h.period)),
 seed AS (SELECT period, node_id, refuge_id FROM (SELECT *, row_number() OVER (PARTITION BY period, node_id ORDER BY d, refuge_id) AS n FROM opn) t WHERE n=1),
 lab(period,node,cost,refuge_id,next_hop) USING KEY (period,node) AS (SELECT period, node_id, 0.0::DOUBLE, refuge_id, CAST(NULL AS BIGINT) FROM seed
-  UNION SELECT period, u, m.cost, m.ref, m.nxt FROM (SELECT e.period, e.u, min(struct_pack(cost:=l.cost+e.cost, ref:=l.refuge_id, nxt:=l.node)) AS m FROM lab l JOIN he e ON e.period=l.period AND e.v=l.node GROUP BY 1,2) n
+  UNION SELECT n.period, n.u, m.cost, m.ref, m.nxt FROM (SELECT e.period, e.u, min(struct_pack(cost:=l.cost+e.cost, ref:=l.refuge_id, nxt:=l.node)) AS m FROM lab l JOIN he e ON e.period=l.period AND e.v=l.node GROUP BY 1,2) n
   LEFT JOIN recurring.lab k ON k.period=n.period AND k.node=n.u WHERE k.cost IS NULL OR m.cost<k.cost OR (m.cost=k.cost AND (m.ref<k.refuge_id OR (m.ref=k.refuge_id AND m.nxt<k.next_hop))))"""
 OUTCOME = ROUTE + """,
 atr AS (SELECT h.period, e.settlement_id, coalesce(hit_at<=h.period, FALSE) AS impacted FROM expo e JOIN hours h ON h.period>=e.risk_at),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when the optimizer's own size estimate is at most this.
@@ -42,6 +42,18 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_observed(df: DataFrame, label: str, **metrics) -> tuple[DataFrame, dict]:
+    """``materialise`` that also returns aggregates of the rows, taken while writing them."""
+    seen = Observation()
+    out = materialise(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), label)
+    return out, seen.get
+
+
+def fingerprint(*cols) -> Column:
+    """Order-independent checksum of the rows' columns, to detect that a loop has settled."""
+    return F.sum(F.pmod(F.xxhash64(*cols), F.lit(1_000_000_007)))
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from hazardframe.functions import geo
 from hazardframe.operators.cells import Grid, ever_boundary
-from hazardframe.operators.common import attach_all, is_empty, materialise
+from hazardframe.operators.common import attach_all, materialise, materialise_observed
 from hazardframe.operators.spatial import _bucketed, cell_distance
 
 EDGE = ["u", "v", "key"]
@@ -94,7 +94,7 @@ def _per_period(edges: DataFrame, periods: DataFrame, keys: list[str]) -> DataFr
     return attach_all(edges.select(*EDGE, "length_m"), hours).withColumn("period", F.explode("hours")).drop("hours")
 
 
-def route_all(edges: DataFrame, refuges: DataFrame, keys: list[str], hops: int = 2) -> DataFrame:
+def route_all(edges: DataFrame, refuges: DataFrame, keys: list[str], hops: int = 3) -> DataFrame:
     """Cheapest refuge of every node and hour: one relaxation from all refuges over reversed edges.
 
     ``edges`` has keys, u, v, cost; ``refuges`` has keys, node_id, refuge_id. Labels are
@@ -104,54 +104,63 @@ def route_all(edges: DataFrame, refuges: DataFrame, keys: list[str], hops: int =
     """
     node = [*keys, "node"]
     back = edges.select(*keys, F.col("v").alias("node"), F.col("u").alias("_u"), "cost")
+    ends = back.select(*node).union(edges.select(*keys, F.col("u").alias("node"))).distinct()
+    back = back.unionByName(ends.withColumn("_u", F.col("node")).withColumn("cost", F.lit(0.0)))
     n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    back = materialise(back.repartition(n, *node), "edges")
+    # Kept partitioned by the join key; a lost block is rebuilt from the written table.
+    back = materialise(back, "edges").repartition(n, *node).persist()
     label = F.struct(F.lit(0.0).alias("cost"), F.col("refuge_id").alias("refuge_id"), F.lit(None).cast("long").alias("next_hop"))
     best = refuges.groupBy(*keys, F.col("node_id").alias("node")).agg(F.min(label).alias("lab"))
     best = materialise(best, "labels")
     front = best
 
     def relax(labels: DataFrame) -> DataFrame:
+        """One hop; the zero-cost link to itself keeps a node's own label in the chain."""
         j = labels.join(back, node)
-        cand = F.struct((F.col("lab.cost") + F.col("cost")).alias("cost"), F.col("lab.refuge_id").alias("refuge_id"), F.col("node").alias("next_hop"))
+        own = F.col("_u") == F.col("node")
+        cand = F.struct(
+            (F.col("lab.cost") + F.col("cost")).alias("cost"), F.col("lab.refuge_id").alias("refuge_id"),
+            F.when(own, F.col("lab.next_hop")).otherwise(F.col("node")).alias("next_hop"),
+        )
         return j.select(*keys, F.col("_u").alias("node"), cand.alias("lab")).groupBy(*node).agg(F.min("lab").alias("lab"))
 
     while True:
-        cand = front
-        found = None
+        found = front
         for _ in range(hops):
-            cand = relax(cand)
-            found = cand if found is None else found.unionByName(cand)
-        found = found.groupBy(*node).agg(F.min("lab").alias("new"))
-        both = materialise(best.join(found, node, "full_outer"), "relax")
-        better = F.col("lab").isNull() | (F.col("new") < F.col("lab"))
-        front = both.filter(F.col("new").isNotNull() & better).select(*node, F.col("new").alias("lab"))
-        if is_empty(front):
+            found = relax(found)
+        found = found.withColumnRenamed("lab", "new")
+        better = F.col("new").isNotNull() & (F.col("lab").isNull() | (F.col("new") < F.col("lab")))
+        both, gained = materialise_observed(best.join(found, node, "full_outer"), "relax", n=F.count_if(better))
+        front = both.filter(better).select(*node, F.col("new").alias("lab"))
+        if not gained["n"]:
             break
-        best = both.select(*node, F.when(F.col("new").isNotNull() & better, F.col("new")).otherwise(F.col("lab")).alias("lab"))
+        best = both.select(*node, F.when(better, F.col("new")).otherwise(F.col("lab")).alias("lab"))
+    back.unpersist()
     return best.select(*node, "lab.cost", "lab.refuge_id", "lab.next_hop")
 
 
 def reconstruct(routes: DataFrame, origins: DataFrame, edges: DataFrame, keys: list[str], oid: str = "origin_id") -> DataFrame:
     """Ordered hops from each origin to its refuge, with the shortest parallel length per hop.
 
-    Follows next-hop pointers one hop per round for all origins and hours together.
+    Paths grow by doubling: round k appends the hops 2^k ahead through a jump table that is
+    squared each round, so the number of rounds is the logarithm of the longest path.
     """
-    hop = routes.filter(F.col("next_hop").isNotNull()).select(*keys, "node", "next_hop")
-    length = edges.groupBy(*keys, F.col("u").alias("node"), F.col("v").alias("next_hop")).agg(F.min("length_m").alias("length_m"))
-    hop = materialise(hop.join(length, [*keys, "node", "next_hop"]), "hops")
-    at = origins.select(*keys, oid, "node").withColumn("seq", F.lit(0).cast("long"))
-    parts = []
+    k = [*keys, "node"]
+    hop = materialise(routes.filter(F.col("next_hop").isNotNull()).select(*k, F.col("next_hop").alias("to")), "hops")
+    at = materialise(origins.select(*keys, oid, "node", F.lit(0).cast("long").alias("seq")), "path")
+    jump, reach = hop, 1
     while True:
-        step = materialise(at.join(hop, [*keys, "node"]), "path")
-        if is_empty(step):
+        ahead = at.join(jump, k).select(*keys, oid, F.col("to").alias("node"), (F.col("seq") + reach).alias("seq"))
+        ahead, grown = materialise_observed(ahead, "path", n=F.count(F.lit(1)))
+        if not grown["n"]:
             break
-        parts.append(step)
-        at = step.select(*keys, oid, F.col("next_hop").alias("node"), (F.col("seq") + 1).alias("seq"))
-    out = parts[0] if parts else step
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*keys, oid, "seq", F.col("node").alias("u"), F.col("next_hop").alias("v"), "length_m")
+        at = at.unionByName(ahead)
+        second = jump.select(*keys, F.col("node").alias("to"), F.col("to").alias("to2"))
+        jump = materialise(jump.join(second, [*keys, "to"]).select(*k, F.col("to2").alias("to")), "jump")
+        reach *= 2
+    length = edges.groupBy(*keys, F.col("u").alias("node"), F.col("v").alias("to")).agg(F.min("length_m").alias("length_m"))
+    out = at.join(hop, k).join(length, [*k, "to"])
+    return out.select(*keys, oid, "seq", F.col("node").alias("u"), F.col("to").alias("v"), "length_m")
 
 
 def route_length(path: DataFrame, keys: list[str], oid: str = "origin_id") -> DataFrame:
@@ -176,6 +185,6 @@ def shortest_path(edges: DataFrame, src: int, dst: int) -> DataFrame:
     e = edges.groupBy("u", "v").agg(F.min("length_m").cast("double").alias("cost"), F.min("length_m").alias("length_m")).withColumn("period", F.lit(0))
     e = materialise(e, "single")
     target = spark.range(1).select(F.lit(0).alias("period"), F.lit(dst).cast("long").alias("node_id"), F.lit(dst).cast("long").alias("refuge_id"))
-    routes = route_all(e, target, ["period"])
+    routes = route_all(e, target, ["period"], hops=8)
     origin = spark.range(1).select(F.lit(0).alias("period"), F.lit(src).cast("long").alias("origin_id"), F.lit(src).cast("long").alias("node"))
     return reconstruct(routes, origin, e, ["period"]).drop("period")

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from hazardframe.functions.base import dbl
 from hazardframe.functions.geo import segment_distance
 from hazardframe.operators.cells import RUN, Grid, shift
-from hazardframe.operators.common import materialise
+from hazardframe.operators.common import fingerprint, materialise, materialise_observed
 from hazardframe.operators.components import cell_key
 
 SPACING_M = 30.0
@@ -66,8 +66,8 @@ def boundary_rings(cells: DataFrame, keys=RUN, exterior_only: bool = True) -> Da
     prev_sum = None
     while True:
         hop = cur.select(F.col("side_id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("low").alias("low2"))
-        cur = materialise(cur.join(hop, "ptr").select("side_id", F.col("ptr2").alias("ptr"), F.least("low", "low2").alias("low")), "ring")
-        now = cur.agg(F.sum(F.xxhash64("side_id", "low").cast("decimal(38,0)"))).first()[0]
+        step = cur.join(hop, "ptr").select("side_id", F.col("ptr2").alias("ptr"), F.least("low", "low2").alias("low"))
+        cur, now = materialise_observed(step, "ring", h=fingerprint("side_id", "low"))
         if now == prev_sum:
             break
         prev_sum = now
@@ -79,8 +79,8 @@ def boundary_rings(cells: DataFrame, keys=RUN, exterior_only: bool = True) -> Da
         F.when(F.col("side_id") == F.col("head"), 0).otherwise(1).cast("long").alias("seq"),
     )
     while True:
-        rank = materialise(rank, "rank")
-        if not rank.filter("ptr <> head").take(1):
+        rank, left = materialise_observed(rank, "rank", n=F.count_if(F.col("ptr") != F.col("head")))
+        if not left["n"]:
             break
         hop = rank.select(F.col("side_id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("seq").alias("seq2"))
         rank = rank.join(hop, "ptr").select("side_id", "head", F.col("ptr2").alias("ptr"), (F.col("seq") + F.col("seq2")).alias("seq"))

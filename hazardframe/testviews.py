@@ -60,8 +60,8 @@ FROM fx_arrival"""
 
 # One large contiguous fire (run 0) on a 200 m grid over the road network.
 VIEWS["fx_burn"] = """
-SELECT r, c, min(CASE WHEN d2<=9 THEN 0 WHEN d2<=25 THEN 1 WHEN d2<=49 THEN 2 WHEN d2<=81 THEN 3
-  WHEN d2<=121 THEN 4 WHEN d2<=169 THEN 5 ELSE 6 END) AS arrival
+SELECT r, c, CAST(min(CASE WHEN d2<=9 THEN 0 WHEN d2<=25 THEN 1 WHEN d2<=49 THEN 2 WHEN d2<=81 THEN 3
+  WHEN d2<=121 THEN 4 WHEN d2<=169 THEN 5 ELSE 6 END) AS BIGINT) AS arrival
 FROM (SELECT r, c, (r-48)*(r-48)+(c-44)*(c-44) AS d2 FROM
       (SELECT l_partkey%97 AS r, l_orderkey%89 AS c FROM lineitem) s) t
 WHERE d2<=225 GROUP BY r, c"""
