@@ -22,6 +22,13 @@ def _bucketed(df: DataFrame, x1, x2, y1, y2, size: float, pad: int = 0) -> DataF
     return df.withColumn("_by", F.explode(_span(F.least(y1, y2) / size - pad, F.greatest(y1, y2) / size + pad)))
 
 
+def rect_distance(px, py, x1, y1, x2, y2) -> Column:
+    """Distance of a point to an axis-aligned rectangle, 0 inside (x1 <= x2, y1 <= y2)."""
+    px, py, x1, y1, x2, y2 = (dbl(c) for c in (px, py, x1, y1, x2, y2))
+    zero = F.lit(0.0)
+    return F.hypot(F.greatest(x1 - px, px - x2, zero), F.greatest(y1 - py, py - y2, zero))
+
+
 def _as_segments(targets: DataFrame) -> DataFrame:
     if "x1" in targets.columns:
         return targets
@@ -29,9 +36,11 @@ def _as_segments(targets: DataFrame) -> DataFrame:
 
 
 def nearest(points: DataFrame, targets: DataFrame, pid: list[str], keys: list[str] | None = None,
-            bucket: float | None = None, max_dist: float | None = None, factor: int = 4) -> DataFrame:
+            bucket: float | None = None, max_dist: float | None = None, factor: int = 4, metric=segment_distance) -> DataFrame:
     """Nearest target (point or segment) of each point, exact; ties go to the smallest ``tid``.
 
+    ``metric=rect_distance`` reads the two target corners as an axis-aligned rectangle.
+
     ``points`` has ``pid`` columns, x, y; ``targets`` has tid and x, y or x1, y1, x2, y2;
     both have ``keys``. Buckets start fine, so dense places are settled among few
     candidates; a point is settled once its best distance is within the searched block.
@@ -57,7 +66,7 @@ def nearest(points: DataFrame, targets: DataFrame, pid: list[str], keys: list[st
                       F.col("x"), F.col("x"), F.col("y"), F.col("y"), bucket, 1)
         s = _bucketed(segs, F.col("x1"), F.col("x2"), F.col("y1"), F.col("y2"), bucket)
         pair = p.join(s, [*keys, "_bx", "_by"])
-        pair = pair.withColumn("dist", segment_distance("x", "y", "x1", "y1", "x2", "y2"))
+        pair = pair.withColumn("dist", metric("x", "y", "x1", "y1", "x2", "y2"))
         best = pair.groupBy(*base).agg(F.min(F.struct("dist", "tid")).alias("_m"))
         best = best.select(*base, F.col("_m.tid").alias("tid"), F.col("_m.dist").alias("dist"))
         if max_dist is not None:

@@ -103,6 +103,15 @@ VIEWS["fx_detection"] = """
 SELECT event_id AS det_id, ts AS t, CAST((user_id*7919)%20011 AS DOUBLE) AS x,
   CAST((event_id*6271)%25013 AS DOUBLE) AS y FROM events WHERE event_type='error'"""
 
+# The same detections within the hours of the network fire.
+VIEWS["fx_det"] = """
+SELECT event_id AS det_id, TIMESTAMP '2021-08-05 12:00:00' + CAST(((event_id*37)%60)*7 AS INT) * INTERVAL '1' MINUTE AS t,
+  CAST((user_id*7919+event_id*13)%17801 AS DOUBLE) AS x, CAST((event_id*6271)%19403 AS DOUBLE) AS y
+FROM events WHERE event_type='error'"""
+
+# The scar the fire finally left.
+VIEWS["fx_scar"] = "SELECT r, c FROM fx_gridcell WHERE (r-51)*(r-51)+(c-46)*(c-46)<=150"
+
 VIEWS["fx_eval"] = """
 SELECT conv_id AS case_id, turn AS rep, text AS reply, length(text)%7<>0 AS stage_a_ok,
   (conv_id+turn)%5<>0 AS stage_b_ok, length(text)%13<>0 AS numeric_ok,
@@ -126,6 +135,45 @@ SELECT o_orderkey AS record_id, CONCAT('m', CAST(o_custkey%3 AS STRING)) AS mode
   CASE WHEN (o_custkey*11+o_orderkey)%23=0 THEN NULL ELSE (o_custkey*2+o_orderkey)%6<>0 END AS coverage
 FROM orders"""
 
+# Structured and free answers of several kinds (valid, broken, refused ...), one per order,
+# with the tool payload they speak about. The cut-off counts c0..c3 are at hours 0, 1, 2, 4.
+VIEWS["fx_answer0"] = """
+SELECT o_orderkey AS record_id, CONCAT('C', CAST(floor(o_orderkey/50) AS BIGINT)) AS case_id, o_orderkey%5+1 AS rep, o_orderkey%10 AS kind,
+  o_custkey%5 AS c0, (o_custkey+o_orderkey)%7 AS c1, (o_custkey*3+o_orderkey)%9 AS c2, (o_custkey*7+o_orderkey)%11 AS c3,
+  20+o_custkey%13 AS at_risk, 700+o_custkey%50 AS edges FROM orders"""
+
+VIEWS["fx_answer"] = """
+SELECT record_id, case_id, rep, kind, c0, c1, c2, c3, at_risk, edges,
+  CASE WHEN kind=7 THEN 'free' ELSE 'structured' END AS arm, CASE WHEN kind=8 THEN 'timeout' END AS error,
+  CASE WHEN kind=9 THEN 0 ELSE 1 END AS n_tool_calls,
+  CONCAT('{"run_id":"r","inputs":{"weather_source":"', CASE WHEN c1%2=0 THEN 'forecast' ELSE 'archive' END, '","n_fronts_detected":', CAST(1+c0%2 AS STRING),
+    '},"final_front_class4_pct":62.5,"change_hours":[{"period":0,"cut_off":', CAST(c0 AS STRING), ',"impacted":0},{"period":1,"cut_off":', CAST(c1 AS STRING), ',"impacted":0},{"period":2,"cut_off":', CAST(c2 AS STRING),
+    ',"impacted":2},{"period":4,"cut_off":', CAST(c3 AS STRING), ',"impacted":3}],"final_hour":{"period":5,"cut_off":', CAST(c3 AS STRING), ',"at_risk":', CAST(at_risk AS STRING), ',"edges_removed":', CAST(edges AS STRING), '}}') AS payload,
+  CASE WHEN kind=1 THEN 'Plain words, no object' WHEN kind=7 THEN CONCAT('Cut off ', CAST(c3 AS STRING), ' of ', CAST(at_risk AS STRING), ' places; 777.5 ha and ', CAST(edges AS STRING), ' roads. This is a longer narrative text that goes on until it has more than one hundred and twenty characters.')
+   WHEN kind=4 THEN '{"status":"tool_error","initial_state":[],"critical_transitions":[],"final_state":[],"interpretation":"none","limitations":"none"}'
+   ELSE CONCAT('{"status":"ok","initial_state":[{"period":0,"settlements_without_route":', CAST(c0+bump AS STRING), '}],"critical_transitions":[', SUBSTRING(CASE WHEN kind=5 THEN ',{"period":"x","settlements_without_route":1}' ELSE CONCAT(
+     CASE WHEN c1>c0 THEN CONCAT(',{"period":1,"settlements_without_route":', CAST(c1+bump AS STRING), '}') ELSE '' END, CASE WHEN c2>c1 THEN CONCAT(',{"period":2,"settlements_without_route":', CAST(c2+bump AS STRING), '}') ELSE '' END,
+     CASE WHEN c3>c2 THEN CONCAT(',{"period":4,"settlements_without_route":', CAST(c3+bump AS STRING), '}') ELSE '' END, CASE WHEN kind=3 THEN ',{"period":9,"settlements_without_route":1}' ELSE '' END) END, 2),
+     '],"final_state":[{"period":5,"settlements_without_route":', CAST(c3+bump AS STRING), ',"road_segments_removed":', CAST(edges AS STRING), '}],"interpretation":"The situation of ', CAST(at_risk AS STRING), ' places grows and the wind carries the front toward the coast while crews hold the northern road open for everyone."',
+     CASE WHEN kind=2 THEN '' ELSE ',"limitations":"Indicative, without suppression; 123.4 km2 is an estimate."' END, '}') END AS reply
+FROM (SELECT *, CASE WHEN kind=6 THEN 1 ELSE 0 END AS bump FROM fx_answer0) t"""
+
+# Claim labels and notes of a labelling pass, one record per labelled document.
+VIEWS["fx_note"] = """
+SELECT doc_id AS uid, CASE doc_id%6 WHEN 0 THEN 'Invented settlement names: Ροβιές, Δαμιά. No crown fire claim.' WHEN 1 THEN 'Omits the uncalibrated caveat; invented road and invented wind.'
+  WHEN 2 THEN 'No invented settlement here. Includes uncalibrated note' WHEN 3 THEN 'Claims forecast where the source is archive; place names: Κήρινθος, the coast' WHEN 4 THEN 'OFF-BY-ONE: none. Crown fire wording used' ELSE 'Nothing to report' END AS notes,
+  CASE doc_id%3 WHEN 0 THEN 'fires' WHEN 1 THEN 'routes' ELSE 'weather' END AS category FROM labels"""
+
+VIEWS["fx_claim"] = """
+SELECT d.doc_id AS uid, CASE (d.doc_id*7+n.n_nationkey)%5 WHEN 0 THEN 'CONTRADICTED' WHEN 1 THEN 'NOT_IN_RESULT' ELSE 'SUPPORTED' END AS label,
+  CASE (d.doc_id+n.n_nationkey)%3 WHEN 0 THEN 'wrong field: counts SETTLEMENTS' WHEN 1 THEN 'off by one, wrong hour' ELSE 'weather_source is archive' END AS justification
+FROM labels d JOIN nation n ON n.n_nationkey=d.doc_id%25 OR n.n_regionkey=d.doc_id%7"""
+
+# Six-answer judge decisions.
+VIEWS["fx_decision"] = """
+SELECT doc_id AS record_id, doc_id%11<>0 AS judgeable, doc_id%2=0 AS q1, doc_id%3<>0 AS q2, doc_id%5<>0 AS q3, doc_id%7<>0 AS q4, doc_id%13<>0 AS q5,
+  CASE doc_id%4 WHEN 0 THEN 'false' WHEN 1 THEN 'NOT_APPLICABLE' ELSE 'true' END AS q6 FROM labels"""
+
 _NAME = re.compile(r"\bfx_\w+\b")
 
 
