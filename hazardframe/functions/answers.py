@@ -21,7 +21,7 @@ SAMPLE_MIN_CHARS = 200
 # Sentences of the slot renderer.
 SAY_INITIAL = "Στην έναρξη (ώρα %d): %d οικισμοί χωρίς καμία διαδρομή διαφυγής."
 SAY_TRANSITION = "Στην ώρα %d: %d οικισμοί χωρίς καμία διαδρομή διαφυγής."
-SAY_FINAL = "Τελική ώρα %d: %d οικισμοί χωρίς καμία διαδρομή διαφυγής, %d οικικά τμήματα αφαιρέθηκαν.".replace("οικικά", "οδικά")
+SAY_FINAL = "Τελική ώρα %d: %d οικισμοί χωρίς καμία διαδρομή διαφυγής, %d οδικά τμήματα αφαιρέθηκαν."
 SAY_STATUS = "Το εργαλείο δεν παρήγαγε αποτέλεσμα: %s."
 
 EMPTY_INTS = "cast(array() as array<bigint>)"

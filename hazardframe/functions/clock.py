@@ -13,10 +13,10 @@ ARCHIVE_LAG_DAYS = 6
 
 def to_utc(local_text, now) -> Column:
     """UTC minute of a user's time text: an explicit offset is kept, a naive time is local."""
-    s = F.trim(col(local_text))
+    s = F.regexp_replace(F.trim(col(local_text)), r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2})(?!:)", "$1 $2:00")
     has_offset = s.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
-    naive = F.to_utc_timestamp(F.to_timestamp_ntz(F.regexp_replace(s, "T", " ")).cast("timestamp"), LOCAL_ZONE)
-    exact = F.to_timestamp(F.when(has_offset, s))
+    naive = F.to_utc_timestamp(F.when(~has_offset, s).try_cast("timestamp_ntz").cast("timestamp"), LOCAL_ZONE)
+    exact = F.when(has_offset, s).try_cast("timestamp")
     picked = F.when(s.isNull() | (s == ""), col(now)).when(has_offset, exact).otherwise(naive)
     return F.date_trunc("minute", picked)
 

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: A side is broadcast only when the optimizer's own size estimate is at most this.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
@@ -93,3 +94,16 @@ def attach_all(big: DataFrame, little: DataFrame, salts: int = 64) -> DataFrame:
         return big.withColumn("_k", F.lit(0)).join(l1, "_k").drop("_k")
     l2 = little.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return big.withColumn("_k", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")).join(l2, "_k").drop("_k")
+
+
+def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """1-based position of every row in a total order, without one task holding all rows.
+
+    Rows are written in order ranges; a row's position is its position in the range plus
+    the sizes of the ranges before it.
+    """
+    ranged = materialise(df.repartitionByRange(*order).withColumn("_b", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_b").agg(F.count("*").alias("_c"))
+    sizes = sizes.withColumn("_off", F.sum("_c").over(W.orderBy("_b")) - F.col("_c")).drop("_c")
+    pos = F.row_number().over(W.partitionBy("_b").orderBy(*order)) + F.col("_off")
+    return ranged.join(F.broadcast(sizes), "_b").withColumn(name, pos).drop("_b", "_off")

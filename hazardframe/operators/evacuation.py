@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from hazardframe.functions.clock import period_ts
 from hazardframe.operators import spatial as sp
 from hazardframe.operators.cells import Grid
-from hazardframe.operators.common import attach_all, materialise
+from hazardframe.operators.common import attach_all, global_rank, materialise
 
 AT_RISK_M = 300.0
 SAFE_MARGIN_M = 500.0
@@ -102,10 +102,9 @@ def rank_exposed(outcome: DataFrame) -> DataFrame:
     return outcome.orderBy(F.col("pop").desc_nulls_last(), F.col("settlement_id"))
 
 
-def with_rank(ordered: DataFrame) -> DataFrame:
-    """Position of each settlement in the population order (a report over exposed places)."""
-    w = W.orderBy(F.col("pop").desc_nulls_last(), F.col("settlement_id"))
-    return ordered.withColumn("rank", F.row_number().over(w).cast("long"))
+def with_rank(exposed: DataFrame) -> DataFrame:
+    """Position of each settlement in the population order."""
+    return global_rank(exposed, [F.col("pop").desc_nulls_last(), F.col("settlement_id")])
 
 
 def hourly_events(outcome: DataFrame, summary: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -220,10 +220,9 @@ class Views:
 
     def sql(self, text: str) -> DataFrame:
         full = with_views(text)
-        used = [t for t in TABLES if re.search(rf"\b{t}\b", full)]
-        for t in used:
-            full = re.sub(rf"(?i)\b(from|join)\s+{t}\b", rf"\1 {{{t}}}", full)
-        return self.spark.sql(full, **{t: self.table(t) for t in used})
+        names = "|".join(TABLES)
+        path = rf"\1 parquet.`{self.sf_dir}/\2.parquet`"
+        return self.spark.sql(re.sub(rf"(?i)\b(from|join)\s+({names})\b", path, full))
 
     def __call__(self, name: str) -> DataFrame:
         if name in TABLES:
