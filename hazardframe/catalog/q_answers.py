@@ -9,17 +9,29 @@ from hazardframe.functions import answers as an
 from hazardframe.functions import json_text as jt
 from hazardframe.functions import text as tx
 from hazardframe.operators import runs as rn
+from hazardframe.plans.contract import parse_answers, score_contract
+
+
+_PARSED: dict = {}
+_SCORED: dict = {}
+
+
+def _key(v):
+    return (v.sf_dir, v.spark.sparkContext.applicationId)
+
+
+def parsed(v):
+    """Answers with typed reply ``a`` and payload ``p``, written once per session."""
+    if _key(v) not in _PARSED:
+        outs = F.array(F.lit("INPUT ERROR: none"), F.col("payload"), F.lit("PIPELINE ERROR"))
+        _PARSED[_key(v)] = parse_answers(v("fx_answer").withColumn("tool_outputs", outs))
+    return _PARSED[_key(v)]
 
 
 def scored(v):
-    """Answers with typed reply and payload, contract outcome and transition fields."""
-    a = v("fx_answer").withColumn("a", an.answer("reply")).withColumn("p", an.payload(an.pick_payload(F.array(F.lit("INPUT ERROR: none"), F.col("payload"), F.lit("PIPELINE ERROR")))))
-    a = a.withColumns({"gt": an.cutoff_events(F.col("p")), "mm": F.when(F.col("a").isNotNull(), an.slot_mismatches(F.col("a"), F.col("p"))), "emitted": an.entry_periods(F.col("a.critical_transitions"))})
-    a = a.withColumn("problems", an.semantic_problems(F.col("a"), F.col("p"), F.col("gt"), F.col("mm"))).withColumn("conformant", an.schema_conformant(F.col("a")))
-    a = a.withColumn("contract_outcome", an.contract_outcome("error", "reply", "n_tool_calls", "arm", F.col("a"), F.col("conformant"), F.col("problems")))
-    o = F.col("contract_outcome")
-    a = a.withColumn("ct_scored", o.isin("valid", "validator_invalid") | ((o == "schema_invalid") & F.col("emitted").isNotNull()))
-    return a.withColumn("ct", an.transition_fields(F.when(F.col("ct_scored"), F.col("emitted")), F.col("gt"), F.transform("p.rows", lambda r: r["period"])))
+    if _key(v) not in _SCORED:
+        _SCORED[_key(v)] = score_contract(parsed(v))
+    return _SCORED[_key(v)]
 
 
 NR = "(CASE WHEN c1>c0 THEN 1 ELSE 0 END+CASE WHEN c2>c1 THEN 1 ELSE 0 END+CASE WHEN c3>c2 THEN 1 ELSE 0 END)"
@@ -32,7 +44,7 @@ ANS = f"ans AS (SELECT *, {NR} AS nr, {OUTCOME} AS outcome, {SCORED} AS sc, CASE
 @query("f26_pick_payload", "SELECT record_id, c3 AS cut_off, CASE WHEN c1%2=0 THEN 'forecast' ELSE 'archive' END AS source, kind NOT IN (1,7) AS is_object FROM fx_answer")
 def f26(v):
     s = scored(v)
-    return s.select("record_id", F.col("p.final.cut_off").alias("cut_off"), F.col("p.weather_source").alias("source"), an.parse_reply("reply").isNotNull().alias("is_object"))
+    return s.select("record_id", F.col("p.final.cut_off").alias("cut_off"), F.col("p.weather_source").alias("source"), F.col("a").isNotNull().alias("is_object"))
 
 
 @query("f27_contract_outcome", f"WITH {ANS} SELECT record_id, outcome, outcome IN ('valid','validator_invalid') AS conformant FROM ans")
@@ -55,8 +67,7 @@ def u7(v):
 
 @query("w6_cutoff_events", """SELECT record_id, period FROM (SELECT record_id, unnest([{'p':1,'b':c0,'a':c1},{'p':2,'b':c1,'a':c2},{'p':4,'b':c2,'a':c3}]) AS x FROM fx_answer0) t, LATERAL (SELECT CAST(x.p AS BIGINT) AS period WHERE x.a>x.b) z""")
 def w6(v):
-    p = an.payload(an.parse_reply("payload"))
-    return v("fx_answer").select("record_id", F.explode(an.cutoff_events(p)).alias("period"))
+    return parsed(v).select("record_id", F.explode(an.cutoff_events(F.col("p"))).alias("period"))
 
 
 @query("f29_slot_mismatches", f"""WITH {ANS} SELECT record_id, CAST(CASE kind WHEN 6 THEN nr+2 WHEN 3 THEN 1 WHEN 5 THEN 1 ELSE 0 END AS INT) AS n FROM ans WHERE kind NOT IN (1,7)""")
@@ -72,8 +83,8 @@ _SAY = """CASE WHEN kind=4 THEN 'Το εργαλείο δεν παρήγαγε 
 
 @query("f30_render_slots", f"SELECT record_id, {_SAY} AS said FROM (SELECT *, CASE WHEN kind=6 THEN 1 ELSE 0 END AS b FROM fx_answer0) t")
 def f30(v):
-    said = an.render_slots(an.answer("reply"))
-    return v("fx_answer").select("record_id", F.when(said.isNotNull(), F.array_join(said, "|")).alias("said"))
+    said = an.render_slots(F.col("a"))
+    return parsed(v).select("record_id", F.when(said.isNotNull(), F.array_join(said, "|")).alias("said"))
 
 
 _INTERP = "'The situation of '||at_risk||' places grows and the wind carries the front toward the coast while crews hold the northern road open for everyone.'"
@@ -82,29 +93,29 @@ _SURF = f"CASE WHEN kind=7 THEN reply WHEN kind=1 THEN '' WHEN kind=4 THEN 'none
 
 @query("f31_narrative_surface", f"SELECT record_id, {_SURF} AS surface FROM fx_answer")
 def f31(v):
-    return v("fx_answer").select("record_id", an.narrative_surface("reply", "arm", an.answer("reply")).alias("surface"))
+    return parsed(v).select("record_id", an.narrative_surface("reply", "arm", F.col("a")).alias("surface"))
 
 
 @query("f32_numeric_surface", f"SELECT record_id, CASE WHEN kind IN (1,7) THEN NULL ELSE s||chr(10)||coalesce(replace({_SAY},'|',chr(10)),'') END AS surface FROM (SELECT *, {_SURF} AS s, CASE WHEN kind=6 THEN 1 ELSE 0 END AS b FROM fx_answer) t")
 def f32(v):
-    return v("fx_answer").select("record_id", an.numeric_surface("reply", "arm", an.answer("reply")).alias("surface"))
+    return parsed(v).select("record_id", an.numeric_surface("reply", "arm", F.col("a")).alias("surface"))
 
 
 @query("f51_judged_surface", f"SELECT record_id, CASE WHEN kind=0 THEN 'stored' ELSE {_SURF} END AS surface FROM fx_answer")
 def f51(v):
-    return v("fx_answer").select("record_id", an.judged_surface(F.when(F.col("kind") == 0, F.lit("stored")), "reply", "arm", an.answer("reply")).alias("surface"))
+    return parsed(v).select("record_id", an.judged_surface(F.when(F.col("kind") == 0, F.lit("stored")), "reply", "arm", F.col("a")).alias("surface"))
 
 
 @query("p14_judgeable", f"SELECT record_id, kind<>8 AND length(trim({_SURF}))>=120 AS judgeable, kind<>9 AND length(trim({_SURF}))>=120 AS narrated FROM fx_answer")
 def p14(v):
-    a = v("fx_answer").withColumn("s", an.narrative_surface("reply", "arm", an.answer("reply"))).withColumn("has", an.parse_reply("payload").isNotNull())
+    a = parsed(v).withColumn("s", an.narrative_surface("reply", "arm", F.col("a"))).withColumn("has", F.col("p.present"))
     return a.select("record_id", an.judgeable("error", F.col("has"), F.col("s")).alias("judgeable"), an.narrated("n_tool_calls", F.col("has"), F.col("s")).alias("narrated"))
 
 
 @query("p15_narrated", f"SELECT record_id FROM fx_answer WHERE kind<>9 AND length(trim({_SURF}))>=120")
 def p15(v):
-    a = v("fx_answer").withColumn("s", an.narrative_surface("reply", "arm", an.answer("reply")))
-    return a.filter(an.narrated("n_tool_calls", an.parse_reply("payload").isNotNull(), F.col("s"))).select("record_id")
+    a = parsed(v).withColumn("s", an.narrative_surface("reply", "arm", F.col("a")))
+    return a.filter(an.narrated("n_tool_calls", F.col("p.present"), F.col("s"))).select("record_id")
 
 
 @query("f41_structured_complete", f"WITH {ANS} SELECT record_id, CASE WHEN outcome='free_text' OR kind=7 THEN NULL WHEN outcome NOT IN ('valid','validator_invalid') THEN FALSE ELSE kind IN (0,6) OR (kind=4 AND nr=0) END AS complete FROM ans")
@@ -116,13 +127,13 @@ def f41(v):
 def f49(v):
     k = F.col("kind")
     meta = F.when(k == 5, F.expr("cast(array() as array<string>)")).otherwise(F.array(F.lit("tool_calls"), F.lit("stop")))
-    return v("fx_answer").select("record_id", an.envelope_status("arm", an.answer("reply")).alias("status"), an.finish_reason(F.when(k == 3, F.lit("direct")), meta).alias("finish"),
+    return parsed(v).select("record_id", an.envelope_status("arm", F.col("a")).alias("status"), an.finish_reason(F.when(k == 3, F.lit("direct")), meta).alias("finish"),
                                  an.surface_reason(F.when(k == 9, F.lit("given")), "error").alias("reason"))
 
 
 @query("f48_number_sheet", """SELECT record_id, 'final h5: cut_off='||c3||' at_risk='||at_risk||' edges='||edges||chr(10)||'class4: 62.5'||chr(10)||'weather: '||CASE WHEN c1%2=0 THEN 'forecast' ELSE 'archive' END||chr(10)||'h0: cut_off='||c0||chr(10)||'h1: cut_off='||c1||chr(10)||'h2: cut_off='||c2||chr(10)||'h4: cut_off='||c3 AS sheet FROM fx_answer""")
 def f48(v):
-    return v("fx_answer").select("record_id", an.number_sheet(an.payload(an.parse_reply("payload"))).alias("sheet"))
+    return parsed(v).select("record_id", an.number_sheet(F.col("p")).alias("sheet"))
 
 
 @query("f19_numeric_traceability", """WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)?')) AS t FROM documents), num AS (SELECT unnest([62.5,737,200,1500.25,200000,63,1500]::DOUBLE[]) AS n),
@@ -258,8 +269,8 @@ def f22(v):
     reply = (F.when(k == 0, "Window must be 6-40 km; the weather is a forecast").when(k == 1, "WINDOW must be 6-40 km").when(k == 2, "Με πρόγνωση καιρού").when(k == 3, "Προτείνω 12 χιλιόμετρα και 6 ωρών")
              .when(k == 4, "at 38.123, 23.456").otherwise("nothing"))
     want = F.array(*[F.lit(x) for x in ("relay_input_error_verbatim", "disclose_forecast_weather", "propose_defaults_12km_6h", "no_invented_coordinates")])
-    m = an.policies(reply, want, F.array(F.lit("INPUT ERROR: window must be 6-40 km.")), an.payload(an.parse_reply("payload")))
-    a = v("fx_answer").withColumn("m", m)
+    m = an.policies(reply, want, F.array(F.lit("INPUT ERROR: window must be 6-40 km.")), F.col("p"))
+    a = parsed(v).withColumn("m", m)
     return a.select("record_id", F.col("m")["relay_input_error_verbatim"].alias("relay"), F.col("m")["disclose_forecast_weather"].alias("disclose"), F.col("m")["propose_defaults_12km_6h"].alias("defaults"), F.col("m")["no_invented_coordinates"].alias("no_coords"))
 
 

@@ -72,9 +72,8 @@ def slot(v: Column, name: str) -> Column:
     return F.transform(at, entry)
 
 
-def answer(text) -> Column:
-    """Typed view of a structured reply."""
-    v = parse_reply(text)
+def answer_of(v: Column) -> Column:
+    """Typed view of a parsed structured reply; null when there is none."""
     top = F.try_variant_get(v, "$", "map<string,variant>")
     return F.when(v.isNotNull(), F.struct(
         vstr(v, "$.status").alias("status"), *[slot(v, s).alias(s) for s in SLOTS],
