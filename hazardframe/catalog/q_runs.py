@@ -171,7 +171,7 @@ _MIX = lambda a: f"(({a}*16807)%2147483647)"
 
 @query("a40_cluster_bootstrap", """WITH p AS (SELECT case_id, count(*) FILTER (stage_c) AS num, count(*) AS den, row_number() OVER (ORDER BY case_id)-1 AS i FROM fx_record GROUP BY 1), c AS (SELECT count(*) AS n FROM p),
 d AS (SELECT d.draw, k.k FROM (SELECT unnest(generate_series(0,1999)) AS draw) d, (SELECT unnest(generate_series(0,(SELECT n-1 FROM c))) AS k) k),
-m1 AS (SELECT draw, k, ((7*69621+12345)%2147483647*16807)%2147483647 AS m FROM d), m2 AS (SELECT draw, k, ((m*48271+draw*69621+12345)%2147483647*16807)%2147483647 AS m FROM m1), m3 AS (SELECT draw, ((m*48271+k*69621+12345)%2147483647*16807)%2147483647%(SELECT n FROM c) AS i FROM m2),
+m1 AS (SELECT draw, k, ((7::BIGINT*69621+12345)%2147483647*16807::BIGINT)%2147483647 AS m FROM d), m2 AS (SELECT draw, k, ((m*48271+draw*69621+12345)%2147483647*16807)%2147483647 AS m FROM m1), m3 AS (SELECT draw, ((m*48271+k*69621+12345)%2147483647*16807)%2147483647%(SELECT n FROM c) AS i FROM m2),
 r AS (SELECT draw, sum(num)/sum(den) AS rate FROM m3 JOIN p ON p.i=m3.i GROUP BY 1), o AS (SELECT rate, row_number() OVER (ORDER BY rate)-1 AS pos FROM r)
 SELECT round(max(rate) FILTER (pos=50),4) AS lower, round(max(rate) FILTER (pos=1949),4) AS upper FROM o""")
 def a40(v):
