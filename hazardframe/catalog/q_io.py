@@ -91,9 +91,10 @@ def k3(v):
 def s7(v):
     p = scratch_path(v.spark, "graphml")
     keys = "".join(f'<key id="{i}" for="{of}" attr.name="{n}" attr.type="string"/>' for i, (of, n) in enumerate((("node", "x"), ("node", "y"), ("edge", "length"), ("edge", "highway"))))
-    node = v("fx_node").select(F.format_string('<node id="%d"><data key="0">%s</data><data key="1">%s</data></node>', "node_id", F.col("x").cast("string"), F.col("y").cast("string")).alias("value"))
-    edge = v("fx_edge").select(F.format_string('<edge source="%d" target="%d" id="%d"><data key="2">%s</data><data key="3">[\'primary\', \'residential\']</data></edge>', "u", "v", "key", F.col("length_m").cast("string")).alias("value"))
-    v.spark.range(1).select(F.lit(f"<graphml>{keys}</graphml>").alias("value")).union(node).union(edge).write.text(p)
+    node = v("fx_node").select(F.lit(1).alias("ord"), F.format_string('<node id="%d"><data key="0">%s</data><data key="1">%s</data></node>', "node_id", F.col("x").cast("string"), F.col("y").cast("string")).alias("value"))
+    edge = v("fx_edge").select(F.lit(2).alias("ord"), F.format_string('<edge source="%d" target="%d" id="%d"><data key="2">%s</data><data key="3">[\'primary\', \'residential\']</data></edge>', "u", "v", "key", F.col("length_m").cast("string")).alias("value"))
+    ends = v.spark.range(2).select((F.col("id") * 3).cast("int").alias("ord"), F.when(F.col("id") == 0, f"<graphml>{keys}<graph>").otherwise("</graph></graphml>").alias("value"))
+    ends.union(node).union(edge).coalesce(1).sortWithinPartitions("ord").select("value").write.text(p)
     return rd.read_graphml(v.spark, p)[1].select("u", "v", "key", "length")
 
 
@@ -123,11 +124,12 @@ def s10(v):
     return rd.read_decisions(v.spark, p).select("record_id", F.try_variant_get("d", "$.q1", "boolean").alias("q1"))
 
 
-@query("s11_list_runs")
+@query("s11_list_runs", """WITH f AS (SELECT 'run_id='||run_id AS run_id, bool_or(arrival=7) AS done FROM fx_arrival WHERE r>=70 GROUP BY 1) SELECT run_id, run_id=(SELECT max(run_id) FROM f WHERE done) AS newest FROM f WHERE done""")
 def s11(v):
     root = scratch_path(v.spark, "runs")
-    wr.write_run({"summary": run(v).summary}, root)
-    return rd.list_runs(v.spark, root, ["_SUCCESS"])
+    c = v("fx_arrival").filter("r >= 70").groupBy("run_id", F.when(F.col("arrival") == 7, "final").otherwise("early").alias("layer")).agg(F.count("*").alias("n"))
+    c.unionByName(c.select("run_id", F.lit("summary").alias("layer"), "n")).repartition(8, "run_id").write.partitionBy("run_id", "layer").parquet(root)
+    return rd.list_runs(v.spark, root, ["layer=final", "layer=summary"])
 
 
 @query("s12_read_batches", "SELECT uid, notes FROM fx_note")
@@ -236,12 +238,23 @@ def st3(v):
     return v.spark.read.schema("station_id int, day date, n_hours bigint").parquet(out)
 
 
-@query("st2_stream_passes")
+_PS = """WITH RECURSIVE tm AS (SELECT DISTINCT t FROM fx_det), ps(t, p) AS (SELECT min(t), min(t) FROM tm UNION ALL SELECT n.t, CASE WHEN n.t-ps.p>INTERVAL 20 MINUTE THEN n.t ELSE ps.p END FROM ps, LATERAL (SELECT min(t) AS t FROM tm WHERE tm.t>ps.t) n WHERE n.t IS NOT NULL)
+SELECT det_id, strftime(p,'%Y-%m-%d %H:%M') AS pass_t FROM fx_det d JOIN ps ON ps.t=d.t"""
+
+
+@query("st2_stream_passes", _PS)
 def st2(v):
     d = v("fx_det").select(F.lit(0).cast("long").alias("fire_id"), "det_id", F.col("t").cast("timestamp").alias("t"))
+    p = scratch_path(v.spark, "passes-in")
+    d.repartition(1).write.parquet(p)
+    # A later detection moves the watermark past the last real one.
+    close = d.agg(F.min("fire_id").alias("fire_id"), F.lit(-1).cast("long").alias("det_id"), (F.max("t") + F.expr("INTERVAL 1 DAY")).alias("t"))
+    close.coalesce(1).write.mode("append").parquet(p)
+    s = v.spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(p)
     out = scratch_path(v.spark, "passes")
-    _finish(v, feeds.stream_passes(_stream(v, d, "passes-in", 1)).writeStream.outputMode("append").format("parquet").option("path", out), "passes")
-    return v.spark.read.schema(feeds.PASS_SCHEMA).parquet(out)
+    _finish(v, feeds.stream_passes(s).writeStream.outputMode("append").format("parquet").option("path", out), "passes")
+    got = v.spark.read.schema(feeds.PASS_SCHEMA).parquet(out).filter("det_id >= 0")
+    return got.select("det_id", F.date_format(F.timestamp_seconds("pass_s"), "yyyy-MM-dd HH:mm").alias("pass_t"))
 
 
 @query("st4_stream_evacuate", "SELECT run_id, arrival AS period, count(*) AS n FROM fx_arrival GROUP BY 1,2")

@@ -31,6 +31,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/hazardframe/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before a CPU-heavy step whose input came in few splits."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

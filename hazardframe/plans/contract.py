@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazardframe.functions import answers as an
-from hazardframe.operators.common import materialise
+from hazardframe.operators.common import materialise, spread
 
 
 def parse_answers(rows: DataFrame, outputs: str = "tool_outputs", which: str = "last") -> DataFrame:
     """Rows with ``a`` (typed reply or null) and ``p`` (typed payload)."""
-    staged = rows.withColumn("_v", an.parse_reply("reply")).withColumn("_pv", an.pick_payload(outputs, which))
+    staged = spread(rows).withColumn("_v", an.parse_reply("reply")).withColumn("_pv", an.pick_payload(outputs, which))
     return materialise(staged.withColumn("a", an.answer_of(F.col("_v"))).withColumn("p", an.payload(F.col("_pv"))).drop("_v", "_pv", outputs), "answers")
 
 

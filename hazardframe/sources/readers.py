@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardframe.operators.common import require_empty
+from hazardframe.operators.common import attach_all, require_empty
 
 FILE = "_metadata.file_path"
 
@@ -106,8 +106,8 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     named = {of: F.broadcast(keys.filter(F.col("of") == of).select("k", "name")) for of in ("node", "edge")}
 
     def wide(df: DataFrame, of: str, ids: list[str], cols: list[str]) -> DataFrame:
-        d = df.select(*ids, F.explode("data").alias("d")).select(*ids, F.col("d._key").alias("k"), F.col("d._VALUE").alias("v")).join(named[of], "k")
-        return d.groupBy(*ids).agg(*[F.max(F.when(F.col("name") == c, F.regexp_replace("v", r"[\[\]']", ""))).alias(c) for c in cols])
+        d = df.select(*ids, F.explode("data").alias("d")).select(*ids, F.col("d._key").alias("k"), F.col("d._VALUE").alias("val")).join(named[of], "k")
+        return d.groupBy(*ids).agg(*[F.max(F.when(F.col("name") == c, F.regexp_replace("val", r"[\[\]']", ""))).alias(c) for c in cols])
 
     data = "data array<struct<_VALUE:string,_key:string>>"
     n = wide(table("node", f"_id bigint, {data}").withColumnRenamed("_id", "node_id"), "node", ["node_id"], ["x", "y"])
@@ -152,12 +152,13 @@ def read_decisions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_runs(spark: SparkSession, root: str, required: list[str]) -> DataFrame:
-    """Run folders that hold every required file; the newest has the greatest name."""
+    """Run folders that hold every required entry; the newest has the greatest name."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
     parts = F.split(F.regexp_replace("path", f"^.*?{root.rstrip('/')}/", ""), "/")
     runs = f.select(parts[0].alias("run_id"), parts[1].alias("name")).groupBy("run_id").agg(F.collect_set("name").alias("names"))
     full = runs.filter(F.forall(F.array(*[F.lit(r) for r in required]), lambda r: F.array_contains("names", r))).select("run_id")
-    return full.withColumn("newest", F.col("run_id") == full.agg(F.max("run_id")).first()[0]) if full.take(1) else full.withColumn("newest", F.lit(False))
+    top = full.agg(F.max("run_id").alias("_top"))
+    return attach_all(full, top).select("run_id", (F.col("run_id") == F.col("_top")).alias("newest"))
 
 
 def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:

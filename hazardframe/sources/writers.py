@@ -26,7 +26,7 @@ def asc_lines(cells: DataFrame, grid: Grid, fmt: str, nodata: float = -9999, key
     val = F.format_string(fmt, F.col("value").cast("long" if fmt.endswith("d") else "double"))
     row = cells.groupBy(*keys, "r").agg(F.map_from_entries(F.collect_list(F.struct(F.col("c").cast("int").alias("c"), val.alias("v")))).alias("m"))
     files = cells.select(*keys).distinct() if keys else cells.sparkSession.range(1).select()
-    rows = files.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(grid.nrows - 1))).cast("long")).join(row, [*keys, "r"], "left")
+    rows = files.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid.nrows - 1).cast("long")))).join(row, [*keys, "r"], "left")
     line = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(grid.ncols - 1)), lambda c: F.coalesce(F.try_element_at("m", c), F.lit(f"{nodata:g}"))), " ")
     body = rows.select(*keys, (F.col("r") + 6).alias("ord"), line.alias("value"))
     top = files.withColumn("h", F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("ord"), F.lit(t).alias("value")) for i, t in enumerate(head)]))).select(*keys, "h.*")
