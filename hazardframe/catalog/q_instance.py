@@ -88,3 +88,8 @@ def s16(v):
     b = c.groupBy(F.pmod(F.xxhash64("uid"), F.lit(16)).alias("k")).agg(F.to_json(F.collect_list(F.struct("uid", "claims"))).alias("value"))
     b.repartition(16, "k").select("value").write.option("maxRecordsPerFile", 1).text(p)
     return rd.read_labels(v.spark, p).select("uid", F.size("claims").cast("long").alias("n_claims"))
+
+
+@query("k8_md_lines", "SELECT '| '||model||' | '||n||' |' AS line FROM (SELECT model, count(*) AS n FROM fx_record GROUP BY 1 ORDER BY 1 LIMIT 25) t")
+def k8(v):
+    return wr.md_lines(v("fx_record").groupBy("model").agg(F.count("*").alias("n")), ["model"])

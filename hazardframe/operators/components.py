@@ -8,12 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from hazardframe.operators.cells import RUN, shift
-from hazardframe.operators.common import fingerprint, materialise, materialise_observed
+from hazardframe.operators.common import fingerprint, global_rank, materialise, materialise_observed
 
-EIGHT = [(0, 1), (1, -1), (1, 0), (1, 1)]
-FOUR = [(0, 1), (1, 0)]
 _SPAN = 1 << 20
 
 
@@ -52,14 +51,20 @@ def cell_key(keys: list[str]):
 
 
 def cell_components(cells: DataFrame, conn: int = 8, keys=RUN) -> DataFrame:
-    """Cells with ``comp``: the key of the component's first cell in row-major order."""
+    """Cells with ``comp``: the key of the component's first cell in row-major order.
+
+    Cells of one row that follow each other are one node (named by their first cell), so
+    the graph has row runs as nodes and links only between neighbouring rows.
+    """
     keys = list(keys)
-    base = cells.select(*keys, "r", "c").withColumn("id", cell_key(keys))
-    steps = EIGHT if conn == 8 else FOUR
-    right = shift(base, steps, [*keys, "id"]).select(*keys, "r", "c", F.col("id").alias("_from"))
-    e = right.join(base, [*keys, "r", "c"]).select(F.col("_from").alias("u"), F.col("id").alias("v"))
-    comp = components(e)
-    return base.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")).drop("id")
+    w = W.partitionBy(*keys, "r").orderBy("c")
+    base = cells.select(*keys, "r", "c").withColumn("_g", F.col("c") - F.row_number().over(w))
+    base = base.withColumn("id", F.min(cell_key(keys)).over(W.partitionBy(*keys, "r", "_g"))).drop("_g")
+    base = materialise(base, "row-runs")
+    steps = [(1, -1), (1, 0), (1, 1)] if conn == 8 else [(1, 0)]
+    below = shift(base, steps, [*keys, "id"]).select(*keys, "r", "c", F.col("id").alias("_from"))
+    e = below.join(base, [*keys, "r", "c"]).select(F.col("_from").alias("u"), F.col("id").alias("v")).distinct()
+    return base.join(components(e).withColumnRenamed("comp", "_c"), "id", "left").withColumn("comp", F.coalesce("_c", "id")).drop("id", "_c")
 
 
 def front_components(pins: DataFrame, d: float = 375.0, pid: str = "pin_id") -> DataFrame:
@@ -113,15 +118,12 @@ def fill_holes(cells: DataFrame, keys=RUN) -> DataFrame:
     box = part.groupBy(*keys, "comp").agg(
         (F.min("r") - 1).alias("r0"), (F.max("r") + 1).alias("r1"), (F.min("c") - 1).alias("c0"), (F.max("c") + 1).alias("c1")
     ).filter("r1 - r0 >= 4 AND c1 - c0 >= 4")  # smaller parts cannot hold an island
+    box = global_rank(box, [F.col("comp")], "part")
     area = box.withColumn("r", F.explode(F.sequence("r0", "r1"))).withColumn("c", F.explode(F.sequence("c0", "c1")))
-    back = area.join(part.select("comp", "r", "c"), ["comp", "r", "c"], "left_anti")
-    back = back.withColumn("gid", F.xxhash64("comp", "r", "c"))
-    steps = shift(back, FOUR, ["comp", "gid"]).select("comp", "r", "c", F.col("gid").alias("_from"))
-    e = steps.join(back.select("comp", "r", "c", "gid"), ["comp", "r", "c"]).select(F.col("_from").alias("u"), F.col("gid").alias("v"))
-    lab = components(e)
-    back = back.join(lab.select(F.col("id").alias("gid"), F.col("comp").alias("region")), "gid", "left")
-    back = materialise(back.withColumn("region", F.coalesce("region", "gid")), "background")
+    back = materialise(area.join(part.select("comp", "r", "c"), ["comp", "r", "c"], "left_anti"), "background")
+    region = cell_components(back, 4, ["part"]).withColumnRenamed("comp", "region")
+    back = materialise(back.join(region, ["part", "r", "c"]), "regions")
     edge = (F.col("r") == F.col("r0")) | (F.col("r") == F.col("r1")) | (F.col("c") == F.col("c0")) | (F.col("c") == F.col("c1"))
-    outer = back.filter(edge).select("comp", "region").distinct()
-    holes = back.join(outer, ["comp", "region"], "left_anti").select(*keys, "r", "c")
+    outer = back.filter(edge).select("region").distinct()
+    holes = back.join(outer, "region", "left_anti").select(*keys, "r", "c")
     return cells.select(*keys, "r", "c").union(holes).distinct()

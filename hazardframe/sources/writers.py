@@ -133,6 +133,12 @@ def md_table(df: DataFrame, max_rows: int = 25) -> str:
     return "\n".join(out + (["", f"(first {max_rows} rows)"] if len(rows) > max_rows else []))
 
 
+def md_lines(df: DataFrame, order: list[str], max_rows: int = 25) -> DataFrame:
+    """Body lines of the same table as a frame, for reports written by Spark."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+    return df.orderBy(*order).limit(max_rows).select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
 def write_validation_layers(layers: dict[str, DataFrame], path: str) -> None:
     """One feature collection folder per layer with x and y."""
     for name, df in layers.items():
