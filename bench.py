@@ -15,7 +15,6 @@ HEADLINE = [
     "w3_daily_codes", "r9_fire_weather", "r7_idw", "r1_seed_cells", "r3_blocked_zone", "w8_growth_rings", "j22_diff_grids",
     "j3_within_distance", "j10_snap_to_nodes", "j5_cut_edges", "r4_exposure", "r14_reconstruct_arrival", "a8_pooled_metrics",
     "f27_contract_outcome", "a50_comparison_table", "a29_discordance", "f19_numeric_traceability", "t7_blind",
-    "g2_cell_components",
 ]
 
 
