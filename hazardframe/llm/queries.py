@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazardframe.llm import bpe, sequences, store, warc
+from hazardframe.llm import bpe, sequences, sketch_dedup, store, suffix_dedup, warc
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -53,6 +53,11 @@ def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@_query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @_query("op5_arrow_sequences")
 def op5_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = sequences.write_sequences(table(spark, sf_dir, "documents"), store.shared_uri(spark, "sequences"), tokenizer_file(), END_ID)
@@ -62,3 +67,8 @@ def op5_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_forced_boundary_bpe")
 def op7_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+@_query("op9_count_min_dedup")
+def op9_count_min_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch_dedup.remove(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
