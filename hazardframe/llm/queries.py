@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazardframe.llm import bpe, sequences, sketch_dedup, store, suffix_dedup, warc
+from hazardframe.llm import bpe, sequences, signature_join, sketch_dedup, store, suffix_dedup, warc
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -72,3 +72,8 @@ def op7_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_count_min_dedup")
 def op9_count_min_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_dedup.remove(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@_query("op10_signature_join")
+def op10_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.linked_components(table(spark, sf_dir, "documents"))
