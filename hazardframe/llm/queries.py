@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hazardframe.llm import bpe, sequences, signature_join, sketch_dedup, store, suffix_dedup, warc
+from hazardframe.llm import bpe, sequences, signature_join, sketch_dedup, store, suffix_dedup, toxicity, warc
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -77,3 +78,11 @@ def op9_count_min_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_signature_join")
 def op10_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signature_join.linked_components(table(spark, sf_dir, "documents"))
+
+
+@_query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.is_held_out())
+    rows = toxicity.scores(docs, model)
+    return rows.select("doc_id", toxicity.is_held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
