@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardframe.llm import bpe, sequences, signature_join, sketch_dedup, store, suffix_dedup, toxicity, warc
+from hazardframe.llm import bpe, latent, sequences, signature_join, sketch_dedup, store, suffix_dedup, toxicity, warc
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -86,3 +86,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.is_held_out())
     rows = toxicity.scores(docs, model)
     return rows.select("doc_id", toxicity.is_held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@_query("op1_latent_decontamination")
+def op1_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = latent.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("t")
