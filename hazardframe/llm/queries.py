@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardframe.llm import bpe, latent, sequences, signature_join, sketch_dedup, store, suffix_dedup, toxicity, warc
+from hazardframe.llm import bpe, fingerprints, latent, licences, sequences, signature_join, sketch_dedup, store, suffix_dedup, toxicity, warc
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -92,3 +92,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = latent.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("t")
+
+
+@_query("op3_bottom_k_fingerprints")
+def op3_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_report(table(spark, sf_dir, "documents"))
+
+
+@_query("op6_licence_scan")
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents")).drop("spans")

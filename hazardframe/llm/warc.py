@@ -1,7 +1,7 @@
 """WARC records in ZIP packages, read by byte ranges.
 
-A package is a ZIP file with two stored (uncompressed) members: the WARC file and a line
-index of its records. A reader parses the end record, the ZIP64 records where present and
+A package is a ZIP file with two stored members: the WARC file, each record a gzip member of
+its own as the format recommends, and a line index of its records. A reader parses the end record, the ZIP64 records where present and
 the central directory, finds where the members' bytes lie, and reads single records by
 range; nothing is extracted. Packages are written by tasks to the shared folder; only the
 packages listed in the manifest, which Spark commits, exist for readers.
@@ -12,6 +12,7 @@ is kept as null, an empty input gives no package, repeated rows give one record
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import io
 import json
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from hazardframe.llm import store
 from hazardframe.operators.common import materialise
 
-WARC_MEMBER, INDEX_MEMBER = "archive/data.warc", "indexes/index.cdxj"
+WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 #: A package is closed once its WARC member has so many bytes.
 PACKAGE_BYTES = 32 << 20
 #: Payloads below this size are never stored as revisits.
@@ -107,6 +108,7 @@ def write_packages(classified: DataFrame, folder: str, package_bytes: int = PACK
                 nonlocal pending, size
                 while pending is not None and size < package_bytes:
                     r, raw = pending, record(pending["page_id"], pending["url"], pending["body"], pending["digest"], pending["first"])
+                    raw = gzip.compress(raw, 6, mtime=0)
                     size += len(raw)
                     yield {"page_id": r["page_id"], "type": "response" if r["first"] is None else "revisit"}, raw
                     pending = next(rows, None)
@@ -194,7 +196,7 @@ def read_records(records: DataFrame, payloads: bool = True) -> DataFrame:
                 for name, at, size in zip(part["package"], part["record_at"], part["record_bytes"]):
                     if name not in opened:
                         opened[name] = store.open_input(name)
-                    rows.append(parse_record(opened[name].read_at(size, at)))
+                    rows.append(parse_record(gzip.decompress(opened[name].read_at(size, at))))
                 for f in opened.values():
                     f.close()
                 if not payloads:
