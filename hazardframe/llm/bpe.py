@@ -60,3 +60,19 @@ def digests(docs: DataFrame, tokenizer_file: str) -> DataFrame:
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+def tokenised(docs: DataFrame, tokenizer_file: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded): ids of every text, and those ids decoded."""
+
+    def run(batches):
+        e = encoder(tokenizer_file)
+        for batch, buf, off in text_chunks(batches):
+            got = e.encode(buf, off)
+            ids = [got.ids(i).astype(np.int32) for i in range(len(got))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([x.decode(errors="replace") for x in got.decoded()], pa.string())],
+                names=["doc_id", "n_tokens", "ids", "decoded"],
+            )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")

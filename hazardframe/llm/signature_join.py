@@ -30,8 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from hazardframe.llm.arrays import U64, Rolling, lower_ascii, mix, signed, text_chunks, word_bounds, word_hashes
+from hazardframe.llm.repeats import keyed
 from hazardframe.llm.sketch_dedup import MAX_BITS, ROWS, cells, estimated_repeated, sketch
 from hazardframe.operators.common import estimated_bytes, materialise
 from hazardframe.operators.components import components
@@ -303,13 +305,13 @@ def profiles(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
             ids = batch.column("doc_id").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), signed(np.array(hashes, U64)), pa.array([len(s) for s in sets], pa.int32()), signed(np.array([row_key(d, h) for d, h in zip(ids, hashes)], U64)),
+                    batch.column("doc_id"), batch.column("t"), signed(np.array(hashes, U64)), pa.array([len(s) for s in sets], pa.int32()), signed(np.array([row_key(d, h) for d, h in zip(ids, hashes)], U64)),
                     pa.array(rare, pa.list_(pa.int64())), pa.array(maps, pa.binary()),
                 ],
-                names=["doc_id", "h", "size", "key", "rare", "bits"],
+                names=["doc_id", "t", "h", "size", "key", "rare", "bits"],
             )
 
-    return materialise(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h long, size int, key long, rare array<long>, bits binary"), "profiles")
+    return materialise(docs.mapInArrow(run, "doc_id long, t long, h long, size int, key long, rare array<long>, bits binary"), "profiles")
 
 
 def _member_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
@@ -337,7 +339,12 @@ def _member_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
 
 def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return components_of(docs, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def components_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``linked_components`` with ``t``, the hash of the row's text."""
+    docs = keyed(docs)
     rows = profiles(docs, words, percent)
     classes = rows.filter("size > 0").groupBy("h").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "key")).alias("own"), F.max("size").alias("size"))
     classes = materialise(classes.select("h", "least", F.col("own.key").alias("key"), "size"), "classes")
@@ -359,6 +366,26 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     named = classes.join(true, "h", "left").withColumn("comp", F.coalesce("comp", "h"))
     names = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = materialise(named.join(names, "comp").select("h", "component_id"), "named")
-    out = rows.select("doc_id", "h", "size").join(named, "h", "left")
+    out = rows.select("doc_id", "t", "h", "size").join(named, "h", "left")
     own_name = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), own_name.alias("component_id"))
+    return out.select("doc_id", "t", F.col("size").cast("long").alias("n_shingles"), own_name.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Rows of ``docs``, all columns: of every component the row with the least id stays.
+
+    Rows without shingles all stay; of rows with one id in one component, that with the
+    least text hash stays, and of equal rows one.
+    """
+    rows = materialise(components_of(docs, words, percent), "components")
+    empty = rows.filter("n_shingles = 0").select("doc_id", "t").distinct().withColumn("single", F.lit(False))
+    first = rows.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")).alias("own"))
+    stay = empty.unionAll(first.select("own.doc_id", "own.t", F.lit(True).alias("single")))
+    stay = stay.select(F.col("doc_id").alias("_stay_id"), F.col("t").alias("_stay_t"), F.col("single").alias("_single"))
+    t = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    kept = docs.join(stay.hint("shuffle_merge"), docs["doc_id"].cast("long").eqNullSafe(F.col("_stay_id")) & (t == F.col("_stay_t")))
+    repeats = rows.filter("n_shingles > 0").groupBy("doc_id", "t").count().filter("count > 1")
+    if repeats.take(1):  # equal rows: keep one of each
+        w = W.partitionBy("_stay_id", "_stay_t").orderBy(F.lit(1))
+        kept = kept.withColumn("_n", F.row_number().over(w)).filter(~F.col("_single") | (F.col("_n") == 1)).drop("_n")
+    return kept.select(*[docs[c] for c in docs.columns])

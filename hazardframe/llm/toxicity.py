@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazardframe.llm.arrays import U64, lower_ascii, mix, signed, text_chunks
 
@@ -173,16 +174,25 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def scores(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (default: the id) of every row of ``docs``, with ``score``."""
+def scores(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """Columns ``keep`` (default: the id) of every row of ``docs``, and the score as ``name``."""
     keep = keep or ["doc_id"]
+    if name in keep:
+        raise ValueError(f"the rows already have a column {name}")
     used = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
-    names = [f.name for f in rows.schema if f.name in keep]
+    kept = [f for f in docs.schema if f.name in keep]
+    rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], *([] if "text" in keep else ["text"]))
 
     def run(batches):
         for batch, buf, off in text_chunks(batches):
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(used.value.score(buf, off))], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(used.value.score(buf, off))], names=[*(f.name for f in kept), name])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
-    return rows.mapInArrow(run, f"{kinds}, score double")
+    return rows.mapInArrow(run, T.StructType([*kept, T.StructField(name, T.DoubleType())]))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs``, all columns, whose score stays below ``threshold``."""
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return scores(docs, model, docs.columns, name).filter(F.col(name) < threshold).drop(name)
