@@ -21,9 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazardframe.llm.arrays import U64, text_buffer, text_chunks
-from hazardframe.llm.sequences import id_ranges
+from hazardframe.llm.sequences import id_ranges, input_bytes
 from hazardframe.llm.signature_join import shingle_sets
-from hazardframe.operators.common import estimated_bytes
 
 K, WORDS = 128, 5
 RANGE_BYTES = 8 << 20
@@ -130,7 +129,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     comes the first one. Parts are id ranges; what the driver sees is one id per part.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    part, n = id_ranges(docs, max(1, round(estimated_bytes(docs) / RANGE_BYTES)))
+    part, n = id_ranges(docs, max(1, round(input_bytes(docs) / RANGE_BYTES)))
     firsts = docs.select(part.alias("part"), "doc_id").groupBy("part").agg(F.min(F.struct("doc_id")).alias("least")).orderBy("part").collect()
     target = F.lit(None).cast("int")
     for i, r in enumerate(firsts):

@@ -31,6 +31,14 @@ SHARD_BYTES = 16 << 20
 INDEX = "doc_id long, shard int, file string, local_start long, n_tokens long"
 
 
+def input_bytes(docs: DataFrame) -> int:
+    """Spark's estimate of the rows' size; where it has none, the bytes of the texts are summed."""
+    known = estimated_bytes(docs)
+    if known < 1 << 50:
+        return known
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def id_ranges(docs: DataFrame, n: int, id_col: str = "doc_id") -> tuple[Column, int]:
     """A column that gives each row its range of ids (0 to n - 1, in order), and n."""
     cuts = docs.select(F.col(id_col).cast("double").alias("x")).approxQuantile("x", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
@@ -119,7 +127,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer_file: str, end_id: i
     """Encode ``docs`` (doc_id, text) and write the shards; returns the committed index of documents."""
     store.make_folder(folder)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shard, n = id_ranges(docs, max(1, round(estimated_bytes(docs) / shard_bytes)))
+    shard, n = id_ranges(docs, max(1, round(input_bytes(docs) / shard_bytes)))
     dealt = docs.withColumn("shard", shard).repartitionById(n, F.col("shard"))
     dealt = dealt.sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), F.xxhash64("text"))
 
