@@ -27,6 +27,16 @@ ring AS (SELECT w.run_id, w.head AS ring_id, w.seq, b.ar, b.ac, b.br, b.bc FROM
   WHERE w.head IN (SELECT head FROM walk WHERE nid=head))"""
 
 
+def cell_number(cell: str):
+    """The number that the twins give a cell of one run."""
+    return F.expr(f"{cell}.run_id * 1099511627776 + ({cell}.r + 1) * 1048576 + {cell}.c + 1")
+
+
+def numbered(rings):
+    """Ring ids as the twins number them."""
+    return rings.withColumn("ring_id", cell_number("ring_id.id") * 4 + F.col("ring_id.k"))
+
+
 def _rings(cells: str) -> str:
     return SIDES.replace("CELLS", cells)
 
@@ -260,7 +270,7 @@ cc(id, comp) USING KEY (id) AS (SELECT id, id FROM cellk UNION SELECT nb.v, min(
 
 @query("g2_cell_components", f"WITH RECURSIVE {_cc_sql('fx_arrival', 8)} SELECT run_id, r, c, comp FROM cellk JOIN cc ON cc.id=cellk.id")
 def g2(v):
-    return cc.cell_components(v("fx_arrival"), 8).select("run_id", "r", "c", "comp")
+    return cc.cell_components(v("fx_arrival"), 8).select("run_id", "r", "c", cell_number("comp").alias("comp"))
 
 
 @query("p11_drop_specks", f"""WITH RECURSIVE {_cc_sql('fx_arrival', 8)}, s AS (SELECT run_id, comp, count(*)*40000 AS area FROM cellk JOIN cc ON cc.id=cellk.id GROUP BY 1,2),
@@ -289,7 +299,7 @@ def u4(v):
 ext AS (SELECT ring_id, count(*) AS n_ring FROM ring GROUP BY 1 HAVING sum(ac*br-bc*ar)>0)
 SELECT ring.run_id, ring.ring_id, ring.seq, ext.n_ring, ar, ac, br, bc FROM ring JOIN ext ON ext.ring_id=ring.ring_id""")
 def g7(v):
-    return rg.boundary_rings(v("fx_arrival").filter("arrival <= 5")).drop("area2")
+    return numbered(rg.boundary_rings(v("fx_arrival").filter("arrival <= 5")).drop("area2"))
 
 
 @query("w13_sample_rings", f"""WITH RECURSIVE fire AS (SELECT run_id, r, c FROM fx_arrival WHERE arrival<=3), {_rings('fire')},
@@ -298,5 +308,5 @@ sm AS (SELECT ring.*, unnest(generate_series(CAST(ceil(seq*200/30.0) AS BIGINT),
 SELECT run_id, ring_id, idx, idx*30.0::DOUBLE AS chainage_m, round(ac*200+(idx*30-seq*200)/200.0*(bc-ac)*200,4) AS x, round(24000-ar*200-(idx*30-seq*200)/200.0*(br-ar)*200,4) AS y FROM sm""")
 def w13(v):
     segs = rg.ring_segments(rg.boundary_rings(v("fx_arrival").filter("arrival <= 3")), RUN_GRID)
-    out = rg.sample_rings(segs, side=CELL)
+    out = numbered(rg.sample_rings(segs, side=CELL))
     return out.withColumn("x", F.round("x", 4)).withColumn("y", F.round("y", 4))

@@ -90,6 +90,6 @@ def s16(v):
     return rd.read_labels(v.spark, p).select("uid", F.size("claims").cast("long").alias("n_claims"))
 
 
-@query("k8_md_lines", "SELECT '| '||model||' | '||n||' |' AS line FROM (SELECT model, count(*) AS n FROM fx_record GROUP BY 1 ORDER BY 1 LIMIT 25) t")
+@query("k8_md_lines", "SELECT '| '||model||' | '||n||' |' AS line FROM (SELECT model, count(*) AS n FROM fx_record GROUP BY 1 ORDER BY 1) t")
 def k8(v):
     return wr.md_lines(v("fx_record").groupBy("model").agg(F.count("*").alias("n")), ["model"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hazardframe.catalog.q_cells import CELL, RUN_GRID, _rings
+from hazardframe.catalog.q_cells import CELL, RUN_GRID, _rings, numbered
 from hazardframe.catalog.q_network import GRID, _fire
 from hazardframe.catalog.registry import query
 from hazardframe.functions import geo
@@ -319,7 +319,7 @@ LEFT JOIN (SELECT run_id, r, c, {_INT} AS fi FROM fx_arrival WHERE arrival<=3) f
 def r12(v):
     f = v("fx_arrival").filter("arrival <= 3")
     segs = rg.ring_segments(rg.boundary_rings(f), RUN_GRID)
-    return rg.cell_sides_classes(segs, f.withColumn("fi", F.expr(_INT)), RUN_GRID, ["run_id"]).select("run_id", "ring_id", "seq", "cls")
+    return numbered(rg.cell_sides_classes(segs, f.withColumn("fi", F.expr(_INT)), RUN_GRID, ["run_id"]).select("run_id", "ring_id", "seq", "cls"))
 
 
 _A3 = """x AS (SELECT l_suppkey AS run_id, l_partkey%5 AS cls, l_quantity AS len FROM lineitem), p AS (SELECT run_id, k, coalesce(sum(len) FILTER (cls=k),0)*100.0/sum(len) FILTER (cls>0) AS pct FROM x, (SELECT unnest([1,2,3,4]) AS k) z GROUP BY 1,2)"""

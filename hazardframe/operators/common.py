@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,12 +17,15 @@ BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: the session's ``spark.checkpoint.dir``.
 
-    A private folder is made only where the setting is absent (tests, local runs).
+    A private folder is made only where the setting is absent and all tasks run on this
+    machine; on a cluster each executor would write to its own disk.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="spark-hazardframe-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
@@ -58,7 +62,8 @@ def materialise_observed(df: DataFrame, label: str, **metrics) -> tuple[DataFram
 
 def fingerprint(*cols) -> Column:
     """Order-independent checksum of the rows' columns, to detect that a loop has settled."""
-    return F.sum(F.pmod(F.xxhash64(*cols), F.lit(1_000_000_007)))
+    h = F.xxhash64(*cols)
+    return F.concat_ws(":", F.count(F.lit(1)), F.bit_xor(h), F.sum(h.cast("decimal(20,0)")))
 
 
 def is_empty(df: DataFrame) -> bool:
@@ -99,7 +104,7 @@ def attach_all(big: DataFrame, little: DataFrame, salts: int = 64) -> DataFrame:
         l1 = F.broadcast(little.withColumn("_k", F.lit(0)))
         return big.withColumn("_k", F.lit(0)).join(l1, "_k").drop("_k")
     l2 = little.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn("_k", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")).join(l2, "_k").drop("_k")
+    return big.withColumn("_k", (F.monotonically_increasing_id() % salts).cast("int")).join(l2, "_k").drop("_k")
 
 
 def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:

@@ -6,15 +6,13 @@ map-side pre-aggregated minima, so neither long chains nor hub nodes slow it dow
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hazardframe.operators.cells import RUN, shift
 from hazardframe.operators.common import fingerprint, global_rank, materialise, materialise_observed
 
-_SPAN = 1 << 20
-
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -44,14 +42,13 @@ def components(edges: DataFrame) -> DataFrame:
     return star.union(star.select(F.col("comp").alias("id"), "comp").distinct())
 
 
-def cell_key(keys: list[str]):
-    """One long per cell that sorts by grid, then row-major (at most one integer key)."""
-    k = F.col(keys[0]).cast("long") if keys else F.lit(0).cast("long")
-    return k * (_SPAN * _SPAN) + (F.col("r") + 1).cast("long") * _SPAN + (F.col("c") + 1).cast("long")
+def cell_id(keys: list[str]) -> Column:
+    """A cell's identity over all grids: sorts by the grid's keys (any number and type), then row-major."""
+    return F.struct(*keys, "r", "c")
 
 
 def cell_components(cells: DataFrame, conn: int = 8, keys=RUN) -> DataFrame:
-    """Cells with ``comp``: the key of the component's first cell in row-major order.
+    """Cells with ``comp``: the identity (keys, r, c) of the component's first cell in row-major order.
 
     Cells of one row that follow each other are one node (named by their first cell), so
     the graph has row runs as nodes and links only between neighbouring rows.
@@ -59,7 +56,7 @@ def cell_components(cells: DataFrame, conn: int = 8, keys=RUN) -> DataFrame:
     keys = list(keys)
     w = W.partitionBy(*keys, "r").orderBy("c")
     base = cells.select(*keys, "r", "c").withColumn("_g", F.col("c") - F.row_number().over(w))
-    base = base.withColumn("id", F.min(cell_key(keys)).over(W.partitionBy(*keys, "r", "_g"))).drop("_g")
+    base = base.withColumn("id", F.min(cell_id(keys)).over(W.partitionBy(*keys, "r", "_g"))).drop("_g")
     base = materialise(base, "row-runs")
     steps = [(1, -1), (1, 0), (1, 1)] if conn == 8 else [(1, 0)]
     below = shift(base, steps, [*keys, "id"]).select(*keys, "r", "c", F.col("id").alias("_from"))
@@ -102,7 +99,7 @@ def front_components(pins: DataFrame, d: float = 375.0, pid: str = "pin_id") ->
 def drop_specks(comps: DataFrame, cell: float, min_area: float = 2e4, keys=RUN) -> DataFrame:
     """Cells of components of at least ``min_area``; the largest is kept when all are smaller."""
     size = comps.groupBy(*keys, "comp").agg((F.count("*") * cell * cell).alias("area"))
-    top = size.groupBy(*keys).agg(F.max("area").alias("top"), F.max_by("comp", F.struct("area", -F.col("comp"))).alias("big"))
+    top = size.groupBy(*keys).agg(F.max("area").alias("top"), F.min_by("comp", F.struct(-F.col("area"), "comp")).alias("big"))
     keep = size.join(top, list(keys)).filter((F.col("area") >= min_area) | ((F.col("top") < min_area) & (F.col("comp") == F.col("big"))))
     return comps.join(keep.select(*keys, "comp"), [*keys, "comp"], "left_semi")
 

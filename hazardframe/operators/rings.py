@@ -15,7 +15,7 @@ from hazardframe.functions.base import dbl
 from hazardframe.functions.geo import segment_distance
 from hazardframe.operators.cells import RUN, Grid, shift
 from hazardframe.operators.common import fingerprint, materialise, materialise_observed
-from hazardframe.operators.components import cell_key
+from hazardframe.operators.components import cell_id
 
 SPACING_M = 30.0
 # Sides of a cell in clockwise order from the top: (neighbour offset, from corner, to corner).
@@ -34,7 +34,7 @@ def boundary_sides(cells: DataFrame, keys=RUN) -> DataFrame:
                  F.lit(a[1]).alias("ac"), F.lit(b[0]).alias("br"), F.lit(b[1]).alias("bc"))
         for k, (n, a, b) in enumerate(_SIDES)
     ])
-    s = base.withColumn("id", cell_key(keys)).withColumn("s", F.explode(arr))
+    s = base.withColumn("id", cell_id(keys)).withColumn("s", F.explode(arr))
     s = s.select(
         *keys, "id", F.col("s.k").alias("k"), (F.col("r") + F.col("s.nr")).alias("nr"), (F.col("c") + F.col("s.nc")).alias("nc"),
         (F.col("r") + F.col("s.ar")).alias("ar"), (F.col("c") + F.col("s.ac")).alias("ac"),
@@ -53,7 +53,7 @@ def _next_sides(sides: DataFrame, keys) -> DataFrame:
 
 
 def boundary_rings(cells: DataFrame, keys=RUN, exterior_only: bool = True) -> DataFrame:
-    """Closed boundary rings: one row per side with ``ring_id``, position ``seq`` and length ``n_ring``.
+    """Closed boundary rings: one row per side with ``ring_id`` (its first side: cell and side number), position ``seq`` and length ``n_ring``.
 
     Cells that touch only at a corner belong to different rings. With ``exterior_only``
     the rings around islands (counter-clockwise) are left out.
@@ -91,7 +91,7 @@ def boundary_rings(cells: DataFrame, keys=RUN, exterior_only: bool = True) -> Da
     )
     if exterior_only:
         size = size.filter("area2 > 0")
-    out = out.join(size, "head").withColumn("ring_id", F.col("head.id") * 4 + F.col("head.k"))
+    out = out.join(size, "head").withColumnRenamed("head", "ring_id")
     return out.select(*keys, "ring_id", "seq", "n_ring", "area2", "ar", "ac", "br", "bc")
 
 

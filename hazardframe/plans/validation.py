@@ -71,9 +71,7 @@ def fragment_sensitivity(arrival: DataFrame, hour: int, scar_segs: DataFrame, gr
     arr = F.array(*[F.lit(float(t)) for t in thresholds_ha])
     kept = size.withColumn("min_ha", F.explode(arr)).filter("ha >= min_ha")
     side = rg.boundary_sides(comp, ["hour"]).select((F.col("id")).alias("cid"), "ar", "ac", "br", "bc")
-    from hazardframe.operators.components import cell_key
-
-    sides = comp.select(cell_key(["hour"]).alias("cid"), "comp").join(side, "cid")
+    sides = comp.select(cc.cell_id(["hour"]).alias("cid"), "comp").join(side, "cid")
     mid = sides.withColumn("x", (F.col("ac") + F.col("bc")) / 2 * grid.cell + grid.x0).withColumn("y", F.lit(grid.y_top) - (F.col("ar") + F.col("br")) / 2 * grid.cell)
     mid = mid.withColumn("sid", F.struct("cid", "ar", "ac", "br", "bc"))
     d = pm.dist_to_segments(mid.select("sid", "comp", "x", "y"), scar_segs, ["sid", "comp"])

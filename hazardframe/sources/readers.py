@@ -120,7 +120,9 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def read_jsonl_runs(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
     """Run records, one JSON object per line. A torn last line is tolerated; a bad line
     elsewhere is an error."""
-    lines = spark.read.text(path).select(F.col(FILE).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"), F.trim("value").alias("line")).filter("line <> ''")
+    lines = spark.read.text(path).select(F.col(FILE).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.trim("value").alias("line")).filter("line <> ''")
+    # A split's rows keep their order in the file; splits are ordered by where they start.
+    lines = lines.withColumn("pos", F.struct("block", "row")).drop("block", "row")
     bad = lines.filter(F.try_parse_json("line").isNull())
     if strict:
         last = lines.groupBy("file").agg(F.max("pos").alias("last"))

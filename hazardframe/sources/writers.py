@@ -83,7 +83,8 @@ def write_run(tables: dict[str, DataFrame], root: str, mode: str = "error") -> N
 
 
 def write_atomic(df: DataFrame, path: str, fmt: str = "parquet") -> str | None:
-    """All-or-nothing replacement; the previous version is kept and its path returned."""
+    """Replacement that keeps the previous version and returns its path; a failed rename is an error
+    and leaves the previous version in place."""
     spark = df.sparkSession
     tmp = f"{path}.tmp-{uuid.uuid4().hex}"
     df.write.format(fmt).save(tmp)
@@ -91,8 +92,12 @@ def write_atomic(df: DataFrame, path: str, fmt: str = "parquet") -> str | None:
     kept = None
     if fs.exists(target):
         kept = f"{path}.prev-{uuid.uuid4().hex[:8]}"
-        fs.rename(target, _fs(spark, kept)[0])
-    fs.rename(_fs(spark, tmp)[0], target)
+        if not fs.rename(target, _fs(spark, kept)[0]):
+            raise OSError(f"{path} could not be set aside; the new version is at {tmp}")
+    if not fs.rename(_fs(spark, tmp)[0], target):
+        if kept and not fs.rename(_fs(spark, kept)[0], target):
+            raise OSError(f"{path} could not be replaced nor restored; versions are at {tmp} and {kept}")
+        raise OSError(f"{path} could not be replaced; the new version is at {tmp}")
     return kept
 
 
@@ -124,7 +129,7 @@ def write_records(df: DataFrame, path: str) -> None:
     records_frame(df).write.option("header", True).option("escape", '"').csv(path)
 
 
-def md_table(df: DataFrame, max_rows: int = 25) -> str:
+def md_table(df: DataFrame, max_rows: int) -> str:
     """Markdown table of an aggregated frame, cut at ``max_rows`` with a note."""
     rows = df.limit(max_rows + 1).collect()
     cols = df.columns
@@ -133,10 +138,10 @@ def md_table(df: DataFrame, max_rows: int = 25) -> str:
     return "\n".join(out + (["", f"(first {max_rows} rows)"] if len(rows) > max_rows else []))
 
 
-def md_lines(df: DataFrame, order: list[str], max_rows: int = 25) -> DataFrame:
-    """Body lines of the same table as a frame, for reports written by Spark."""
+def md_lines(df: DataFrame, order: list[str]) -> DataFrame:
+    """Body lines of the whole table as a frame, for reports written by Spark."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
-    return df.orderBy(*order).limit(max_rows).select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    return df.orderBy(*order).select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
 def write_validation_layers(layers: dict[str, DataFrame], path: str) -> None:

@@ -161,7 +161,7 @@ FROM (SELECT *, CASE WHEN kind=6 THEN 1 ELSE 0 END AS bump FROM fx_answer0) t"""
 # Claim labels and notes of a labelling pass, one record per labelled document.
 VIEWS["fx_note"] = """
 SELECT doc_id AS uid, CASE doc_id%6 WHEN 0 THEN 'Invented settlement names: Ροβιές, Δαμιά. No crown fire claim.' WHEN 1 THEN 'Omits the uncalibrated caveat; invented road and invented wind.'
-  WHEN 2 THEN 'No invented settlement here. Includes uncalibrated note' WHEN 3 THEN 'Claims forecast where the source is archive; place names: Κήρινθος, the coast' WHEN 4 THEN 'OFF-BY-ONE: none. Crown fire wording used' ELSE 'Nothing to report' END AS notes,
+  WHEN 2 THEN 'No invented settlement names: Ιστιαία, Λίμνη. Includes uncalibrated note' WHEN 3 THEN 'Claims forecast where the source is archive; place names: Κήρινθος, the coast' WHEN 4 THEN 'OFF-BY-ONE: none. Crown fire wording used' ELSE 'Nothing to report' END AS notes,
   CASE doc_id%3 WHEN 0 THEN 'fires' WHEN 1 THEN 'routes' ELSE 'weather' END AS category FROM labels"""
 
 VIEWS["fx_claim"] = """
