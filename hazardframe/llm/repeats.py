@@ -5,7 +5,7 @@ equal stretches. A block with one class is settled at once; where a block stands
 different stretches, one representative of each class has its windows compared one by one.
 Every comparison is an aggregation with partial sums or a join with one row per key on the
 other side, so a block or class that holds a third of all rows is split by Spark like any
-skewed join. Only blocks of few classes are compared inside one task.
+skewed join. Only blocks of bounded size are compared inside one task.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from hazardframe.llm import anchors as an
 from hazardframe.llm.arrays import U64, Rolling, mix, signed, text_chunks
 from hazardframe.operators.common import materialise
 
-#: Blocks with more classes than this are compared by window rows, others inside a task.
-TASK_CLASSES = 8192
+#: Blocks whose packed window hashes may exceed this are compared by window rows, others inside a task.
+TASK_BYTES = 32 << 20
 _LIST = "array<struct<first:int,last:int,block:long,stretch:long,offset:int,n:long,least:long,many:boolean>>"
 ANCHOR = "doc_id long, t long, first int, last int, offset int, head long, tail long, stretch long"
 
@@ -175,16 +175,17 @@ def repeated_spans(candidates: DataFrame, docs: DataFrame, symbols: Symbols, spe
     classes = materialise(classes, "classes")
     blocks = classes.groupBy("block").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total"))
     classes = materialise(classes.join(blocks.filter("total > 1"), "block"), "classes")
+    task_classes = TASK_BYTES // (8 * spec.reach)
     whole = F.struct(F.lit(0).alias("a"), (F.col("own.last") - F.col("own.first")).alias("b"), (F.col("least") if earlier else F.lit(None).cast("long")).alias("m"))
     settled = classes.filter("kinds = 1").select("block", "stretch", "offset", F.array(whole).alias("runs"))
-    member = F.struct(F.col("own.first").alias("first"), F.col("own.last").alias("last"), "block", "stretch", "offset", "n", "least", (F.col("kinds") > TASK_CLASSES).alias("many"))
+    member = F.struct(F.col("own.first").alias("first"), F.col("own.last").alias("last"), "block", "stretch", "offset", "n", "least", (F.col("kinds") > task_classes).alias("many"))
     listed = classes.filter("kinds > 1").groupBy(F.col("own.doc_id").alias("doc_id"), F.col("own.t").alias("t")).agg(F.collect_list(member).alias("open"))
     listed = listed.select("doc_id", "t", F.col("open").cast(_LIST).alias("open"))
     verdicts = settled
     if classes.filter("kinds > 1").take(1):
         listed = materialise(listed, "open")
         verdicts = verdicts.unionByName(_in_tasks(_open_rows(docs, listed, symbols, spec, False), earlier))
-        if classes.filter(F.col("kinds") > TASK_CLASSES).take(1):
+        if classes.filter(F.col("kinds") > task_classes).take(1):
             verdicts = verdicts.unionByName(_by_rows(materialise(_open_rows(docs, listed, symbols, spec, True), "windows"), earlier))
     found = candidates.join(materialise(verdicts, "verdicts"), ["block", "stretch", "offset"])
     runs = F.filter("runs", lambda r: F.col("doc_id").isNull() & r["m"].isNotNull() | (r["m"] < F.col("doc_id"))) if earlier else F.col("runs")
