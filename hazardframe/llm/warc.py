@@ -57,7 +57,8 @@ def record(page_id: int | None, url: str | None, body: bytes, digest: str, first
     """One WARC record; a revisit keeps the payload's digest and size but not its bytes."""
     kind = "response" if first is None else "revisit"
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(body)}"]
-    head += [f"X-Page-Id: {page_id}"] * (page_id is not None) + [f"WARC-Target-URI: {_line(url)}"] * (url is not None)
+    head += [] if page_id is None else [f"X-Page-Id: {page_id}"]
+    head += [] if url is None else [f"WARC-Target-URI: {_line(url)}"]
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
     if first is None:
         block += body
