@@ -131,7 +131,7 @@ def g4(v):
     hourly = materialise(net.hourly_edges(v("fx_edge"), fire, hours, GRID, KEY), "hourly-edges")
     zone = materialise(cl.blocked_zone(fire, _width(v("fx_gridcell")), 200.0, KEY), "zone")
     seeds = ev.open_refuges(v("fx_settlement"), v("fx_refuge"), v("fx_node"), zone, ev.exposure(v("fx_settlement"), zone, fire, GRID, KEY), hours, GRID, KEY)
-    out = net.route_all(hourly, seeds, ["run_id", "period"])
+    out = net.route_parts(hourly, seeds, ["run_id", "period"], net.network_parts(v("fx_node")))
     return out.select("period", "node", F.round("cost", 3).alias("cost"), "refuge_id", "next_hop")
 
 

@@ -91,7 +91,7 @@ def a6(v):
 
 @query("a7_distance_stats", f"WITH RECURSIVE {SC} SELECT period, {STATS} FROM sc GROUP BY 1")
 def a7(v):
-    return _scored(v).groupBy("period").agg(*dt.distance_stats())
+    return dt.distance_stats(_scored(v), ["period"], [])
 
 
 @query("a8_pooled_metrics", f"WITH RECURSIVE {SC} SELECT {INCL}, {STATS} FROM sc")

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from hazardframe.functions import geo
 from hazardframe.functions.base import dbl
-from hazardframe.operators.common import small
+from hazardframe.operators.common import aggregate_with_percentiles, small
 
 RUN = ["run_id"]
 
@@ -156,7 +156,7 @@ def fill_nodata(cells: DataFrame, nodata, how: str = "zero", value: str = "value
     bad = F.col(value) == nodata
     if how == "zero":
         return cells.withColumn(value, F.when(bad, 0.0).otherwise(dbl(value)))
-    med = cells.groupBy(*keys).agg(F.percentile(F.when(~bad, F.col(value)), F.lit(0.5)).alias("_med"))
+    med = aggregate_with_percentiles(cells.select(*keys, value), list(keys), [F.count(F.lit(1)).alias("_cells")], F.when(~bad, F.col(value)), {"_med": 0.5}).drop("_cells")
     joined = cells.join(small(med), list(keys), "left")
     return joined.withColumn(value, F.when(bad, F.coalesce("_med", F.lit(0.0))).otherwise(dbl(value))).drop("_med")
 

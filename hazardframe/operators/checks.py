@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from hazardframe.operators import evacuation as ev
 from hazardframe.operators import network as net
 from hazardframe.operators.cells import Grid
+from hazardframe.operators.common import aggregate_with_percentiles
 
 
 def run_headline(summary: DataFrame, keys: list[str], fronts: DataFrame | None = None) -> DataFrame:
@@ -78,7 +79,8 @@ def length_report(run, nodes: DataFrame, keys: list[str]) -> DataFrame:
     lines = net.route_lines(run.path, nodes, [*keys, "period"])
     both = lines.join(net.route_length(run.path, [*keys, "period"]), [*keys, "period", "origin_id"])
     d = F.abs(F.col("drawn_m") - F.col("length_m"))
-    return both.agg(F.count("*").alias("n_routes"), F.round(F.percentile(d, F.lit(0.5)), 3).alias("median_diff_m"), F.round(F.max(d), 3).alias("max_diff_m"))
+    out = aggregate_with_percentiles(both, [], [F.count("*").alias("n_routes"), F.round(F.max(d), 3).alias("max_diff_m")], d, {"median_diff_m": 0.5})
+    return out.withColumn("median_diff_m", F.round("median_diff_m", 3))
 
 
 def reproduce(stored: DataFrame, again: DataFrame, keys: list[str]) -> DataFrame:

@@ -118,3 +118,36 @@ def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     sizes = sizes.withColumn("_off", F.sum("_c").over(W.orderBy("_b")) - F.col("_c")).drop("_c")
     pos = F.row_number().over(W.partitionBy("_b").orderBy(*order)) + F.col("_off")
     return ranged.join(F.broadcast(sizes), "_b").withColumn(name, pos).drop("_b", "_off")
+
+
+def aggregate_with_percentiles(df: DataFrame, keys: list[str], aggs: list[Column], value: Column, wanted: dict[str, float]) -> DataFrame:
+    """``aggs`` per group, and exact interpolated percentiles of ``value`` (name -> share).
+
+    Values are counted first, then laid out in order ranges; a percentile is picked by its
+    position from cumulative counts. No task holds the values of a group, however large.
+    Nulls have no position; groups without values get nulls. Without keys there is one row.
+    """
+    own = keys or ["_all"]
+    df = materialise(df.withColumn("_v", value.cast("double")).withColumn("_all", F.lit(0)), "measured")
+    counted = df.filter(F.col("_v").isNotNull()).groupBy(*own, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = materialise(counted.repartitionByRange(*own, "_v").withColumn("_b", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_b").agg(F.sum("_n").alias("_c"))  # one row per range
+    sizes = sizes.withColumn("_off", F.sum("_c").over(W.orderBy("_b")) - F.col("_c")).drop("_c")
+    upto = F.sum("_n").over(W.partitionBy("_b").orderBy(*own, "_v").rowsBetween(W.unboundedPreceding, 0)) + F.col("_off")
+    at = ranged.join(F.broadcast(sizes), "_b").withColumn("_hi", upto).withColumn("_lo", F.col("_hi") - F.col("_n"))
+    total = at.groupBy(*own).agg(F.sum("_n").alias("_total"), F.min("_lo").alias("_base"))
+    at = at.join(total, own)
+    picks = []
+    for name, share in wanted.items():
+        place = (F.col("_total") - 1) * F.lit(share)
+        for tag, i in (("a", F.floor(place)), ("b", F.ceil(place))):
+            picks.append(F.max(F.when((F.col("_lo") - F.col("_base") <= i) & (i < F.col("_hi") - F.col("_base")), F.col("_v"))).alias(f"_{name}_{tag}"))
+    found = at.groupBy(*own, "_total").agg(*picks)
+    for name, share in wanted.items():
+        place = (F.col("_total") - 1) * F.lit(share)
+        lo, hi = F.col(f"_{name}_a"), F.col(f"_{name}_b")
+        found = found.withColumn(name, F.when(F.floor(place) == F.ceil(place), lo).otherwise((F.ceil(place) - place) * lo + (place - F.floor(place)) * hi))
+    if keys:
+        return df.groupBy(*keys).agg(*aggs).join(found.select(*keys, *wanted), keys, "left")
+    one = df.agg(*aggs).withColumn("_all", F.lit(0))
+    return one.join(found.select("_all", *wanted), "_all", "left").drop("_all")

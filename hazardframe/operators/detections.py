@@ -11,7 +11,7 @@ from hazardframe.functions.base import half_even
 from hazardframe.operators import cells as cl
 from hazardframe.operators import spatial as sp
 from hazardframe.operators.cells import Grid
-from hazardframe.operators.common import require_empty
+from hazardframe.operators.common import aggregate_with_percentiles, require_empty
 
 SEED_RADIUS_M = 187.5
 BUFFERS_M = (375, 500, 1000)
@@ -95,14 +95,12 @@ def dist_to_footprint(points: DataFrame, arrival: DataFrame, grid: Grid, pid: st
     return p.join(near, pid, "left").withColumn("dist", F.when(F.col("inside"), 0.0).otherwise(F.col("_d"))).drop("_d")
 
 
-def distance_stats(col: str = "dist") -> list[Column]:
-    """Mean, median, upper percentiles and maximum in whole metres."""
-    q = F.percentile(col, F.array(*[F.lit(v) for v in (0.5, 0.75, 0.9, 0.95)]))
-    return [
-        half_even(F.avg(col)).alias("mean_m"),
-        *[half_even(q[i]).alias(n) for i, n in enumerate(("median_m", "p75_m", "p90_m", "p95_m"))],
-        half_even(F.max(col)).alias("max_m"),
-    ]
+def distance_stats(df: DataFrame, keys: list[str], aggs: list[Column], col: str = "dist") -> DataFrame:
+    """``aggs`` per group with mean, median, upper percentiles and maximum in whole metres."""
+    shares = {"median_m": 0.5, "p75_m": 0.75, "p90_m": 0.9, "p95_m": 0.95}
+    aggs = [*aggs, half_even(F.avg(col)).alias("mean_m"), half_even(F.max(col)).alias("max_m")]
+    out = aggregate_with_percentiles(df, keys, aggs, F.col(col), shares)
+    return out.withColumns({n: half_even(F.col(n)) for n in shares})
 
 
 def _inclusion() -> list[Column]:
@@ -119,7 +117,7 @@ def pass_metrics(det: DataFrame, arrival: DataFrame, seed: DataFrame, grid: Grid
     The simulated direction is that of the growth (footprint minus seed) of that hour,
     taken from running sums over hours; the whole footprint serves where nothing grew.
     """
-    m = det.groupBy("pass_t", "period").agg(*_inclusion(), *distance_stats(), F.avg("x").alias("vx"), F.avg("y").alias("vy"))
+    m = distance_stats(det, ["pass_t", "period"], [*_inclusion(), F.avg("x").alias("vx"), F.avg("y").alias("vy")])
     a = arrival.join(seed.select("r", "c").withColumn("_seed", F.lit(1)), ["r", "c"], "left")
     grown = F.col("_seed").isNull()
     per = a.groupBy(F.col("arrival").cast("long").alias("a")).agg(
@@ -142,7 +140,7 @@ def pass_metrics(det: DataFrame, arrival: DataFrame, seed: DataFrame, grid: Grid
 def pooled_metrics(det: DataFrame) -> DataFrame:
     """All detections pooled, each with its own matched outcome."""
     require_empty(det.filter("dist IS NULL OR inside IS NULL").select("det_id"), "every scored detection needs a distance")
-    return det.agg(*_inclusion(), *distance_stats())
+    return distance_stats(det, [], _inclusion())
 
 
 def footprint_agreement(pred: DataFrame, det: DataFrame, grid: Grid, ox: float, oy: float) -> DataFrame:
@@ -155,11 +153,12 @@ def footprint_agreement(pred: DataFrame, det: DataFrame, grid: Grid, ox: float,
         F.avg(F.when(F.col("p") == 1, grid.x())).alias("px"), F.avg(F.when(F.col("p") == 1, grid.y())).alias("py"),
     )
     dd = dist_to_footprint(det.withColumn("period", F.lit(0).cast("long")), pred.select("r", "c").withColumn("arrival", F.lit(0).cast("long")), grid)
-    v = dd.agg(
-        F.count("*").alias("n_detections"), F.round(F.percentile(F.col("dist") / 1000, F.lit(0.5)), 2).alias("nn_median_km"),
+    aggs = [
+        F.count("*").alias("n_detections"),
         half_even(100 * F.avg((F.col("dist") <= 375).cast("double"))).alias("within_pixel_pct"),
         half_even(100 * F.avg((F.col("dist") <= 1000).cast("double"))).alias("within_1km_pct"), F.avg("x").alias("vx"), F.avg("y").alias("vy"),
-    )
+    ]
+    v = aggregate_with_percentiles(dd, [], aggs, F.col("dist") / 1000, {"nn_median_km": 0.5}).withColumn("nn_median_km", F.round("nn_median_km", 2))
     one = b.withColumn("_k", F.lit(1)).join(v.withColumn("_k", F.lit(1)), "_k")
     sim, obs = geo.bearing(F.col("px") - ox, F.col("py") - oy), geo.bearing(F.col("vx") - ox, F.col("vy") - oy)
     return one.select(
@@ -219,16 +218,18 @@ def arrival_timing(sim: DataFrame, real: DataFrame, seed: DataFrame, seed_h: flo
     j = s.join(a, ["r", "c"], "full_outer").join(seed.select("r", "c"), ["r", "c"], "left_anti")
     win = F.col("a").isNotNull() & (F.col("a") > seed_h) & (F.col("a") <= end_h)
     hit = win & F.col("s").isNotNull()
-    err = F.when(F.coalesce(hit, F.lit(False)), F.col("s") - F.col("a"))
+    late = F.when(F.coalesce(hit, F.lit(False)), F.col("s") - F.col("a"))
+    j, err = j.withColumn("_err", late), F.col("_err")
     km2 = cell * cell / 1e6
     n_win, n_hit = F.count_if(win), F.count(err)
-    return j.agg(
+    aggs = [
         F.round(n_win * km2, 4).alias("real_window_km2"), half_even(100.0 * n_hit / F.greatest(n_win, F.lit(1))).alias("sim_reached_pct"),
-        F.round(F.percentile(err, F.lit(0.5)), 1).alias("timing_median_h"), F.round(F.avg(F.abs(err)), 4).alias("timing_mae_h"),
+        F.round(F.avg(F.abs(err)), 4).alias("timing_mae_h"),
         half_even(100.0 * F.count_if(err < 0) / F.when(n_hit > 0, n_hit)).alias("early_pct"),
         F.round(F.count_if((F.col("a") > end_h) & F.col("s").isNotNull()) * km2, 4).alias("ahead_km2"),
         F.round(F.count_if(F.col("a").isNull() & F.col("s").isNotNull()) * km2, 4).alias("outside_scar_km2"),
-    )
+    ]
+    return aggregate_with_percentiles(j, [], aggs, err, {"timing_median_h": 0.5}).withColumn("timing_median_h", F.round("timing_median_h", 1))
 
 
 def anchor_sensitivity(det: DataFrame, arrival: DataFrame, grid: Grid, anchors: list[tuple[str, str]], horizon: int) -> DataFrame:
@@ -239,4 +240,4 @@ def anchor_sensitivity(det: DataFrame, arrival: DataFrame, grid: Grid, anchors:
     d = d.withColumn("period", F.least(F.greatest(h, F.lit(0)), F.lit(horizon)))
     d = d.withColumn("det_id", F.concat_ws("@", F.col("det_id"), F.col("anchor")))
     scored = dist_to_footprint(d, arrival, grid)
-    return scored.groupBy("anchor").agg(*_inclusion(), *distance_stats())
+    return distance_stats(scored, ["anchor"], _inclusion())

@@ -11,7 +11,7 @@ from hazardframe.operators import components as cc
 from hazardframe.operators import rings as rg
 from hazardframe.operators import spatial as sp
 from hazardframe.operators.cells import Grid
-from hazardframe.operators.common import attach_all, materialise
+from hazardframe.operators.common import aggregate_with_percentiles, attach_all, materialise
 
 INDICATORS = ["mean_s2r_m", "mean_r2s_m", "median_s2r_m", "median_r2s_m", "p95_s2r_m", "p95_r2s_m",
               "max_s2r_m", "max_r2s_m", "hd95_m", "hausdorff_sym_m"]
@@ -26,10 +26,8 @@ def dist_to_segments(points: DataFrame, segs: DataFrame, pid: list[str], keys: l
 
 def direction_stats(df: DataFrame, keys: list[str], dist: str = "dist") -> DataFrame:
     """Directed distances: mean, median, p95 and maximum (the directed Hausdorff distance)."""
-    q = F.percentile(dist, F.array(F.lit(0.5), F.lit(0.95)))
-    return df.groupBy(*keys).agg(
-        F.round(F.avg(dist), 1).alias("mean_m"), F.round(q[0], 1).alias("median_m"), F.round(q[1], 1).alias("p95_m"), F.round(F.max(dist), 1).alias("max_m")
-    )
+    out = aggregate_with_percentiles(df, keys, [F.round(F.avg(dist), 1).alias("mean_m"), F.round(F.max(dist), 1).alias("max_m")], F.col(dist), {"median_m": 0.5, "p95_m": 0.95})
+    return out.select(*keys, "mean_m", F.round("median_m", 1).alias("median_m"), F.round("p95_m", 1).alias("p95_m"), "max_m")
 
 
 def hour_indicators(s2r: DataFrame, r2s: DataFrame, key: str = "hour") -> DataFrame:
@@ -77,21 +75,23 @@ def first_exceed(areas: DataFrame, target: float, strict: bool = True, key: str
 def signed_summary(samples: DataFrame, keys: list[str]) -> DataFrame:
     """Counts by sign, share positive, mean and median of signed distances."""
     s = F.col("signed_m")
-    return samples.filter("NOT excluded AND signed_m IS NOT NULL").groupBy(*keys).agg(
+    aggs = [
         F.count("*").alias("n"), F.count_if(s > 0).alias("n_pos"), F.count_if(s < 0).alias("n_neg"),
         F.round(100.0 * F.count_if(s > 0) / F.count("*"), 1).alias("pos_pct"), F.round(F.avg(s), 1).alias("mean_m"),
-        F.round(F.percentile(s, F.lit(0.5)), 1).alias("median_m"),
-    )
+    ]
+    out = aggregate_with_percentiles(samples.filter("NOT excluded AND signed_m IS NOT NULL"), keys, aggs, s, {"median_m": 0.5})
+    return out.withColumn("median_m", F.round("median_m", 1))
 
 
 def sample_stats(samples: DataFrame, keys: list[str]) -> DataFrame:
     """Size, distance statistics and sign shares of stored samples."""
     a, s = F.abs("signed_m"), F.col("signed_m")
-    q = F.percentile(a, F.array(F.lit(0.5), F.lit(0.95)))
-    return samples.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.round(F.avg(a), 1).alias("mean_m"), F.round(q[0], 1).alias("median_m"), F.round(q[1], 1).alias("p95_m"),
+    aggs = [
+        F.count("*").alias("n"), F.round(F.avg(a), 1).alias("mean_m"),
         F.round(100.0 * F.count_if(s > 0) / F.count("*"), 1).alias("pos_pct"), F.round(F.avg(s), 1).alias("mean_signed_m"),
-    )
+    ]
+    out = aggregate_with_percentiles(samples, keys, aggs, a, {"median_m": 0.5, "p95_m": 0.95})
+    return out.select(*keys, "n", "mean_m", F.round("median_m", 1).alias("median_m"), F.round("p95_m", 1).alias("p95_m"), "pos_pct", "mean_signed_m")
 
 
 def clip_with_guard(points: DataFrame, region: DataFrame, guard: float, pid: str, band: float = 1000.0) -> DataFrame:

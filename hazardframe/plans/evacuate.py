@@ -41,7 +41,7 @@ def evacuate(arrival: DataFrame, width: DataFrame, grid: Grid, nodes: DataFrame,
     open_ = ev.open_refuges(settlements, refuges, nodes, zone, exposed, fire, grid, keys)
     cuts = materialise(net.cut_edges(edges, arrival, grid, keys), "cuts")
     hourly = materialise(net.hourly_edges(edges, arrival, fire.select(*keys, "period"), grid, keys), "hourly-edges")
-    routes = net.route_all(hourly, open_.select(*keys, "period", "node_id", "refuge_id"), [*keys, "period"])
+    routes = net.route_parts(hourly, open_.select(*keys, "period", "node_id", "refuge_id"), [*keys, "period"], net.network_parts(nodes))
 
     threatened = risk.filter("NOT impacted")
     at = settlements.join(threatened.select("settlement_id").distinct(), "settlement_id", "left_semi")
