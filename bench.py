@@ -14,6 +14,7 @@ from hazardframe.catalog import all_queries
 HEADLINE = [
     "w3_daily_codes", "r9_fire_weather", "r7_idw", "r1_seed_cells", "r3_blocked_zone", "w8_growth_rings", "j22_diff_grids",
     "j3_within_distance", "j10_snap_to_nodes", "j5_cut_edges", "r4_exposure", "r14_reconstruct_arrival", "a8_pooled_metrics",
+    "g2_cell_components", "g7_boundary_rings", "r6_evacuate",
     "f27_contract_outcome", "a50_comparison_table", "a29_discordance", "f19_numeric_traceability", "t7_blind",
 ]
 

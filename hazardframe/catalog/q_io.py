@@ -42,12 +42,12 @@ def _series(v, name: str, value: str):
 
 @query("s2_read_burn_series", "SELECT r, c, arrival FROM fx_burn")
 def s2(v):
-    return rd.arrivals(rd.read_burn_series(v.spark, _series(v, "ForestGrid", "1")))
+    return rd.arrivals(rd.read_burn_series(v.spark, _series(v, "ForestGrid", "1"))).drop("run")
 
 
 @query("s3_read_intensity_series", "SELECT period, r, c, ((r*131+c*17)%5000+1)::DOUBLE AS fi FROM fx_burn, (SELECT unnest([0,1,2,3,4,5,6]::BIGINT[]) AS period) h WHERE arrival<=period")
 def s3(v):
-    return rd.read_intensity_series(v.spark, _series(v, "Intensity", "(r*131+c*17)%5000+1"))
+    return rd.read_intensity_series(v.spark, _series(v, "Intensity", "(r*131+c*17)%5000+1")).drop("run")
 
 
 @query("s4_read_messages", "SELECT l_orderkey AS source, l_partkey AS target, l_linenumber::BIGINT AS period, l_quantity AS ros FROM lineitem WHERE l_linenumber<>3")

@@ -60,8 +60,7 @@ def evacuation_checks(run, edges: DataFrame, nodes: DataFrame, arrival: DataFram
     segs = route_segments(run.path, nodes)
     c1 = overlap_lengths(segs, arrival, grid, keys).filter("inside_m > 5")
     c2 = ev.c2_monotone(run.summary, keys)
-    routes = run.outcome.filter("status = 'ok'")
-    c3 = ev.join_outcome_routes(run.outcome, routes, keys)
+    c3 = ev.join_outcome_routes(run.outcome, ev.drawn_routes(run.path, keys), keys)
     lines = net.route_lines(run.path, nodes, [*keys, "period"])
     stated = net.route_length(run.path, [*keys, "period"])
     both = lines.join(stated, [*keys, "period", "origin_id"])

@@ -11,7 +11,7 @@ from hazardframe.functions.base import half_even
 from hazardframe.operators import cells as cl
 from hazardframe.operators import spatial as sp
 from hazardframe.operators.cells import Grid
-from hazardframe.operators.common import aggregate_with_percentiles, require_empty
+from hazardframe.operators.common import aggregate_with_percentiles, materialise, materialise_observed, require_empty
 
 SEED_RADIUS_M = 187.5
 BUFFERS_M = (375, 500, 1000)
@@ -37,8 +37,8 @@ def group_passes(det: DataFrame, tol_min: int = 20, keys: list[str] | None = Non
     """``pass_t``: first time of the satellite pass; a pass spans at most ``tol_min`` minutes
     from its first time.
 
-    A gap longer than the tolerance always starts a new pass, so the ordered fold runs
-    only inside gap-free stretches of distinct times.
+    A gap longer than the tolerance always starts a new pass, so starts are searched inside
+    gap-free stretches of distinct times, in a logarithmic number of rounds.
     """
     keys = list(keys or [])
     times = det.select(*keys, "t").distinct().withColumn("_s", F.col("t").cast("timestamp").cast("double"))
@@ -55,17 +55,26 @@ def group_passes(det: DataFrame, tol_min: int = 20, keys: list[str] | None = Non
     starts = starts.withColumn("_off", F.sum("_k").over(w_day.rowsBetween(W.unboundedPreceding, -1)))
     day = day.join(starts, [*keys, "_day"])
     day = day.withColumn("_stretch", F.sum("_new").over(w) + F.coalesce("_off", F.lit(0)))
-    folded = day.groupBy(*keys, "_stretch").agg(F.sort_array(F.collect_list("_s")).alias("_a"))
-
-    def step(acc: Column, t: Column) -> Column:
-        anchor = F.element_at(acc, -1)["p"]
-        first = F.size(acc) == 0
-        p = F.when(first, t).when(t - F.coalesce(anchor, t) > tol, t).otherwise(anchor)
-        return F.concat(acc, F.array(F.struct(t.alias("s"), p.alias("p"))))
-
-    empty = F.expr("cast(array() as array<struct<s:double,p:double>>)")
-    lab = folded.select(*keys, F.explode(F.aggregate("_a", empty, lambda a, t: F.when(F.size(a) == 0, F.array(F.struct(t.alias("s"), t.alias("p")))).otherwise(step(a, t)))).alias("_o"))
-    lab = lab.select(*keys, F.col("_o.s").alias("_s"), F.timestamp_seconds(F.col("_o.p")).alias("pass_t"))
+    # From a stretch's first time on, each pass starts at the first time beyond the tolerance after
+    # the start before it. The starts are found by pointer doubling over that successor.
+    micros = F.unix_micros(F.timestamp_seconds("_s"))
+    stretch = W.partitionBy(*keys, "_stretch").orderBy("_u")
+    day = day.select(*keys, "_stretch", "_s", micros.alias("_u"))
+    after = F.min("_u").over(stretch.rangeBetween(tol_min * 60_000_000 + 1, W.unboundedFollowing))
+    day = materialise(day.withColumn("_next", after).withColumn("_first", F.row_number().over(stretch) == 1), "pass-times")
+    at = [*keys, "_stretch", "_u"]
+    heads, jump = day.filter("_first").select(*at), day.filter("_next IS NOT NULL").select(*at, "_next")
+    heads = materialise(heads, "pass-starts")
+    while True:
+        more, grown = materialise_observed(heads.join(jump, at).select(*keys, "_stretch", F.col("_next").alias("_u")), "pass-starts", n=F.count(F.lit(1)))
+        if not grown["n"]:
+            break
+        heads = heads.unionByName(more)
+        second = jump.select(*keys, "_stretch", F.col("_u").alias("_next"), F.col("_next").alias("_then"))
+        jump = materialise(jump.join(second, [*keys, "_stretch", "_next"]).select(*at, F.col("_then").alias("_next")), "pass-jumps")
+    lab = day.join(heads.withColumn("_head", F.lit(True)), at, "left")
+    start = F.max(F.when(F.col("_head"), F.col("_s"))).over(stretch.rowsBetween(W.unboundedPreceding, 0))
+    lab = lab.select(*keys, "_s", F.timestamp_seconds(start).alias("pass_t"))
     return det.withColumn("_s", F.col("t").cast("timestamp").cast("double")).join(lab, [*keys, "_s"]).drop("_s")
 
 

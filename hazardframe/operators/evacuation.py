@@ -170,13 +170,21 @@ def status_at(outcome: DataFrame, hour: int) -> DataFrame:
 
 
 def join_outcome_routes(outcome: DataFrame, routes: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Outcomes whose status disagrees with the number of drawn routes."""
+    """Outcomes that disagree with the drawn routes (one row per route): ``ok`` goes with a refuge, a
+    length and exactly one route, any other status with none of them. A route of no length is not drawn."""
     keys = list(keys or [])
     k = [*keys, "period", "settlement_id"]
     n = routes.groupBy(*k).agg(F.count("*").alias("n_routes"))
     j = outcome.join(n, k, "left").withColumn("n_routes", F.coalesce("n_routes", F.lit(0)))
-    expect = F.when(F.col("status") == "ok", 1).otherwise(0)
-    return j.filter(F.col("n_routes") != expect).select(*k, "status", "n_routes")
+    refuge, length = F.col("refuge_id").isNotNull(), F.col("length_m").isNotNull()
+    whole = refuge & length & (F.col("n_routes") == F.when(F.col("length_m") > 0, 1).otherwise(0))
+    bad = F.when(F.col("status") == "ok", ~whole).otherwise(refuge | length | (F.col("n_routes") > 0))
+    return j.filter(bad).select(*k, "status", "n_routes")
+
+
+def drawn_routes(path: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One row per route that has a line: the first hop of each path."""
+    return path.filter("seq = 0").select(*(keys or []), "period", F.col("origin_id").alias("settlement_id"))
 
 
 def c2_monotone(summary: DataFrame, keys: list[str] | None = None) -> DataFrame:

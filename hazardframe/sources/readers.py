@@ -35,24 +35,26 @@ def read_asc(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def _series(spark: SparkSession, path: str, name: str) -> DataFrame:
     period = F.regexp_extract("file", name + r"(\d+)\.csv(?:/|$)", 1)
-    f = _whole(spark, path).withColumn("period", period.try_cast("bigint")).filter("period IS NOT NULL")
-    rows = f.select("period", F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda s: s != "")).alias("r", "line"))
-    return rows.select("period", F.col("r").cast("long").alias("r"), F.posexplode(F.split("line", ",")).alias("c", "v")).withColumn("c", F.col("c").cast("long"))
+    run = F.regexp_extract("file", "^(.*/)?" + name + r"\d+\.csv(?:/|$)", 1)
+    f = _whole(spark, path).withColumns({"period": period.try_cast("bigint"), "run": run}).filter("period IS NOT NULL")
+    rows = f.select("run", "period", F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda s: s != "")).alias("r", "line"))
+    return rows.select("run", "period", F.col("r").cast("long").alias("r"), F.posexplode(F.split("line", ",")).alias("c", "v")).withColumn("c", F.col("c").cast("long"))
 
 
 def read_burn_series(spark: SparkSession, path: str) -> DataFrame:
-    """Burned cells of every period; the period comes from the file name, others are skipped."""
-    return _series(spark, path, "ForestGrid").filter(F.col("v").try_cast("int") == 1).select("period", "r", "c")
+    """Burned cells of every run (the folder of its files) and period; the period comes from the file
+    name, other files are skipped."""
+    return _series(spark, path, "ForestGrid").filter(F.col("v").try_cast("int") == 1).select("run", "period", "r", "c")
 
 
 def read_intensity_series(spark: SparkSession, path: str) -> DataFrame:
     """Fireline intensity of every period, cells with fire only."""
-    return _series(spark, path, "Intensity").select("period", "r", "c", F.col("v").try_cast("double").alias("fi")).filter("fi > 0")
+    return _series(spark, path, "Intensity").select("run", "period", "r", "c", F.col("v").try_cast("double").alias("fi")).filter("fi > 0")
 
 
 def arrivals(series: DataFrame) -> DataFrame:
-    """First period of every cell of a burned series."""
-    return series.groupBy("r", "c").agg(F.min("period").alias("arrival"))
+    """First period of every run's cells of a burned series."""
+    return series.groupBy("run", "r", "c").agg(F.min("period").alias("arrival"))
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:

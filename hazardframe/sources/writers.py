@@ -65,16 +65,13 @@ def line_features(df: DataFrame, ends: list[tuple[str, str]], nd: int = 5) -> Da
 
 def write_geojson(features: DataFrame, path: str, batch: int = 10000) -> None:
     """Feature collections; every output file is a complete collection of up to ``batch``
-    features, so the table is written in parallel."""
-    b = features.withColumn("_b", F.pmod(F.xxhash64("value"), F.lit(max(1, _batches(features, batch)))))
+    features, so the table is written in parallel. Features are batched by their place in
+    their partition, so equal features do not meet in one batch."""
+    b = features.withColumn("_b", F.floor(F.monotonically_increasing_id() / batch))
     coll = b.groupBy("_b").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value"))
     coll.select("value").write.text(path, lineSep="\n")
 
 
-def _batches(df: DataFrame, batch: int) -> int:
-    return -(-df.count() // batch)
-
-
 def write_run(tables: dict[str, DataFrame], root: str, mode: str = "error") -> None:
     """Layers of runs, partitioned by run and hour; other runs' partitions are kept."""
     for name, df in tables.items():

@@ -91,3 +91,72 @@ def test_request_bounds(spark, window, horizon, code):
     req = spark.createDataFrame([(1, window, horizon, "2021-08-05 00:00:00")], "request_id long, window_km double, horizon_h int, start string").withColumn("start", F.to_timestamp("start"))
     pins = spark.createDataFrame([(1, 1, 0.0, 0.0)], "request_id long, pin_id long, x double, y double")
     assert validate_requests(req, pins, (0, 0, 1, 1), "2021-08-05 00:00:00").first()["error_code"] == code
+
+
+def test_components_with_two_keys_stay_apart(spark):
+    from hazardframe.operators import components as cc
+    from hazardframe.operators import rings as rg
+
+    rows = [(run, hour, r, c) for run, hour, r, c in [(1, 0, 9, 9), (1, 1, 9, 9), (1, 1, 9, 10), (2, 0, 9, 10), (2, 0, 1 << 21, 5), (1 << 30, 0, 9, 9)]]
+    cells = spark.createDataFrame(rows, "run_id long, hour long, r long, c long")
+    parts = cc.cell_components(cells, 8, ["run_id", "hour"])
+    assert parts.select("comp").distinct().count() == 5
+    assert {(r.run_id, r.hour) == (r.comp.run_id, r.comp.hour) for r in parts.collect()} == {True}
+    rings = rg.boundary_rings(cells, ["run_id", "hour"])
+    assert rings.select("ring_id").distinct().count() == 5 and rings.count() == 4 * 4 + 6
+
+
+def test_negated_lists_name_nothing(spark):
+    from hazardframe.functions import text as tx
+
+    df = spark.createDataFrame([("No invented settlement names: Ροβιές, Δαμιά.",), ("Invented settlement names: Ροβιές, Δαμιά. No invented road names: Λίμνη.",), ("fine",), (None,)], "n string")
+    assert [r.x for r in df.select(tx.extract_names("n").alias("x")).collect()] == [[], ["Ροβιές", "Δαμιά"], [], []]
+
+
+def test_percentiles_by_position(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from hazardframe.operators.common import aggregate_with_percentiles
+
+    r = random.Random(1)
+    rows = [(k, None if r.random() < 0.1 else float(r.randint(0, 9) if k < 2 else r.random())) for k in range(4) for _ in range(50 * k + 1)]
+    df = spark.createDataFrame(rows + [(9, None)], "k int, v double")
+    shares = {"a": 0.5, "b": 0.95, "c": 0.0, "d": 1.0}
+    got = {x.k: x for x in aggregate_with_percentiles(df, ["k"], [F.count("v").alias("n")], F.col("v"), shares).collect()}
+    want = df.groupBy("k").agg(*[F.percentile("v", F.lit(s)).alias(n) for n, s in shares.items()]).collect()
+    for w in want:
+        for n in shares:
+            g = got[w.k][n]
+            assert (g is None and w[n] is None) or abs(g - w[n]) < 1e-12
+    assert aggregate_with_percentiles(df.limit(0), [], [F.count("v").alias("n")], F.col("v"), shares).first().n == 0
+
+
+def test_routes_by_parts_equal_routes_by_hops(spark):
+    import random
+
+    from hazardframe.operators import network as net
+
+    r = random.Random(2)
+    nodes = spark.createDataFrame([(i, float(i % 12), float(i // 12)) for i in range(144)], "node_id long, x double, y double")
+    pairs = [(i, j, float(r.randint(1, 4))) for i in range(144) for j in (i + 1, i - 1, i + 12, i - 12) if 0 <= j < 144 and r.random() < 0.8]
+    edges = spark.createDataFrame([(h, *p) for h in (0, 1) for p in pairs if p[0] % 7 != h], "period int, u long, v long, cost double")
+    refuges = spark.createDataFrame([(0, 5, 1), (0, 140, 2), (1, 77, 3), (1, 77, 2)], "period int, node_id long, refuge_id long")
+    names = ["period", "node", "cost", "refuge_id", "next_hop"]
+    a = sorted(map(str, net.route_all(edges, refuges, ["period"]).select(*names).collect()))
+    b = sorted(map(str, net.route_parts(edges, refuges, ["period"], net.network_parts(nodes, 20)).select(*names).collect()))
+    assert a == b and len(a) > 200
+
+
+def test_steady_detections_form_passes(spark):
+    from hazardframe.operators import detections as dt
+
+    rows = [(i, f"2021-08-05 {i // 60:02d}:{i % 60:02d}:00") for i in range(0, 1440, 7)]
+    df = spark.createDataFrame(rows, "det_id int, t string").selectExpr("det_id", "cast(t as timestamp) AS t")
+    got = {r.det_id: r.pass_t.hour * 60 + r.pass_t.minute for r in dt.group_passes(df).collect()}
+    anchor, want = None, {}
+    for i, _ in rows:
+        anchor = i if anchor is None or i - anchor > 20 else anchor
+        want[i] = anchor
+    assert got == want
