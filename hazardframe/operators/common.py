@@ -31,8 +31,26 @@ def work_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+#: Scratch paths handed out in this process, oldest first.
+CREATED: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{work_dir(spark)}/hazardframe/{label}-{uuid.uuid4().hex}"
+    CREATED.append(f"{work_dir(spark)}/hazardframe/{label}-{uuid.uuid4().hex}")
+    return CREATED[-1]
+
+
+def keep_only(df: DataFrame, label: str, since: int) -> DataFrame:
+    """``df`` written once; scratch tables made after ``CREATED`` had ``since`` entries are removed.
+
+    For operators whose last step reads ``df`` alone of what they wrote.
+    """
+    out, spark = materialise(df, label), df.sparkSession
+    for path in CREATED[since:-1]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    del CREATED[since:-1]
+    return out
 
 
 def spread(df: DataFrame) -> DataFrame:
