@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from hazardframe.llm.arrays import U64, Rolling, lower_ascii, mix, signed, text_chunks, word_bounds, word_hashes
 from hazardframe.llm.repeats import keyed
 from hazardframe.llm.sketch_dedup import MAX_BITS, ROWS, cells, estimated_repeated, sketch
-from hazardframe.operators.common import estimated_bytes, materialise
+from hazardframe.operators.common import CREATED, estimated_bytes, keep_only, materialise
 from hazardframe.operators.components import components
 
 WORDS, PERCENT = 4, 85
@@ -377,7 +377,8 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     Rows without shingles all stay; of rows with one id in one component, that with the
     least text hash stays, and of equal rows one.
     """
-    rows = materialise(components_of(docs, words, percent), "components")
+    since = len(CREATED)
+    rows = keep_only(components_of(docs, words, percent), "components", since)
     empty = rows.filter("n_shingles = 0").select("doc_id", "t").distinct().withColumn("single", F.lit(False))
     first = rows.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")).alias("own"))
     stay = empty.unionAll(first.select("own.doc_id", "own.t", F.lit(True).alias("single")))
