@@ -149,7 +149,7 @@ def f37(v):
     return v("labels").select(F.col("doc_id").alias("uid")).join(c, "uid", "left").select("uid", an.label_clean("l").alias("clean"))
 
 
-@query("t8_audit_tiers", "SELECT uid, w AS weight, n AS n_claims, CASE WHEN w>=6 THEN 1 WHEN w>0 THEN 2 ELSE 3 END AS tier FROM (SELECT uid, CAST(sum(CASE label WHEN 'CONTRADICTED' THEN 3 WHEN 'NOT_IN_RESULT' THEN 1 ELSE 0 END) AS BIGINT) AS w, count(*) AS n FROM fx_claim GROUP BY 1) t")
+@query("t8_audit_tiers", "SELECT uid, w AS weight, n AS n_claims, CASE WHEN w>=6 THEN 1 WHEN w>0 THEN 2 ELSE 3 END AS tier, row_number() OVER (ORDER BY w DESC, uid) AS position FROM (SELECT uid, CAST(sum(CASE label WHEN 'CONTRADICTED' THEN 3 WHEN 'NOT_IN_RESULT' THEN 1 ELSE 0 END) AS BIGINT) AS w, count(*) AS n FROM fx_claim GROUP BY 1) t")
 def t8(v):
     return rn.audit_tiers(v("fx_claim"))
 
@@ -274,10 +274,11 @@ def j19(v):
     return rn.join_label_passes(l.select("uid"), p1, p2)
 
 
-@query("j24_common_cases", "SELECT case_id FROM fx_record WHERE arm='free' AND stage_c INTERSECT SELECT case_id FROM fx_record WHERE arm='structured' AND stage_c")
+@query("j24_common_cases", """SELECT case_id, CASE WHEN b IS NULL THEN 'only_a' WHEN a IS NULL THEN 'only_b' ELSE 'both' END AS support
+FROM (SELECT case_id, max(CASE WHEN arm='free' THEN 1 END) AS a, max(CASE WHEN arm='structured' THEN 1 END) AS b FROM fx_record WHERE stage_c AND arm IN ('free','structured') GROUP BY 1) t""")
 def j24(v):
     r = v("fx_record").filter("stage_c")
-    return rn.common_cases(r.filter("arm='free'"), r.filter("arm='structured'"))
+    return rn.case_support(r.filter("arm='free'"), r.filter("arm='structured'"))
 
 
 @query("u5_resume_plan", "SELECT c.case_id, k.rep, CASE WHEN count(r.record_id)=0 THEN 'owe' WHEN count(r.error)>0 THEN 'redo' ELSE 'keep' END AS action FROM (SELECT DISTINCT record_id AS case_id FROM fx_answer) c CROSS JOIN (SELECT unnest([1,2,3,4,5,6]::BIGINT[]) AS rep) k LEFT JOIN fx_answer r ON r.record_id=c.case_id AND r.rep=k.rep GROUP BY 1,2")
@@ -369,7 +370,7 @@ def p22(v):
 
 @query("p23_check_arms", "SELECT case_id, count(DISTINCT arm)<>1 AS mixed FROM fx_eval GROUP BY 1")
 def p23(v):
-    return v("fx_eval").groupBy("case_id").agg((F.size(F.collect_set("arm")) != 1).alias("mixed"))
+    return rn.check_arms(v("fx_eval"))
 
 
 @query("p1_validate_requests", """WITH q AS (SELECT o_orderkey AS request_id, CASE WHEN o_orderkey%11=0 THEN NULL ELSE 3+o_custkey%42 END AS w, o_custkey%60 AS h, o_orderdate AS st FROM orders), p AS (SELECT l_orderkey AS request_id, count(*) AS n, count(*) FILTER (NOT (l_partkey BETWEEN 3 AND 1900)) AS bad FROM lineitem GROUP BY 1)

@@ -382,6 +382,19 @@ def common_cases(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select(CASE).intersect(b.select(CASE))
 
 
+def case_support(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Every case of either frame with its ``support``: both, only_a or only_b (the lost cases)."""
+    left = a.select(CASE).distinct().withColumn("_a", F.lit(True))
+    right = b.select(CASE).distinct().withColumn("_b", F.lit(True))
+    j = left.join(right, CASE, "full_outer")
+    return j.select(CASE, F.when(F.col("_b").isNull(), "only_a").when(F.col("_a").isNull(), "only_b").otherwise("both").alias("support"))
+
+
+def check_arms(rows: DataFrame, arm: str = "arm") -> DataFrame:
+    """Per case, whether its rows carry more than one value of the arm label."""
+    return rows.groupBy(CASE).agg((~F.min(arm).eqNullSafe(F.max(arm)) | F.min(arm).isNull()).alias("mixed"))
+
+
 def join_label_passes(rows: DataFrame, p1: DataFrame, p2: DataFrame, value: str = "clean") -> DataFrame:
     a = p1.select("uid", F.col(value).alias(f"{value}1"))
     b = p2.select("uid", F.col(value).alias(f"{value}2"))
@@ -461,10 +474,11 @@ def assign_batches(df: DataFrame, size: int, order: list[str]) -> DataFrame:
 
 
 def audit_tiers(claims: DataFrame) -> DataFrame:
-    """Claims with tier and record weight, heaviest records first."""
+    """Records with claim weight, tier and ``position``: heaviest first, then by uid."""
     weight = F.when(F.col("label") == "CONTRADICTED", 3).when(F.col("label") == "NOT_IN_RESULT", 1).otherwise(0)
     per = claims.groupBy("uid").agg(F.sum(weight).alias("weight"), F.count("*").alias("n_claims"))
-    return per.withColumn("tier", F.when(F.col("weight") >= 6, 1).when(F.col("weight") > 0, 2).otherwise(3))
+    per = per.withColumn("tier", F.when(F.col("weight") >= 6, 1).when(F.col("weight") > 0, 2).otherwise(3))
+    return global_rank(per, [F.desc("weight"), F.col("uid")], "position")
 
 
 def change_hours(per_hour: DataFrame, keys: list[str]) -> DataFrame:
