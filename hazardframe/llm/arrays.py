@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are handled in runs of at most so many bytes (or one text, if that is longer).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 U64 = np.uint64
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # fixed values: odd multipliers of the two rolling hashes
 

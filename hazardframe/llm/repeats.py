@@ -23,6 +23,8 @@ from hazardframe.operators.common import materialise
 
 #: Blocks whose packed window hashes may exceed this are compared by window rows, others inside a task.
 TASK_BYTES = 32 << 20
+#: Classes that a task gathers before it compares the complete blocks among them.
+TASK_ROWS = 5000
 _LIST = "array<struct<first:int,last:int,block:long,stretch:long,offset:int,n:long,least:long,many:boolean>>"
 ANCHOR = "doc_id long, t long, first int, last int, offset int, head long, tail long, stretch long"
 
@@ -146,7 +148,7 @@ def _in_tasks(classes: DataFrame, earlier: bool) -> DataFrame:
         for batch in batches:  # sorted by block: everything before the batch's last block is complete
             held.append(batch)
             rows += batch.num_rows
-            if rows < 20_000:
+            if rows < TASK_ROWS:
                 continue
             part = pa.Table.from_batches(held)
             block = part.column("block").to_numpy()

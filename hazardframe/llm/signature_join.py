@@ -253,11 +253,20 @@ def rarity(docs: DataFrame, words: int) -> tuple[np.ndarray, int]:
     part_bits = bits - _LEVEL_RANGES.bit_length() + 1
 
     def count(batches):
-        total = np.zeros(1 << bits, np.uint32)
+        total, held, n = np.zeros(1 << bits, np.uint32), [], 0
+
+        def add() -> None:
+            nonlocal held, n
+            if held:
+                total[:] += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
+            held, n = [], 0
+
         for _, buf, off in text_chunks(batches):
-            sets = shingle_sets(buf, off, words)
-            cell = (np.concatenate(sets) >> U64(64 - bits)).astype(np.int64) if sets else []
-            total += np.bincount(cell, minlength=1 << bits).astype(np.uint32)
+            held += [(s >> U64(64 - bits)).astype(np.int32) for s in shingle_sets(buf, off, words)]
+            n += len(buf)
+            if n > 1 << 22:
+                add()
+        add()
         parts = total.reshape(_LEVEL_RANGES, -1)
         keep = [i for i in range(_LEVEL_RANGES) if parts[i].any()]
         yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in keep], pa.binary())], names=["part", "counts"])
