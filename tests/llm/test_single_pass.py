@@ -156,6 +156,20 @@ def test_latent_search_finds_copies_and_paraphrases(spark, frame):
     assert latent.contaminated(docs.limit(0), bench).count() == 0 and latent.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_latent_search_finds_an_item_in_a_third_of_the_rows(spark, frame):
+    items = [(i, words(2000 + i, 25)) for i in range(60)]
+    pool, r = [w for _, t in items for w in t.split()], random.Random(6)
+    rows, hot = [], items[0][1].split()
+    for i in range(120):
+        around = [r.choice(pool) for _ in range(120)]
+        if i % 3 == 0:  # every other one leaves out words
+            around[50 + i % 40 : 50 + i % 40] = hot if i % 2 else [w for j, w in enumerate(hot) if j % 6 != 1]
+        rows.append((i, " ".join(around)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in latent.contaminated(frame(rows).repartition(3), bench).collect()}
+    assert got == {(i, 0) for i in range(0, 120, 3)}
+
+
 def test_subsequence_length():
     r = random.Random(2)
     for _ in range(100):
