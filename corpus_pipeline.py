@@ -14,8 +14,8 @@ from hazardframe.operators.common import materialise
 
 #: Near duplicates share four fifths of their five-word shingles.
 SHINGLE_WORDS, SHINGLE_PERCENT = 5, 80
-#: Repeated strings of this many bytes go; a passage of fifty words is longer.
-REPEATED_BYTES = 256
+#: Repeated strings of this many bytes go; 51 words of one byte and what parts them are no shorter.
+REPEATED_BYTES = 101
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,16 @@ def test_stages_equal_brute_force(spark, folder):
         assert (last[d].ids, last[d].n_tokens, last[d].decoded) == (ids, len(ids), library.decode(ids, skip_special_tokens=False))
 
 
+def test_passage_of_short_words_is_cut(spark):
+    passage = " ".join(w[:1 + i % 2] for i, w in enumerate(words(4, 51).split()))
+    assert len(passage) < 256 and len(passage.split()) == 51
+    rows = [(i, words(3000 + i, 40) + (" " + passage + " " if i < 2 else " ") + words(3100 + i, 40)) for i in range(4)]
+    docs = spark.createDataFrame([(d, t, len(t)) for d, t in rows], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    assert all(len(got[d]) <= len(t) - len(passage) and passage not in got[d] for d, t in rows[:2])
+    assert all(got[d] == t for d, t in rows[2:])
+
+
 def test_every_operator_has_one_query():
     assert sorted(int(k[2:].split("_")[0]) for k in LLM_QUERIES) == list(range(1, 11))
     assert set(LLM_ORACLES) <= set(LLM_QUERIES) and corpus_pipeline.ORACLE_SQL is None
