@@ -358,7 +358,9 @@ def components_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     classes = rows.filter("size > 0").groupBy("h").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "key")).alias("own"), F.max("size").alias("size"))
     classes = materialise(classes.select("h", "least", F.col("own.key").alias("key"), "size"), "classes")
     own = rows.join(classes.select("h", "key"), ["h", "key"], "left_semi")
-    tokens = materialise(estimated_repeated(own.select("h", F.explode("rare").alias("token")), "token"), "tokens")
+    # Repeated rows share h and key and all stay in ``own``; a block counts every class once.
+    tokens = estimated_repeated(own.select("h", F.explode("rare").alias("token")), "token")
+    tokens = materialise(tokens.dropDuplicates(["h", "token"]), "tokens")
     blocks = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("h")).alias("who")).filter("k > 1")
     # Blocks with the same members are one block.
     blocks = materialise(blocks.groupBy("k", "who").agg(F.min("token").alias("token")), "blocks")

@@ -14,6 +14,13 @@ def test_components_equal_brute_force(docs, rows, monkeypatch, page):
     assert len({w[2] for w in want}) < len(want)
 
 
+@pytest.mark.parametrize("null_ids", [False, True])
+def test_repeated_rows_keep_links(frame, rows, null_ids):
+    doubled = rows + [(None if null_ids else d, t) for d, t in rows]
+    got = tuples(signature_join.linked_components(frame(doubled).repartition(3)), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(brute.components(doubled, 4, 85), key=repr)
+
+
 def test_one_of_each(docs, rows):
     out = signature_join.one_of_each(docs, 5, 80)
     assert out.columns == docs.columns
