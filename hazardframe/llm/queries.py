@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardframe.llm import bpe, fingerprints, latent, licences, sequences, signature_join, sketch_dedup, store, suffix_dedup, toxicity, warc
+from hazardframe.llm import bpe, fingerprints, latent, licences, prefix_bpe, sequences, signature_join, sketch_dedup, store, suffix_dedup, toxicity, warc
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -22,6 +22,12 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def ranks_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -102,3 +108,8 @@ def op3_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op6_licence_scan")
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@_query("op11_prefix_bpe")
+def op11_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_bpe.digests(table(spark, sf_dir, "documents"), ranks_file())
