@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardframe.llm import bpe, conversation_repair, fingerprints, latent, licences, prefix_bpe, sequences, signature_join, sketch_dedup, store, suffix_dedup, toxicity, warc
+from hazardframe.llm import bpe, conversation_repair, conversation_sql, fingerprints, latent, licences, prefix_bpe, prefix_trie, sequences, signature_join, sketch_dedup, store, suffix_dedup, toxicity, warc
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -115,6 +115,11 @@ def op11_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.digests(table(spark, sf_dir, "documents"), ranks_file())
 
 
-@_query("op12_conversation_repair")
+@_query("op12_conversation_repair", conversation_sql.REPAIR)
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.report(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+@_query("op13_conversation_trie", conversation_sql.TRIE)
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(*prefix_trie.rebuilt(prefix_trie.turns_of(table(spark, sf_dir, "conversations"))))
