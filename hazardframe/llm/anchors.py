@@ -54,7 +54,7 @@ _BYTES = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 def find(symbols: np.ndarray, off: np.ndarray, spec: Windows) -> tuple[Anchors, Rolling]:
     """All anchors of a chunk of sequences (``off``: n + 1 offsets)."""
-    n, w, roll = len(symbols), spec.reach, Rolling(symbols)
+    n, w, roll = len(symbols), spec.reach, Rolling(symbols, longest=spec.length + spec.reach)
     size = np.diff(off)
     rows = np.flatnonzero(size >= spec.length)
     if len(rows) == 0:

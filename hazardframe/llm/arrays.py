@@ -115,19 +115,49 @@ def hash_bytes(word: bytes, which: int = 0) -> int:
     return int(word_hashes(b, np.array([0]), np.array([len(b)]), which)[0])
 
 
+#: Windows from this size on are hashed by a prime modulus too: modulo 2^64 alone, long strings of a known kind collide.
+LONG_WINDOW = 512
+_PRIME, _BASE = U64(2147483647), U64(1103515245)  # fixed values: a Mersenne prime and a base below it
+
+
 class Rolling:
-    """Hashes of any window of a symbol sequence from one pass of prefix sums."""
+    """Hashes of any window of a symbol sequence from one pass of prefix sums.
+
+    ``longest``: windows may be so long; from ``LONG_WINDOW`` on, two hashes are combined.
+    """
 
-    def __init__(self, symbols: np.ndarray, which: int = 0):
+    def __init__(self, symbols: np.ndarray, which: int = 0, longest: int = 0):
         n = len(symbols)
-        self.which = which
+        self.which, self.twice = which, longest >= LONG_WINDOW
         self.sums = np.zeros(n + 1, U64)
         np.cumsum(symbols * powers(n + 1, which)[:n], out=self.sums[1:])
         self.inverse = powers(n + 1, which, True)
+        if self.twice:
+            self.small = np.zeros(n + 1, U64)
+            np.cumsum(mix(symbols) % _PRIME * prime_powers(n + 1)[:n] % _PRIME, out=self.small[1:])
+            self.small_inverse = prime_powers(n + 1, True)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Scrambled hash of symbols[start:end], the same wherever the window stands."""
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(U64))
+        value = (self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(U64)
+        if self.twice:
+            value = mix(value) ^ (self.small[end] - self.small[start]) % _PRIME * self.small_inverse[start] % _PRIME
+        return mix(value)
+
+
+_PRIME_POWERS: dict[bool, np.ndarray] = {}
+
+
+def prime_powers(n: int, inverse: bool = False) -> np.ndarray:
+    """Powers of the base (or its inverse) modulo the prime; grown by doubling."""
+    got = _PRIME_POWERS.get(inverse)
+    if got is None or len(got) < n:
+        base = pow(int(_BASE), -1, int(_PRIME)) if inverse else int(_BASE)
+        got = np.ones(1, U64)
+        while len(got) < max(n, 1 << 16):
+            got = np.concatenate([got, got * U64(pow(base, len(got), int(_PRIME))) % _PRIME])
+        _PRIME_POWERS[inverse] = got
+    return got[:n]
 
 
 def signed(x: np.ndarray) -> pa.Array:

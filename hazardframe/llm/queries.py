@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardframe.llm import bpe, conversation_repair, conversation_sql, fingerprints, latent, licences, prefix_bpe, prefix_trie, sequences, signature_join, sketch_dedup, store, suffix_dedup, toxicity, warc
+from hazardframe.operators.common import materialise
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -62,7 +63,10 @@ def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op4_suffix_dedup")
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    docs = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    done = materialise(suffix_dedup.remove(docs).select(*columns, "t"), "removed")
+    return suffix_dedup.with_passages(done, docs).select(*columns, "n_passage_words")
 
 
 @_query("op5_arrow_sequences")

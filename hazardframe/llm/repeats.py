@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from hazardframe.llm import anchors as an
 from hazardframe.llm.arrays import U64, Rolling, mix, signed, text_chunks
-from hazardframe.operators.common import materialise
+from hazardframe.operators.common import CREATED, keep_only, materialise
 
 #: Blocks whose packed window hashes may exceed this are compared by window rows, others inside a task.
 TASK_BYTES = 32 << 20
@@ -70,7 +70,7 @@ def _open_rows(docs: DataFrame, listed: DataFrame, symbols: Symbols, spec: an.Wi
     def run(batches):
         for batch, buf, off in text_chunks(batches):
             syms, base = symbols(buf, off)
-            roll, column = Rolling(syms), batch.column("open")
+            roll, column = Rolling(syms, longest=spec.length), batch.column("open")
             flat = column.flatten()
             text = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
             keep = np.flatnonzero(flat.field("many").to_numpy(zero_copy_only=False) == many)
@@ -174,9 +174,10 @@ def repeated_spans(candidates: DataFrame, docs: DataFrame, symbols: Symbols, spe
     """
     per = F.struct("doc_id", "t", "first", "last")
     classes = candidates.groupBy("block", "stretch", "offset").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.min(per).alias("own"))
+    since = len(CREATED)
     classes = materialise(classes, "classes")
     blocks = classes.groupBy("block").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total"))
-    classes = materialise(classes.join(blocks.filter("total > 1"), "block"), "classes")
+    classes = keep_only(classes.join(blocks.filter("total > 1"), "block"), "classes", since)
     task_classes = TASK_BYTES // (8 * spec.reach)
     whole = F.struct(F.lit(0).alias("a"), (F.col("own.last") - F.col("own.first")).alias("b"), (F.col("least") if earlier else F.lit(None).cast("long")).alias("m"))
     settled = classes.filter("kinds = 1").select("block", "stretch", "offset", F.array(whole).alias("runs"))
@@ -189,11 +190,11 @@ def repeated_spans(candidates: DataFrame, docs: DataFrame, symbols: Symbols, spe
         verdicts = verdicts.unionByName(_in_tasks(_open_rows(docs, listed, symbols, spec, False), earlier))
         if classes.filter(F.col("kinds") > task_classes).take(1):
             verdicts = verdicts.unionByName(_by_rows(materialise(_open_rows(docs, listed, symbols, spec, True), "windows"), earlier))
-    found = candidates.join(materialise(verdicts, "verdicts"), ["block", "stretch", "offset"])
+    found = candidates.join(keep_only(verdicts, "verdicts", since), ["block", "stretch", "offset"])
     runs = F.filter("runs", lambda r: F.col("doc_id").isNull() & r["m"].isNotNull() | (r["m"] < F.col("doc_id"))) if earlier else F.col("runs")
     spans = F.transform(runs, lambda r: F.struct((F.col("first") + r["a"]).alias("start"), (F.col("first") + r["b"] + spec.length).alias("end")))
     found = found.select("doc_id", "t", spans.alias("spans")).filter(F.size("spans") > 0)
-    return found.groupBy("doc_id", "t").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return found.groupBy("doc_id", "t").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -88,6 +88,15 @@ def sketch(blocks: DataFrame, bits: int) -> list[np.ndarray]:
     return out
 
 
+def may_repeat(values: np.ndarray, twice: list[np.ndarray], bits: int) -> np.ndarray:
+    """Which values the sketch does not show to be unique."""
+    keep = np.ones(len(values), bool)
+    for row, packed in enumerate(twice):
+        cell = cells(values, row, bits)
+        keep &= (packed[cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool)
+    return keep
+
+
 def estimated_repeated(rows: DataFrame, column: str = "block") -> DataFrame:
     """Rows whose value the sketch does not show to be unique; loses no repeated value."""
     spark, schema = rows.sparkSession, rows.schema
@@ -97,11 +106,7 @@ def estimated_repeated(rows: DataFrame, column: str = "block") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            values, keep = b.column(column).to_numpy().view(U64), np.ones(b.num_rows, bool)
-            for row, packed in enumerate(twice.value):
-                cell = cells(values, row, bits)
-                keep &= (packed[cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool)
-            yield b.filter(pa.array(keep))
+            yield b.filter(pa.array(may_repeat(b.column(column).to_numpy().view(U64), twice.value, bits)))
 
     return rows.mapInArrow(run, schema)
 

@@ -1,8 +1,13 @@
+from collections import Counter
+
+import numpy as np
 import pytest
 
 from hazardframe.llm import repeats, sketch_dedup, suffix_dedup
+from hazardframe.llm.anchors import byte_symbols
+from hazardframe.llm.arrays import Rolling
 from tests.llm import brute
-from tests.llm.conftest import tuples
+from tests.llm.conftest import tuples, words
 
 
 @pytest.mark.parametrize("bytes_in_task", [32 << 20, 1])
@@ -13,6 +18,56 @@ def test_suffix_removal_equals_brute_force(docs, rows, monkeypatch, bytes_in_tas
     assert got == sorted(want, key=repr) and sum(w[2] for w in want) > 0
 
 
+@pytest.mark.parametrize("size", [16, 2000])
+def test_suffix_removal_at_short_and_long_thresholds(frame, rows, size):
+    long = " ".join(t or "" for _, t in rows[:8])
+    all_rows = [*rows, (500, long * 3), (501, "x" + long[5:]), (502, long)]
+    got = tuples(suffix_dedup.remove(frame(all_rows), size), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(brute.suffix_removal(all_rows, size), key=repr)
+
+
+def test_strings_that_collide_modulo_a_power_of_two(frame):
+    """The Thue-Morse string and its complement hash alike modulo 2^64 under any odd base."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    want = brute.suffix_removal([(1, "x" + a), (2, "y" + b)], 2048)
+    got = tuples(suffix_dedup.remove(frame([(1, "x" + a), (2, "y" + b)]), 2048), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == want and [w[2] for w in want] == [0, 0]
+    symbols = byte_symbols(np.frombuffer((a + b).encode(), np.uint8))
+    at = np.array([0, 2048])
+    assert len(set(Rolling(symbols, longest=2048).of(at, at + 2048).tolist())) == 2 and len(set(Rolling(symbols).of(at, at + 2048).tolist())) == 1
+
+
+def test_doubling_ranks_shared_blocks_in_order_and_drops_unique_ones(spark):
+    """Blocks in the order of their pieces; a string that stands in one block once makes it leave."""
+    blocks = [(1, 2, 3, 4, 2), (1, 2, 3, 5, 3), (0, 9, 9, 9, 2), (7, 7, 7, 7, 1), (1, 2, 8, 8, 1)]
+    got = suffix_dedup.double(spark.createDataFrame(blocks, "p0 long, p1 long, p2 long, p3 long, n long")).collect()
+    assert [(r.p0, r.p1, r.p2, r.p3) for r in sorted(got, key=lambda r: r.block)] == [b[:4] for b in sorted(blocks) if b[4] > 1]
+
+
+def test_many_rows_of_one_id_and_text(frame):
+    text = words(1, 200)
+    many = [(1, text)] * 300 + [(None, text)] * 300 + [(2, words(2, 60) + " " + text)]
+    assert tuples(suffix_dedup.remove(frame(many)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.suffix_removal(many, 400), key=repr)
+    assert tuples(sketch_dedup.remove(frame(many)), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.window_removal(many, 50), key=repr)
+
+
+def test_passages(frame, rows):
+    docs = frame(rows)
+    done = repeats.keyed(docs).select("doc_id", "t")
+    got = tuples(suffix_dedup.with_passages(done, docs, 51), "doc_id", "n_passage_words")
+    texts = [(d, brute.SPACED.findall(t or "")) for d, t in rows]
+    seen = Counter(tuple(x[i : i + 51]) for _, x in texts for i in range(len(x) - 50))
+    want = []
+    for d, x in texts:
+        under = set()
+        for i in range(len(x) - 50):
+            if seen[tuple(x[i : i + 51])] > 1:
+                under |= set(range(i, i + 51))
+        want.append((d, len(under)))
+    assert got == sorted(want, key=repr) and sum(n for _, n in want) > 0
+
+
 def test_suffix_removal_at_the_production_threshold(docs, rows):
     got = tuples(suffix_dedup.remove(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == sorted(brute.suffix_removal(rows, 400), key=repr)
