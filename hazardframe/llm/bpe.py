@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazardframe.llm.arrays import text_chunks
-from hazardframe.llm.fragments import encoder
+from hazardframe.llm.fragments import ENCODED_BYTES, encoder
 
 
 def encode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
@@ -23,7 +23,7 @@ def encode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
 
     def run(batches):
         e = encoder(tokenizer_file)
-        for batch, buf, off in text_chunks(batches):
+        for batch, buf, off in text_chunks(batches, limit=ENCODED_BYTES):
             got = e.encode(buf, off)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([got.ids(i).astype(np.int32) for i in range(len(got))], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -47,7 +47,7 @@ def digests(docs: DataFrame, tokenizer_file: str) -> DataFrame:
 
     def run(batches):
         e = encoder(tokenizer_file)
-        for batch, buf, off in text_chunks(batches):
+        for batch, buf, off in text_chunks(batches, limit=ENCODED_BYTES):
             got = e.encode(buf, off)
             ids = [got.ids(i) for i in range(len(got))]
             yield pa.RecordBatch.from_arrays(
@@ -67,7 +67,7 @@ def tokenised(docs: DataFrame, tokenizer_file: str) -> DataFrame:
 
     def run(batches):
         e = encoder(tokenizer_file)
-        for batch, buf, off in text_chunks(batches):
+        for batch, buf, off in text_chunks(batches, limit=ENCODED_BYTES):
             got = e.encode(buf, off)
             ids = [got.ids(i).astype(np.int32) for i in range(len(got))]
             yield pa.RecordBatch.from_arrays(

@@ -21,6 +21,8 @@ from tokenizers import Tokenizer
 
 #: A worker forgets its fragments beyond so many.
 CACHE_ENTRIES = 300_000
+#: Texts are encoded in runs of so many bytes; in longer runs fewer fragments are met again.
+ENCODED_BYTES = 1 << 21
 _JOIN = 256
 
 _SPACE, _LETTER, _DIGIT, _PUNCT, _OTHER = range(5)

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 
 from hazardframe.llm import store
 from hazardframe.llm.arrays import text_chunks
-from hazardframe.llm.fragments import encoder
+from hazardframe.llm.fragments import ENCODED_BYTES, encoder
 from hazardframe.operators.common import estimated_bytes, materialise
 
 SEQUENCE, SEQUENCES_PER_BATCH = 2048, 32
@@ -127,13 +127,13 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer_file: str, end_id: i
     """Encode ``docs`` (doc_id, text) and write the shards; returns the committed index of documents."""
     store.make_folder(folder)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shard, n = id_ranges(docs, max(1, round(input_bytes(docs) / shard_bytes)))
-    dealt = docs.withColumn("shard", shard).repartitionById(n, F.col("shard"))
-    dealt = dealt.sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text")]
+    # A shard is a range of Spark's own range exchange; equal ids are split by their texts' hash.
+    dealt = docs.repartitionByRange(max(1, round(input_bytes(docs) / shard_bytes)), *order).sortWithinPartitions(*order).withColumn("shard", F.spark_partition_id())
 
     def run(batches):
         e, writer, at, uri = encoder(tokenizer_file), None, None, None
-        for batch, buf, off in text_chunks(batches):
+        for batch, buf, off in text_chunks(batches, limit=ENCODED_BYTES):
             got = e.encode(buf, off)
             shards = batch.column("shard").to_pylist()
             starts, sizes, files = [], [], []
