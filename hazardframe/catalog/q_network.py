@@ -10,6 +10,7 @@ from hazardframe.operators import cells as cl
 from hazardframe.operators import checks as ck
 from hazardframe.operators import evacuation as ev
 from hazardframe.operators import network as net
+from hazardframe.operators import overlay as ov
 from hazardframe.operators import spatial as sp
 from hazardframe.operators.cells import Grid
 from hazardframe.operators.common import materialise
@@ -128,10 +129,10 @@ def g4(v):
     """Labels of every node and hour, from all eligible refuges at once."""
     fire = _fire(v)
     hours = materialise(cl.perimeter_stats(fire, 200.0, KEY).select("run_id", "period"), "hours")
-    hourly = materialise(net.hourly_edges(v("fx_edge"), fire, hours, GRID, KEY), "hourly-edges")
     zone = materialise(cl.blocked_zone(fire, _width(v("fx_gridcell")), 200.0, KEY), "zone")
-    seeds = ev.open_refuges(v("fx_settlement"), v("fx_refuge"), v("fx_node"), zone, ev.exposure(v("fx_settlement"), zone, fire, GRID, KEY), hours, GRID, KEY)
-    out = net.route_parts(hourly, seeds, ["run_id", "period"], net.network_parts(v("fx_node")))
+    seeds = materialise(ev.open_refuges(v("fx_settlement"), v("fx_refuge"), v("fx_node"), zone, ev.exposure(v("fx_settlement"), zone, fire, GRID, KEY), hours, GRID, KEY), "seeds")
+    spans = materialise(ov.edge_spans(v("fx_edge"), fire, GRID, KEY), "edge-spans")
+    out = ov.route(ov.Overlay(v("fx_edge"), spans, ov.network_parts(v("fx_node")), KEY), seeds)
     return out.select("period", "node", F.round("cost", 3).alias("cost"), "refuge_id", "next_hop")
 
 

@@ -6,16 +6,13 @@ arrival table, so one plan keyed by hour answers every period.
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hazardframe.functions import geo
 from hazardframe.operators.cells import Grid, ever_boundary
-from hazardframe.operators.common import attach_all, global_rank, materialise, materialise_observed
+from hazardframe.operators.common import attach_all, materialise, materialise_observed
 from hazardframe.operators.spatial import _bucketed, cell_distance
 
 EDGE = ["u", "v", "key"]
@@ -142,94 +139,15 @@ def route_all(edges: DataFrame, refuges: DataFrame, keys: list[str], hops: int =
     return best.select(*node, "lab.cost", "lab.refuge_id", "lab.next_hop")
 
 
-#: Nodes of one network part; a part's edges of one hour are settled in one task.
-PART_NODES = 2000
-
-
-def network_parts(nodes: DataFrame, size: int = PART_NODES) -> DataFrame:
-    """(node, part): neighbouring nodes together, about ``size`` per part however they crowd.
-
-    Nodes are dealt by their position in x order to strips, then by their position in y
-    order within the strip.
-    """
-    n = nodes.count()
-    strips = max(1, round((n / size) ** 0.5))
-    at = nodes.select(F.col("node_id").alias("node"), "x", "y")
-    by_x = global_rank(at, [F.col("x"), F.col("y"), F.col("node")], "_rx").withColumn("_strip", F.floor((F.col("_rx") - 1) * strips / max(1, n)))
-    by_y = global_rank(by_x, [F.col("_strip"), F.col("y"), F.col("x"), F.col("node")], "_ry")
-    return materialise(by_y.select("node", F.floor((F.col("_ry") - 1) / size).alias("part")), "parts")
-
-
-def _settle(edges: list[tuple[int, int, float]], labels: dict[int, tuple], fresh: list[int]) -> set[int]:
-    """Propagates the fresh labels along (from, to, cost) edges; returns the nodes whose labels changed."""
-    out: dict[int, list] = {}
-    for a, b, cost in edges:
-        out.setdefault(a, []).append((b, cost))
-    heap, changed = [(labels[n], n) for n in fresh], set()
-    heapq.heapify(heap)
-    while heap:
-        label, n = heapq.heappop(heap)
-        if label != labels[n]:
-            continue
-        for b, cost in out.get(n, ()):
-            new = (label[0] + cost, label[1], n)
-            if b not in labels or new < labels[b]:
-                labels[b] = new
-                changed.add(b)
-                heapq.heappush(heap, (new, b))
-    return changed
-
-
-def route_parts(edges: DataFrame, refuges: DataFrame, keys: list[str], parts: DataFrame) -> DataFrame:
-    """``route_all`` for a network cut into ``parts``: the same labels in fewer rounds.
-
-    A round settles every part that got better labels in one step, then passes labels over
-    the edges between parts. The number of rounds is the number of parts that a route
-    crosses, not its number of hops; only active parts move.
-    """
-    node, part = [*keys, "node"], [*keys, "part"]
-    a = parts.select(F.col("node").alias("v"), F.col("part").alias("_pv"))
-    b = parts.select(F.col("node").alias("u"), F.col("part").alias("_pu"))
-    both = edges.select(*keys, "u", "v", "cost").join(a, "v").join(b, "u")
-    inner = materialise(both.filter("_pu = _pv").select(*keys, F.col("_pv").alias("part"), "v", "u", "cost"), "inner-edges")
-    cross = materialise(both.filter("_pu <> _pv").select(*keys, F.col("v").alias("node"), "u", F.col("_pu").alias("part"), "cost"), "cross-edges")
-    kinds = {f.name: f.dataType.simpleString() for f in inner.schema}
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in part), "node long, cost double, refuge_id long, next_hop long, moved boolean"])
-
-    def settle(key: tuple, e: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        first = float("-inf")  # a refuge's own label has no next hop and sorts first
-        labels = {n: (c, r, first if pd.isna(h) else int(h)) for n, c, r, h in zip(held["node"].tolist(), held["cost"].tolist(), held["refuge_id"].tolist(), held["next_hop"].tolist())}
-        fresh = held["node"][held["fresh"]].tolist()
-        moved = _settle(list(zip(e["v"].tolist(), e["u"].tolist(), e["cost"].tolist())), labels, fresh) | set(fresh)
-        rows = [(*key, n, c, r, None if h == first else h, n in moved) for n, (c, r, h) in labels.items()]
-        out = pd.DataFrame(rows, columns=[*part, "node", "cost", "refuge_id", "next_hop", "moved"])
-        return out.astype({"next_hop": "Int64"})
-
-    start = refuges.groupBy(*keys, F.col("node_id").cast("long").alias("node")).agg(F.min("refuge_id").cast("long").alias("refuge_id"))
-    labels = start.join(parts, "node").select(*part, "node", F.lit(0.0).alias("cost"), "refuge_id", F.lit(None).cast("long").alias("next_hop"), F.lit(True).alias("fresh"))
-    labels = materialise(labels, "labels")
-    while True:
-        active = labels.filter("fresh").select(*part).distinct()
-        now = labels.join(active, part, "left_semi")
-        settled = inner.join(active, part, "left_semi").groupBy(*part).cogroup(now.groupBy(*part)).applyInPandas(settle, schema)
-        settled = materialise(settled, "settled")
-        rest = labels.join(active, part, "left_anti").drop("fresh")
-        known = settled.drop("moved").unionByName(rest)
-        lab = F.struct("cost", "refuge_id", "next_hop")
-        over = settled.filter("moved").select(*node, "cost", "refuge_id").withColumnRenamed("cost", "_c").join(cross, node)
-        new = F.struct((F.col("_c") + F.col("cost")).alias("cost"), F.col("refuge_id").alias("refuge_id"), F.col("node").alias("next_hop"))
-        offers = over.select(*part, F.col("u").alias("node"), new.alias("_new")).groupBy(*part, "node").agg(F.min("_new").alias("_new"))
-        both = known.select(*part, "node", lab.alias("_old")).join(offers, [*part, "node"], "full_outer")
-        better = F.col("_new").isNotNull() & (F.col("_old").isNull() | (F.col("_new") < F.col("_old")))
-        best = F.when(better, F.col("_new")).otherwise(F.col("_old"))
-        step = both.select(*part, "node", best.alias("_lab"), better.alias("fresh")).select(*part, "node", "_lab.*", "fresh")
-        labels, gained = materialise_observed(step, "labels", n=F.count_if("fresh"))
-        if not gained["n"]:
-            return labels.select(*node, "cost", "refuge_id", "next_hop")
+def reconstruct(routes: DataFrame, origins: DataFrame, edges: DataFrame, keys: list[str], oid: str = "origin_id") -> DataFrame:
+    """``hops`` with the shortest parallel length of each."""
+    at = hops(routes, origins, keys, oid)
+    length = edges.groupBy(*keys, "u", "v").agg(F.min("length_m").alias("length_m"))
+    return at.join(length, [*keys, "u", "v"]).select(*keys, oid, "seq", "u", "v", "length_m")
 
 
-def reconstruct(routes: DataFrame, origins: DataFrame, edges: DataFrame, keys: list[str], oid: str = "origin_id") -> DataFrame:
-    """Ordered hops from each origin to its refuge, with the shortest parallel length per hop.
+def hops(routes: DataFrame, origins: DataFrame, keys: list[str], oid: str = "origin_id") -> DataFrame:
+    """Ordered hops (seq, u, v) from each origin to its refuge.
 
     Paths grow by doubling: round k appends the hops 2^k ahead through a jump table that is
     squared each round, so the number of rounds is the logarithm of the longest path.
@@ -247,9 +165,7 @@ def reconstruct(routes: DataFrame, origins: DataFrame, edges: DataFrame, keys: l
         second = jump.select(*keys, F.col("node").alias("to"), F.col("to").alias("to2"))
         jump = materialise(jump.join(second, [*keys, "to"]).select(*k, F.col("to2").alias("to")), "jump")
         reach *= 2
-    length = edges.groupBy(*keys, F.col("u").alias("node"), F.col("v").alias("to")).agg(F.min("length_m").alias("length_m"))
-    out = at.join(hop, k).join(length, [*k, "to"])
-    return out.select(*keys, oid, "seq", F.col("node").alias("u"), F.col("to").alias("v"), "length_m")
+    return at.join(hop, k).select(*keys, oid, "seq", F.col("node").alias("u"), F.col("to").alias("v"))
 
 
 def route_length(path: DataFrame, keys: list[str], oid: str = "origin_id") -> DataFrame:

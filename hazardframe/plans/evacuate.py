@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hazardframe.operators import cells as cl
 from hazardframe.operators import evacuation as ev
 from hazardframe.operators import network as net
+from hazardframe.operators import overlay as ov
 from hazardframe.operators import spatial as sp
 from hazardframe.operators.cells import Grid
 from hazardframe.operators.common import materialise
@@ -40,14 +41,17 @@ def evacuate(arrival: DataFrame, width: DataFrame, grid: Grid, nodes: DataFrame,
     node_pts = nodes.select(F.col("node_id").alias("tid"), "x", "y")
     open_ = ev.open_refuges(settlements, refuges, nodes, zone, exposed, fire, grid, keys)
     cuts = materialise(net.cut_edges(edges, arrival, grid, keys), "cuts")
-    hourly = materialise(net.hourly_edges(edges, arrival, fire.select(*keys, "period"), grid, keys), "hourly-edges")
-    routes = net.route_parts(hourly, open_.select(*keys, "period", "node_id", "refuge_id"), [*keys, "period"], net.network_parts(nodes))
+    spans = materialise(ov.edge_spans(edges, arrival, grid, keys, cuts), "edge-spans")
+    open_ = materialise(open_.select(*keys, "period", "node_id", "refuge_id"), "open-refuges")
+    overlay = ov.Overlay(edges, spans, ov.network_parts(nodes), keys)
+    routes = ov.route(overlay, open_)
 
     threatened = risk.filter("NOT impacted")
     at = settlements.join(threatened.select("settlement_id").distinct(), "settlement_id", "left_semi")
     origin_node = sp.nearest(at, node_pts, ["settlement_id"]).select("settlement_id", F.col("tid").alias("node"))
     origins = materialise(threatened.join(origin_node, "settlement_id").select(*keys, "period", F.col("settlement_id").alias("origin_id"), "node"), "origins")
-    path = materialise(net.reconstruct(routes, origins, hourly, [*keys, "period"]), "paths")
+    steps = materialise(net.hops(routes, origins, [*keys, "period"]), "steps")
+    path = materialise(steps.join(ov.at_hours(edges, spans, steps, keys), [*keys, "period", "u", "v"]), "paths")
     length = net.route_length(path, [*keys, "period"])
     reach = origins.join(routes.select(*keys, "period", "node", "cost", "refuge_id"), [*keys, "period", "node"])
     reach = reach.join(length, [*keys, "period", "origin_id"], "left").select(

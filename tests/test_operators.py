@@ -133,20 +133,39 @@ def test_percentiles_by_position(spark):
     assert aggregate_with_percentiles(df.limit(0), [], [F.count("v").alias("n")], F.col("v"), shares).first().n == 0
 
 
-def test_routes_by_parts_equal_routes_by_hops(spark):
-    import random
-
-    from hazardframe.operators import network as net
+def test_overlay_routes_equal_routes_by_hops(spark):
+    """Two runs, spans of hours, refuges that open and close, parallel edges, several groups of parts."""
+    from hazardframe.operators import overlay as ov
 
     r = random.Random(2)
     nodes = spark.createDataFrame([(i, float(i % 12), float(i // 12)) for i in range(144)], "node_id long, x double, y double")
-    pairs = [(i, j, float(r.randint(1, 4))) for i in range(144) for j in (i + 1, i - 1, i + 12, i - 12) if 0 <= j < 144 and r.random() < 0.8]
-    edges = spark.createDataFrame([(h, *p) for h in (0, 1) for p in pairs if p[0] % 7 != h], "period int, u long, v long, cost double")
-    refuges = spark.createDataFrame([(0, 5, 1), (0, 140, 2), (1, 77, 3), (1, 77, 2)], "period int, node_id long, refuge_id long")
-    names = ["period", "node", "cost", "refuge_id", "next_hop"]
-    a = sorted(map(str, net.route_all(edges, refuges, ["period"]).select(*names).collect()))
-    b = sorted(map(str, net.route_parts(edges, refuges, ["period"], net.network_parts(nodes, 20)).select(*names).collect()))
-    assert a == b and len(a) > 200
+    plain = [(i, j, k, float(r.randint(1, 4))) for i in range(144) for j in (i + 1, i - 1, i + 12, i - 12) for k in (0, 1) if 0 <= j < 144 and r.random() < 0.5]
+    spans, hourly = [], []
+    for run in (7, 8):
+        for u, v, k, cost in plain:
+            pieces = [(ov.EVER, ov.NEVER, cost)]
+            if (u * 5 + v + k + run) % 6 == 0:  # dearer from hour 1 on, cut at hour 3
+                pieces = [(ov.EVER, 1, cost), (1, 3, 2 * cost)]
+                spans += [(run, u, v, k, a, b, int(c * ov.UNIT), cost) for a, b, c in pieces]
+            hourly += [(run, h, u, v, c) for a, b, c in pieces for h in range(4) if a <= h < b]
+    edges = spark.createDataFrame([(u, v, k, c) for u, v, k, c in plain], "u long, v long, key long, length_m double")
+    changed = spark.createDataFrame(spans, "run_id long, u long, v long, key long, a long, b long, cost long, length_m double")
+    open_ = [(run, h, n, f) for run in (7, 8) for h in range(4) for n, f in ((5, 1), (140, 2), (77, 3), (77, 2), (61, 4)) if (n + run + h) % 3]
+    seeds = spark.createDataFrame(open_, "run_id long, period int, node_id long, refuge_id long")
+    names = ["run_id", "period", "node", "cost", "refuge_id", "next_hop"]
+    costs = spark.createDataFrame(hourly, "run_id long, period int, u long, v long, cost double")
+    want = sorted(map(str, net.route_all(costs, seeds, ["run_id", "period"]).select(*names).collect()))
+    for size, group in ((20, 2), (40, 100), (1000, 1)):
+        overlay = ov.Overlay(edges, changed, ov.network_parts(nodes, size, group), ["run_id"])
+        got = sorted(map(str, ov.route(overlay, seeds).select(*names).collect()))
+        assert got == want and len(got) > 900
+    hop = spark.createDataFrame([(7, h, *plain[i][:2]) for h in range(4) for i in range(0, 60, 7)], "run_id long, period int, u long, v long")
+    lengths = {(x.run_id, x.period, x.u, x.v): x.length_m for x in ov.at_hours(edges, changed, hop, ["run_id"]).collect()}
+    open_at = {(run, h, u, v) for run, h, u, v, _ in hourly}
+    shut = {(run, u, v, k) for run, u, v, k, *_ in spans}
+    for x in hop.collect():
+        own = [c for u, v, k, c in plain if (u, v) == (x.u, x.v) and ((7, u, v, k) not in shut or x.period < 3)]
+        assert lengths.get((7, x.period, x.u, x.v)) == (min(own) if (7, x.period, x.u, x.v) in open_at else None)
 
 
 def test_steady_detections_form_passes(spark):
