@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hazardframe.catalog import q_network
 from hazardframe.catalog import sqltext as q
 from hazardframe.catalog.q_cells import RUN_GRID
-from hazardframe.catalog.q_network import GRID, _fire, run
+from hazardframe.catalog.q_network import GRID, OUTCOME, _fire, run
 from hazardframe.catalog.registry import query
-from hazardframe.operators.common import scratch_path
+from hazardframe.operators.common import materialise, scratch_path
 from hazardframe.plans import exports as ex
+from hazardframe.plans.evacuate import evacuate
 from hazardframe.sources import readers as rd
 from hazardframe.sources import writers as wr
 from hazardframe.streaming import feeds
@@ -224,10 +226,30 @@ def st5(v):
 
 @query("st1_stream_codes", f"WITH RECURSIVE {q.DAILY} SELECT station_id, strftime(day,'%Y-%m-%d') AS day, ffmc, dmc, dc FROM daily")
 def st1(v):
-    table = scratch_path(v.spark, "codes")
-    s = _stream(v, v("fx_weather").withColumn("ts", F.col("ts").cast("timestamp")), "codes-in", 2)
-    _finish(v, feeds.stream_codes(s, table), "codes")
-    return v.spark.read.parquet(f"{table}/codes").select(F.col("station_id").cast("long").alias("station_id"), F.date_format("day", "yyyy-MM-dd").alias("day"), "ffmc", "dmc", "dc")
+    """Hours in four batches that overlap in time, each shuffled; every third row comes twice."""
+    w = v("fx_weather").select(F.col("station_id").cast("long").alias("station_id"), F.col("ts").cast("timestamp").alias("ts"), "precip_mm", "temp_c", "rh_pct", "ws_kmh")
+    span = w.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    step, p = (span.b - span.a) / 4, scratch_path(v.spark, "codes-in")
+    jitter = F.pmod(F.xxhash64("station_id", "ts"), F.lit(86400)).cast("long")  # up to a day early
+    near = (F.col("ts").cast("long") - jitter).cast("timestamp")
+    for i in range(4):
+        part = w.filter(near >= F.lit(span.a + i * step)) if i else w
+        part = part.filter(near < F.lit(span.a + (i + 1) * step)) if i < 3 else part
+        part = part.unionByName(part.filter("station_id % 3 = 0"))
+        part.orderBy(F.xxhash64("ts", "station_id")).coalesce(1).write.mode("append").parquet(p)
+    # A row of no station, later than all, moves the watermark past the last real one.
+    close = w.agg(F.lit(-1).cast("long").alias("station_id"), (F.max("ts") + F.expr("INTERVAL 30 DAY")).alias("ts"))
+    close.select("*", *[F.lit(None).cast("double").alias(c) for c in ("precip_mm", "temp_c", "rh_pct", "ws_kmh")]).write.mode("append").parquet(p)
+    s = v.spark.readStream.schema(w.schema).option("maxFilesPerTrigger", 1).parquet(p)
+    out, store = scratch_path(v.spark, "codes"), "spark.sql.streaming.stateStore.providerClass"
+    before = v.spark.conf.get(store)
+    v.spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        _finish(v, feeds.stream_codes(s).writeStream.outputMode("append").format("parquet").option("path", out), "codes")
+    finally:
+        v.spark.conf.set(store, before)
+    got = v.spark.read.schema("station_id long, day date, ffmc double, dmc double, dc double").parquet(out)
+    return got.select("station_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "ffmc", "dmc", "dc")
 
 
 @query("st3_stream_gaps")
@@ -257,11 +279,20 @@ def st2(v):
     return got.select("det_id", F.date_format(F.timestamp_seconds("pass_s"), "yyyy-MM-dd HH:mm").alias("pass_t"))
 
 
-@query("st4_stream_evacuate", "SELECT run_id, arrival AS period, count(*) AS n FROM fx_arrival GROUP BY 1,2")
+@query("st4_stream_evacuate", f"WITH RECURSIVE {OUTCOME} SELECT period, fire_km2, at_risk, population, routed, cut_off, impacted, edges_removed, longest_route_km FROM summ")
 def st4(v):
-    root = scratch_path(v.spark, "evac")
-    s = _stream(v, v("fx_arrival"), "evac-in", 2)
-    solve = lambda cells: cells.groupBy("run_id", F.col("arrival").alias("period")).agg(F.count("*").alias("n"))
+    """The fire arrives in three batches by hour, the last two overlapping; every hour's evacuation is kept up to date."""
+    fire, root, p = _fire(v), scratch_path(v.spark, "evac"), scratch_path(v.spark, "evac-in")
+    for a, b in ((0, 2), (3, 4), (4, 99)):
+        fire.filter(F.col("arrival").between(a, b)).coalesce(1).write.mode("append").parquet(p)
+    tables = [materialise(v(t), t) for t in ("fx_gridcell", "fx_node", "fx_edge", "fx_settlement", "fx_refuge")]
+    cells, nodes, edges, settlements, refuges = tables
+
+    def solve(arrived, since, before):
+        e = evacuate(arrived, q_network._width(cells), GRID, nodes, edges, settlements, refuges, q_network.KEY, None, since, before)
+        return e.routes, e.outcome, e.summary
+
+    s = v.spark.readStream.schema(fire.schema).option("maxFilesPerTrigger", 1).parquet(p)
     _finish(v, feeds.stream_evacuate(s, solve, root), "evac")
-    t = v.spark.read.parquet(f"{root}/outcome")
-    return t.select(F.col("run_id").cast("long").alias("run_id"), F.col("period").cast("long").alias("period"), "n")
+    t = v.spark.read.parquet(f"{root}/summary")
+    return t.select(F.col("period").cast("long").alias("period"), "fire_km2", "at_risk", "population", "routed", "cut_off", "impacted", "edges_removed", "longest_route_km")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -148,3 +150,38 @@ def fwi(isi_value, bui_value) -> Column:
     mix = 0.1 * dbl(isi_value) * fuel
     scaled = F.exp(2.72 * F.pow(0.434 * F.log(F.greatest(mix, F.lit(1.0))), F.lit(0.647)))
     return F.when(mix > 1.0, scaled).otherwise(mix)
+
+
+def _dried(m: float, temp: float, rh: float, wind: float) -> float:
+    """One day's drying or wetting of fine fuel towards its equilibrium."""
+    heat = 0.18 * (21.1 - temp) * (1.0 - math.exp(-0.115 * rh))
+    steam = math.exp((rh - 100.0) / 10.0)
+    dry, wet = 0.942 * rh**0.679 + 11.0 * steam + heat, 0.618 * rh**0.753 + 10.0 * steam + heat
+    if wet <= m <= dry:
+        return m
+    side = rh / 100.0 if m > dry else (100.0 - rh) / 100.0
+    speed = (0.424 * (1.0 - side**1.7) + 0.0694 * math.sqrt(wind) * (1.0 - side**8.0)) * 0.581 * math.exp(0.0365 * temp)
+    goal = dry if m > dry else wet
+    return goal + (m - goal) * 10.0**-speed
+
+
+def next_codes(codes: tuple[float, float, float], temp: float, rh: float, wind: float, rain: float, month: int) -> tuple[float, float, float]:
+    """Today's three codes from yesterday's, for the stream's carried state; the columns above say the same."""
+    fine, duff, deep = codes
+    m = 147.2 * (101.0 - fine) / (59.5 + fine)
+    if rain > 0.5:
+        r = rain - 0.5
+        over = max(0.0, m - 150.0)
+        m = min(250.0, m + 42.5 * r * math.exp(-100.0 / (251.0 - m)) * (1.0 - math.exp(-6.93 / r)) + 0.0015 * over * over * math.sqrt(r))
+    m = _dried(m, temp, rh, wind)
+    if rain > 1.5:
+        slope = 100.0 / (0.5 + 0.3 * duff) if duff <= 33.0 else 14.0 - 1.3 * math.log(duff) if duff <= 65.0 else 6.2 * math.log(duff) - 17.2
+        gain = 0.92 * rain - 1.27
+        moist = math.exp(5.6348 - duff / 43.43) + 1000.0 * gain / (48.77 + slope * gain)
+        duff = max(0.0, 43.43 * (5.6348 - math.log(max(moist, 1e-12))))
+    duff += 100.0 * 1.894 * (temp + 1.1) * (100.0 - rh) * DMC_DAY_LENGTH[month - 1] * 1e-6 if temp > -1.1 else 0.0
+    if rain > 2.8:
+        stored = 800.0 * math.exp(-deep / 400.0) + 3.937 * (0.83 * rain - 1.27)
+        deep = max(0.0, 400.0 * math.log(800.0 / max(stored, 1e-12)))
+    deep += 0.5 * max(0.0, DC_DAY_LENGTH[month - 1] + (0.36 * (temp + 2.8) if temp > -2.8 else 0.0))
+    return 59.5 * (250.0 - m) / (147.2 + m), duff, deep

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 
 from hazardframe.functions import geo
 from hazardframe.operators.cells import Grid
-from hazardframe.operators.common import attach_all, global_rank, materialise, materialise_observed
+from hazardframe.operators.common import attach_all, global_rank, is_empty, materialise, materialise_observed
 from hazardframe.operators.network import EDGE, cut_edges, fire_distance
 
 #: Nodes of a part, and parts of a group that settles overlay labels in one task.
@@ -327,3 +327,84 @@ def overlay_labels(overlay: Overlay, start: DataFrame) -> DataFrame:
                 known = known.unionByName(more)
             known = known.groupBy(*group, "period", "node").agg(F.min(F.struct("cost", "refuge_id", "next_hop")).alias("_k"))
             return materialise(known.select(*keys, "grp", "period", "node", "_k.*"), "border-labels")
+
+
+# One hour from the hour before
+
+
+def still_valid(overlay: Overlay, before: DataFrame, seeds: DataFrame, inner: DataFrame, cross: DataFrame) -> DataFrame:
+    """Labels of the hour before whose whole way stands unchanged, now at the hour of ``seeds``.
+
+    ``before`` has keys, node, cost (units), refuge_id, next_hop and the new ``period``. A label's
+    first step is sound if the edge still costs the difference of the two labels, or if its own refuge
+    is still open. Unsound labels spoil all whose way leads over them; ways are followed by doubling.
+    """
+    keys, node = overlay.keys, [*overlay.keys, "node"]
+    both = inner.select(*keys, "u", "v", "a", "b", "cost").unionByName(cross.select(*keys, F.col("node").alias("v"), "u", "a", "b", "cost").select(*keys, "u", "v", "a", "b", "cost"))
+    there = before.select(*keys, F.col("node").alias("next_hop"), F.col("cost").alias("_there"))
+    steps = before.filter("next_hop IS NOT NULL").join(there, [*keys, "next_hop"])
+    price = both.withColumnRenamed("cost", "_edge").withColumnsRenamed({"u": "node", "v": "next_hop"})
+    now = steps.join(price, [*node, "next_hop"]).filter("a <= period AND period < b").groupBy(*node, "period", "refuge_id", "next_hop", "cost", "_there").agg(F.min("_edge").alias("_edge"))
+    kept = now.filter("cost - _there = _edge").select(*node, F.col("next_hop").alias("to"))
+    roots = before.filter("next_hop IS NULL").join(seeds.select(*keys, F.col("node_id").cast("long").alias("node"), F.col("refuge_id").cast("long").alias("refuge_id")), [*node, "refuge_id"])
+    # A sound root leads to itself; a chain is sound when it ends at one.
+    ahead = materialise(kept.withColumn("done", F.lit(False)).unionByName(roots.select(*node, F.col("node").alias("to"), F.lit(True).alias("done"))), "ahead")
+    while True:
+        second = ahead.select(*keys, F.col("node").alias("to"), F.col("to").alias("_to"), F.col("done").alias("_done"))
+        ahead, open_ = materialise_observed(
+            ahead.join(second, [*keys, "to"]).select(*node, F.when(F.col("done"), F.col("to")).otherwise(F.col("_to")).alias("to"), (F.col("done") | F.col("_done")).alias("done")),
+            "ahead", n=F.count_if(~F.col("done")))
+        if not open_["n"]:  # chains over an unsound label have dropped out
+            return materialise(before.join(ahead.select(*node), node, "left_semi"), "valid-labels")
+
+
+def next_hour(overlay: Overlay, before: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Routes of one hour, as ``route`` gives them, from those of an hour before it.
+
+    Costs must not fall in between, as under a growing fire. Labels that lost their way are
+    dropped; parts with such nodes or a newly open refuge are settled anew from the labels that stand, and
+    pass better ones on to their neighbours until none is better.
+    """
+    keys, within, node = overlay.keys, [*overlay.keys, "part"], [*overlay.keys, "node"]
+    runs = seeds.select(*keys, F.col("period").cast("long").alias("period")).distinct()
+    inner = overlay.inner(runs.select(*keys))
+    cross = overlay.own_edges("_pu <> _pv", runs.select(*keys)).select(*keys, F.col("v").alias("node"), "u", "a", "b", "cost", F.col("_pu").alias("part"))
+    cross = materialise(cross, "cross-edges")
+    old = before.drop("period").join(runs, keys).select(*node, "period", units(F.col("cost")).alias("cost"), "refuge_id", "next_hop")
+    old = materialise(old.join(overlay.parts.select("node", "part"), "node"), "before")
+    valid = still_valid(overlay, old, seeds, inner, cross)
+    lost = old.join(valid.select(*node), node, "left_anti").select(*within)
+    own = seeds.groupBy(*keys, F.col("period").cast("long").alias("period"), F.col("node_id").cast("long").alias("node")).agg(F.min("refuge_id").cast("long").alias("refuge_id"))
+    own = own.join(overlay.parts.select("node", "part"), "node").select(*within, "period", "node", F.lit(0).cast("long").alias("cost"), "refuge_id", F.lit(None).cast("long").alias("next_hop"))
+    # A node's closed refuge may have hidden another one there.
+    opened = own.join(valid.filter("next_hop IS NULL").select(*node, "refuge_id"), [*node, "refuge_id"], "left_anti")
+    opened = materialise(opened.select(*within, *_COLUMNS), "opened")
+    labels = [valid.select(*within, *_COLUMNS), opened]
+    active = materialise(lost.unionByName(opened.select(*within)).distinct(), "active")
+    while not is_empty(active):
+        known = _least(labels, [*within, "period", "node"])
+        # What neighbours offer is taken anew from all labels at the edges of the active parts.
+        over = known.withColumnRenamed("cost", "_c").drop("part", "next_hop").join(cross.join(active, within, "left_semi"), node).filter("a <= period AND period < b")
+        offer = F.struct((F.col("_c") + F.col("cost")).alias("cost"), "refuge_id", F.col("node").alias("next_hop"))
+        offers = over.select(*within, "period", F.col("u").alias("node"), offer.alias("o")).groupBy(*within, "period", "node").agg(F.min("o").alias("o")).select(*within, "period", "node", "o.*")
+        begin = known.join(active, within, "left_semi").select(*within, *_COLUMNS).unionByName(offers.select(*within, *_COLUMNS))
+        full = _settled(inner.join(active, within, "left_semi"), begin, within)
+        had = known.select(*node, "period", F.struct("cost", "refuge_id", "next_hop").alias("_k"))
+        mine = F.struct("cost", "refuge_id", "next_hop")
+        better = full.join(had, [*node, "period"], "left").filter(F.col("_k").isNull() | (mine < F.col("_k"))).drop("_k")
+        better = materialise(better.select(*within, *_COLUMNS), "better")
+        labels.append(better)
+        # Parts that a better label reaches and improves are next.
+        out = better.withColumnRenamed("cost", "_c").drop("part", "next_hop").join(cross, node).filter("a <= period AND period < b")
+        reach = out.select(*within, "period", F.col("u").alias("node"), F.struct((F.col("_c") + F.col("cost")).alias("cost"), "refuge_id", F.col("node").alias("next_hop")).alias("o"))
+        now = _least(labels, [*within, "period", "node"]).select(*node, "period", F.struct("cost", "refuge_id", "next_hop").alias("_k"))
+        active = materialise(reach.join(now, [*node, "period"], "left").filter(F.col("_k").isNull() | (F.col("o") < F.col("_k"))).select(*within).distinct(), "active")
+    whole = _least(labels, [*within, "period", "node"])
+    return materialise(whole.select(*keys, "period", "node", (F.col("cost") / UNIT).alias("cost"), "refuge_id", "next_hop"), "routes")
+
+
+def _least(labels: list[DataFrame], keys: list[str]) -> DataFrame:
+    whole = labels[0]
+    for more in labels[1:]:
+        whole = whole.unionByName(more)
+    return whole.groupBy(*keys).agg(F.min(F.struct("cost", "refuge_id", "next_hop")).alias("_l")).select(*keys, "_l.*")

@@ -155,10 +155,18 @@ def test_overlay_routes_equal_routes_by_hops(spark):
     names = ["run_id", "period", "node", "cost", "refuge_id", "next_hop"]
     costs = spark.createDataFrame(hourly, "run_id long, period int, u long, v long, cost double")
     want = sorted(map(str, net.route_all(costs, seeds, ["run_id", "period"]).select(*names).collect()))
-    for size, group in ((20, 2), (40, 100), (1000, 1)):
+    for size, group in ((20, 2), (1000, 1)):
         overlay = ov.Overlay(edges, changed, ov.network_parts(nodes, size, group), ["run_id"])
         got = sorted(map(str, ov.route(overlay, seeds).select(*names).collect()))
         assert got == want and len(got) > 900
+    # Hour by hour; refuges close and open.
+    overlay = ov.Overlay(edges, changed, ov.network_parts(nodes, 20, 2), ["run_id"])
+    now = ov.route(overlay, seeds.filter("period = 0"))
+    got = list(map(str, now.select(*names).collect()))
+    for h in (1, 2, 3):
+        now = ov.next_hour(overlay, now, seeds.filter(F.col("period") == h))
+        got += list(map(str, now.select(*names).collect()))
+    assert sorted(got) == want
     hop = spark.createDataFrame([(7, h, *plain[i][:2]) for h in range(4) for i in range(0, 60, 7)], "run_id long, period int, u long, v long")
     lengths = {(x.run_id, x.period, x.u, x.v): x.length_m for x in ov.at_hours(edges, changed, hop, ["run_id"]).collect()}
     open_at = {(run, h, u, v) for run, h, u, v, _ in hourly}
