@@ -295,18 +295,18 @@ def u4(v):
     return cc.fill_holes(v("fx_arrival"))
 
 
-@query("g7_boundary_rings", f"""WITH RECURSIVE fire AS (SELECT run_id, r, c FROM fx_arrival WHERE arrival<=5), {_rings('fire')},
+@query("g7_boundary_rings", f"""WITH RECURSIVE fire AS (SELECT run_id, r, c FROM fx_arrival), {_rings('fire')},
 ext AS (SELECT ring_id, count(*) AS n_ring FROM ring GROUP BY 1 HAVING sum(ac*br-bc*ar)>0)
 SELECT ring.run_id, ring.ring_id, ring.seq, ext.n_ring, ar, ac, br, bc FROM ring JOIN ext ON ext.ring_id=ring.ring_id""")
 def g7(v):
-    return numbered(rg.boundary_rings(v("fx_arrival").filter("arrival <= 5")).drop("area2"))
+    return numbered(rg.boundary_rings(v("fx_arrival")).drop("area2"))
 
 
-@query("w13_sample_rings", f"""WITH RECURSIVE fire AS (SELECT run_id, r, c FROM fx_arrival WHERE arrival<=3), {_rings('fire')},
+@query("w13_sample_rings", f"""WITH RECURSIVE fire AS (SELECT run_id, r, c FROM fx_arrival), {_rings('fire')},
 ext AS (SELECT ring_id, count(*) AS n_ring FROM ring GROUP BY 1 HAVING sum(ac*br-bc*ar)>0),
 sm AS (SELECT ring.*, unnest(generate_series(CAST(ceil(seq*200/30.0) AS BIGINT), CAST(ceil((seq+1)*200/30.0) AS BIGINT)-1)) AS idx FROM ring JOIN ext ON ext.ring_id=ring.ring_id)
 SELECT run_id, ring_id, idx, idx*30.0::DOUBLE AS chainage_m, round(ac*200+(idx*30-seq*200)/200.0*(bc-ac)*200,4) AS x, round(24000-ar*200-(idx*30-seq*200)/200.0*(br-ar)*200,4) AS y FROM sm""")
 def w13(v):
-    segs = rg.ring_segments(rg.boundary_rings(v("fx_arrival").filter("arrival <= 3")), RUN_GRID)
+    segs = rg.ring_segments(rg.boundary_rings(v("fx_arrival")), RUN_GRID)
     out = numbered(rg.sample_rings(segs, side=CELL))
     return out.withColumn("x", F.round("x", 4)).withColumn("y", F.round("y", 4))

@@ -156,11 +156,11 @@ def s15(v):
     return cells.groupBy("period").agg(F.count("*").alias("n"))
 
 
-@query("k4_write_run", "SELECT run_id, arrival AS period, count(*) AS n FROM fx_arrival WHERE run_id<5 GROUP BY 1,2")
+@query("k4_write_run", "SELECT run_id, arrival AS period, count(*) AS n FROM fx_arrival GROUP BY 1,2")
 def k4(v):
     root = scratch_path(v.spark, "layers")
     wr.write_run({"cells": v("fx_arrival").withColumnRenamed("arrival", "period")}, root)
-    t = v.spark.read.parquet(f"{root}/cells").filter("run_id < 5")
+    t = v.spark.read.parquet(f"{root}/cells")
     return t.groupBy(F.col("run_id").cast("long").alias("run_id"), F.col("period").cast("long").alias("period")).agg(F.count("*").alias("n"))
 
 

@@ -312,12 +312,12 @@ def r18(v):
 _INT = "(r*131+c*17+arrival*29)%5000"
 
 
-@query("r12_segment_classes", f"""WITH RECURSIVE fire AS (SELECT run_id, r, c FROM fx_arrival WHERE arrival<=3), {_rings('fire')}, ext AS (SELECT ring_id FROM ring GROUP BY 1 HAVING sum(ac*br-bc*ar)>0), er AS (SELECT ring.* FROM ring JOIN ext ON ext.ring_id=ring.ring_id),
+@query("r12_segment_classes", f"""WITH RECURSIVE fire AS (SELECT run_id, r, c FROM fx_arrival), {_rings('fire')}, ext AS (SELECT ring_id FROM ring GROUP BY 1 HAVING sum(ac*br-bc*ar)>0), er AS (SELECT ring.* FROM ring JOIN ext ON ext.ring_id=ring.ring_id),
 md AS (SELECT run_id, ring_id, seq, floor((ac+bc)/2.0) AS c, floor((ar+br)/2.0) AS r FROM er)
 SELECT m.run_id, m.ring_id, m.seq, CASE WHEN max(f.fi) IS NULL OR max(f.fi)<=0 THEN 0 WHEN max(f.fi)>=3500 THEN 4 WHEN max(f.fi)>=1750 THEN 3 WHEN max(f.fi)>=350 THEN 2 ELSE 1 END AS cls FROM md m
-LEFT JOIN (SELECT run_id, r, c, {_INT} AS fi FROM fx_arrival WHERE arrival<=3) f ON f.run_id=m.run_id AND abs(f.r-m.r)<=1 AND abs(f.c-m.c)<=1 GROUP BY 1,2,3""")
+LEFT JOIN (SELECT run_id, r, c, {_INT} AS fi FROM fx_arrival) f ON f.run_id=m.run_id AND abs(f.r-m.r)<=1 AND abs(f.c-m.c)<=1 GROUP BY 1,2,3""")
 def r12(v):
-    f = v("fx_arrival").filter("arrival <= 3")
+    f = v("fx_arrival")
     segs = rg.ring_segments(rg.boundary_rings(f), RUN_GRID)
     return numbered(rg.cell_sides_classes(segs, f.withColumn("fi", F.expr(_INT)), RUN_GRID, ["run_id"]).select("run_id", "ring_id", "seq", "cls"))
 
