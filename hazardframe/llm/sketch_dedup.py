@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +47,19 @@ def cells(blocks: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mix(blocks ^ U64(row * 0x9E3779B97F4A7C15 + 1 & (1 << 64) - 1)) >> U64(64 - bits)).astype(np.uint32)
 
 
-def sketch(blocks: DataFrame, bits: int) -> list[np.ndarray]:
-    """Per sketch row, the packed bits of the cells counted twice or more over all ``block`` values."""
+def _column(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    return (b.column("block").to_numpy().view(U64) for b in batches if b.num_rows)
+
+
+def sketch(blocks: DataFrame, bits: int, read: Callable = _column) -> list[np.ndarray]:
+    """Per sketch row, the packed bits of the cells counted twice or more over all ``block`` values.
+
+    ``read`` makes arrays of values from a partition's batches; with it, rows of any kind can be counted in one step.
+    """
     span = bits - RANGES.bit_length() + 1  # bits of a cell's number within its range
 
     def count(batches):
-        held = [b.column("block").to_numpy().view(U64) for b in batches if b.num_rows]
+        held = list(read(batches))
         if not held:
             return
         values = np.concatenate(held)
