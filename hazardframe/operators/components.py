@@ -107,20 +107,30 @@ def drop_specks(comps: DataFrame, cell: float, min_area: float = 2e4, keys=RUN)
 def fill_holes(cells: DataFrame, keys=RUN) -> DataFrame:
     """Footprint with the unburned islands of each 4-connected part filled in.
 
-    A part's background (its bounding box widened by one cell) is split into 4-connected
-    regions; regions that do not reach the box border are islands.
+    A row of a part is burned cells with gaps between them; what lies before the first and after
+    the last cell is outside. Gaps of neighbouring rows are linked where they share a column, and to
+    the outside where they reach past the neighbouring row's cells. Gaps that no chain links to
+    the outside are islands. The work follows the part's outline, not its bounding box.
     """
     keys = list(keys)
-    part = materialise(cell_components(cells, 4, keys), "parts")
-    box = part.groupBy(*keys, "comp").agg(
-        (F.min("r") - 1).alias("r0"), (F.max("r") + 1).alias("r1"), (F.min("c") - 1).alias("c0"), (F.max("c") + 1).alias("c1")
-    ).filter("r1 - r0 >= 4 AND c1 - c0 >= 4")  # smaller parts cannot hold an island
-    box = global_rank(box, [F.col("comp")], "part")
-    area = box.withColumn("r", F.explode(F.sequence("r0", "r1"))).withColumn("c", F.explode(F.sequence("c0", "c1")))
-    back = materialise(area.join(part.select("comp", "r", "c"), ["comp", "r", "c"], "left_anti"), "background")
-    region = cell_components(back, 4, ["part"]).withColumnRenamed("comp", "region")
-    back = materialise(back.join(region, ["part", "r", "c"]), "regions")
-    edge = (F.col("r") == F.col("r0")) | (F.col("r") == F.col("r1")) | (F.col("c") == F.col("c0")) | (F.col("c") == F.col("c1"))
-    outer = back.filter(edge).select("region").distinct()
-    holes = back.join(outer, "region", "left_anti").select(*keys, "r", "c")
+    part = materialise(cell_components(cells, 4, keys).select(*keys, "comp", "r", "c"), "parts")
+    rows = materialise(part.groupBy(*keys, "comp", "r").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count(F.lit(1)).alias("_n")), "part-rows")
+    w = W.partitionBy(*keys, "comp", "r").orderBy("c")  # cells of one row of one grid
+    holed = rows.filter("_hi - _lo + 1 > _n").select(*keys, "comp", "r")
+    gaps = part.join(holed, [*keys, "comp", "r"], "left_semi").withColumn("_next", F.lead("c").over(w)).filter("_next > c + 1")
+    gaps = gaps.select(*keys, "comp", "r", (F.col("c") + 1).alias("a"), (F.col("_next") - 1).alias("b"))
+    gaps = materialise(global_rank(gaps, [F.col("comp"), F.col("r"), F.col("a")], "id"), "gaps")
+    # The gap of the next or previous row that holds a gap's first column; every overlap begins at such a column.
+    step = F.explode(F.array(F.lit(-1), F.lit(1))).alias("_step")
+    asked = gaps.select("comp", "r", "a", "id", step).select("comp", (F.col("r") + F.col("_step")).alias("r"), F.col("a").alias("at"), F.lit(1).alias("_ask"), F.col("id").alias("_from"), F.lit(None).cast("struct<b:bigint,id:bigint>").alias("_gap"))
+    held = gaps.select("comp", "r", F.col("a").alias("at"), F.lit(0).alias("_ask"), F.lit(None).cast("long").alias("_from"), F.struct(F.col("b").cast("long").alias("b"), F.col("id").cast("long").alias("id")).alias("_gap"))
+    before = W.partitionBy("comp", "r").orderBy("at", "_ask").rowsBetween(W.unboundedPreceding, 0)
+    met = held.unionByName(asked).withColumn("_last", F.last("_gap", ignorenulls=True).over(before))
+    inner = met.filter("_ask = 1 AND _last.b >= at").select(F.col("_from").alias("u"), F.col("_last.id").alias("v"))
+    beside = gaps.select("comp", "r", "a", "b", "id", step).withColumn("r", F.col("r") + F.col("_step"))
+    beside = beside.join(rows.select("comp", "r", "_lo", "_hi"), ["comp", "r"], "left")
+    outer = beside.filter("_lo IS NULL OR a < _lo OR b > _hi").select(F.col("id").cast("long").alias("u"), F.lit(0).cast("long").alias("v"))
+    links = inner.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).unionByName(outer.distinct())
+    reached = components(links).filter("comp = 0").select("id")
+    holes = gaps.join(reached, "id", "left_anti").withColumn("c", F.explode(F.sequence("a", "b"))).select(*keys, "r", "c")
     return cells.select(*keys, "r", "c").union(holes).distinct()

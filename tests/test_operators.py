@@ -53,6 +53,49 @@ def test_holes_are_filled_and_corner_cells_are_two_rings(spark):
     assert rg.boundary_rings(df, exterior_only=False).select("ring_id").distinct().count() == 3
 
 
+def _filled(cells: set) -> set:
+    """Per 4-connected part, what its outside does not reach, by flooding."""
+
+    def flood(start, inside):
+        seen, todo = {start}, [start]
+        while todo:
+            r, c = todo.pop()
+            for n in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)):
+                if n not in seen and inside(n):
+                    seen.add(n)
+                    todo.append(n)
+        return seen
+
+    out, left = set(cells), set(cells)
+    while left:
+        part = flood(next(iter(left)), lambda n: n in cells)
+        left -= part
+        r0, r1, c0, c1 = (f(x[i] for x in part) + d for i in (0, 1) for f, d in ((min, -1), (max, 1)))
+        outside = flood((r0, c0), lambda n: r0 <= n[0] <= r1 and c0 <= n[1] <= c1 and n not in part)
+        out |= {(r, c) for r in range(r0, r1 + 1) for c in range(c0, c1 + 1)} - outside
+    return out
+
+
+def test_holes_equal_flooding(spark):
+    r, cells = random.Random(6), set()
+    for run in range(6):
+        share = 0.5 + 0.08 * run
+        cells |= {(run, i, j) for i in range(18) for j in range(18) if r.random() < share}
+    ring = {(9, i, j) for i in range(9) for j in range(9) if max(abs(i - 4), abs(j - 4)) in (2, 4)}  # a ring in a ring
+    comb = {(10, i, j) for i in range(30) for j in range(0, 30) if j % 2 == 0 or i == 0}
+    closed = comb | {(10, 29, j) for j in range(0, 28)}
+    cells |= ring | {(11, i, j) for _, i, j in comb} | closed
+    got = {tuple(x) for x in cc.fill_holes(spark.createDataFrame(list(cells), "run_id long, r long, c long")).collect()}
+    want = {(run, *x) for run in {k for k, _, _ in cells} for x in _filled({(i, j) for k, i, j in cells if k == run})}
+    assert got == want and len(want) > len(cells)
+
+
+def test_a_long_diagonal_costs_its_length(spark):
+    n = 10_000
+    df = spark.range(2 * n).selectExpr("0L AS run_id", "CAST(floor(id / 2) AS BIGINT) AS r", "CAST(floor((id + 1) / 2) AS BIGINT) AS c")
+    assert cc.fill_holes(df).count() == 2 * n
+
+
 def test_burn_series_areas(spark):
     cells = [(0, r, c, max(r, c)) for r in range(3) for c in range(3)]
     s = cl.perimeter_stats(spark.createDataFrame(cells, "run_id long, r long, c long, arrival long"), 30.0).orderBy("period")
