@@ -56,15 +56,22 @@ def group_passes(det: DataFrame, tol_min: int = 20, keys: list[str] | None = Non
     day = day.join(starts, [*keys, "_day"])
     day = day.withColumn("_stretch", F.sum("_new").over(w) + F.coalesce("_off", F.lit(0)))
     # From a stretch's first time on, each pass starts at the first time beyond the tolerance after
-    # the start before it. The starts are found by pointer doubling over that successor.
+    # the start before it. The starts are found by pointer doubling over that successor. In a stretch it
+    # lies in the bucket (as wide as the tolerance) of the earliest time it may have, or is the next bucket's first.
+    tol_us = tol_min * 60_000_000
     micros = F.unix_micros(F.timestamp_seconds("_s"))
-    stretch = W.partitionBy(*keys, "_stretch").orderBy("_u")
-    day = day.select(*keys, "_stretch", "_s", micros.alias("_u"))
-    after = F.min("_u").over(stretch.rangeBetween(tol_min * 60_000_000 + 1, W.unboundedFollowing))
-    day = materialise(day.withColumn("_next", after).withColumn("_first", F.row_number().over(stretch) == 1), "pass-times")
+    bucket = lambda c: F.floor(F.col(c) / F.lit(tol_us)).cast("long")
+    day = materialise(day.select(*keys, "_stretch", "_s", micros.alias("_u"), (F.col("_new") == 1).alias("_first")).withColumn("_b", bucket("_u")), "pass-times")
     at = [*keys, "_stretch", "_u"]
-    heads, jump = day.filter("_first").select(*at), day.filter("_next IS NOT NULL").select(*at, "_next")
-    heads = materialise(heads, "pass-starts")
+    none = F.lit(None).cast("long")
+    asked = day.select(*keys, "_stretch", "_u", (F.col("_u") + tol_us + 1).alias("_at")).withColumn("_b", bucket("_at"))
+    held = day.select(*keys, "_stretch", none.alias("_u"), F.col("_u").alias("_at"), "_b")
+    onward = W.partitionBy(*keys, "_stretch", "_b").orderBy(F.col("_at").desc(), F.col("_u").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    met = held.unionByName(asked).withColumn("_in", F.last(F.when(F.col("_u").isNull(), F.col("_at")), ignorenulls=True).over(onward)).filter("_u IS NOT NULL")
+    opens = day.groupBy(*keys, "_stretch", (F.col("_b") - 1).alias("_b")).agg(F.min("_u").alias("_open"))
+    jump = met.join(opens, [*keys, "_stretch", "_b"], "left").select(*at, F.coalesce("_in", "_open").alias("_next")).filter("_next IS NOT NULL")
+    jump = materialise(jump, "pass-jumps")
+    heads = materialise(day.filter("_first").select(*at), "pass-starts")
     while True:
         more, grown = materialise_observed(heads.join(jump, at).select(*keys, "_stretch", F.col("_next").alias("_u")), "pass-starts", n=F.count(F.lit(1)))
         if not grown["n"]:
@@ -72,9 +79,12 @@ def group_passes(det: DataFrame, tol_min: int = 20, keys: list[str] | None = Non
         heads = heads.unionByName(more)
         second = jump.select(*keys, "_stretch", F.col("_u").alias("_next"), F.col("_next").alias("_then"))
         jump = materialise(jump.join(second, [*keys, "_stretch", "_next"]).select(*at, F.col("_then").alias("_next")), "pass-jumps")
-    lab = day.join(heads.withColumn("_head", F.lit(True)), at, "left")
-    start = F.max(F.when(F.col("_head"), F.col("_s"))).over(stretch.rowsBetween(W.unboundedPreceding, 0))
-    lab = lab.select(*keys, "_s", F.timestamp_seconds(start).alias("pass_t"))
+    # A time's start is the last one in its bucket up to it, or the last of the bucket before.
+    heads = materialise(heads.distinct().withColumn("_head", F.lit(True)), "pass-starts")
+    closes = heads.withColumn("_b", bucket("_u") + 1).groupBy(*keys, "_stretch", "_b").agg(F.max("_u").alias("_close"))
+    upto = W.partitionBy(*keys, "_stretch", "_b").orderBy("_u").rowsBetween(W.unboundedPreceding, 0)
+    lab = day.join(heads, at, "left").withColumn("_in", F.last(F.when(F.col("_head"), F.col("_u")), ignorenulls=True).over(upto))
+    lab = lab.join(closes, [*keys, "_stretch", "_b"], "left").select(*keys, "_s", F.timestamp_micros(F.coalesce("_in", "_close")).alias("pass_t"))
     return det.withColumn("_s", F.col("t").cast("timestamp").cast("double")).join(lab, [*keys, "_s"]).drop("_s")
 
 

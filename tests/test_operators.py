@@ -230,3 +230,19 @@ def test_steady_detections_form_passes(spark):
         anchor = i if anchor is None or i - anchor > 20 else anchor
         want[i] = anchor
     assert got == want
+
+
+def test_a_day_without_gaps_forms_passes(spark):
+    """Two satellites, one with a detection every second or two all day."""
+    r = random.Random(9)
+    times = {1: sorted(r.sample(range(86_400), 50_000)), 2: sorted(r.sample(range(86_400), 150))}
+    rows = [(k, i, s) for k, own in times.items() for i, s in enumerate(own)]
+    df = spark.createDataFrame(rows, "sat int, det_id int, s long").selectExpr("sat", "det_id", "timestamp_seconds(1628121600 + s) AS t")
+    got = {(x.sat, x.det_id): x.p - 1628121600 for x in dt.group_passes(df, 20, ["sat"]).selectExpr("sat", "det_id", "cast(pass_t AS long) AS p").collect()}
+    want = {}
+    for k, own in times.items():
+        anchor = None
+        for i, s in enumerate(own):
+            anchor = s if anchor is None or s - anchor > 1200 else anchor
+            want[k, i] = anchor
+    assert got == want
