@@ -3,8 +3,10 @@
 The automaton holds every run of words of every notice. A text is streamed through it word
 by word; at each word the state gives the longest run ending there that some notice holds
 (the matching statistics). Runs that cannot be extended and have ``MIN_RUN`` words or more
-are matches; per notice, matches in order of both texts are chained over gaps of at most
-``MAX_GAP`` words. A notice is found where a chain covers ``MIN_COVER`` of its words.
+are matches. A match may stand at several places of a notice; all of them are kept. Per notice, matches in
+order of both texts are chained over gaps of at most ``MAX_GAP`` words, by the chain that covers
+most; where two matches overlap, the words count once. A notice is found where a chain covers
+``MIN_COVER`` of its words.
 
 Words outside the notices' vocabulary reset the automaton; a vectorised lookup finds the
 stretches of known words first, and only those are walked. Defined cases: null and empty
@@ -39,15 +41,15 @@ class Automaton:
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]  # per state: sequence -> one end place of its runs there
+        self.ends: list[dict[int, list[int]]] = [{}]  # per state: sequence -> all end places of its runs there
         for number, sequence in enumerate(sequences):
             last = 0
             for place, token in enumerate(sequence):
                 last = self._extend(last, token)
-                self.ends[last].setdefault(number, place)
+                self.ends[last].setdefault(number, []).append(place)
         for state in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            for number, place in self.ends[state].items():
-                self.ends[self.link[state]].setdefault(number, place)
+            for number, places in self.ends[state].items():
+                self.ends[self.link[state]].setdefault(number, []).extend(places)
 
     def _new(self, length: int, edges: dict[int, int], link: int) -> int:
         self.next.append(edges)
@@ -142,21 +144,38 @@ class Scanner:
             if b - a < MIN_RUN:
                 continue
             for end, size, state in self.automaton.matches(tokens[a:b].tolist(), MIN_RUN):
-                for number, place in self.automaton.ends[state].items():
-                    runs.setdefault(number, []).append((a + end - size + 1, place - size + 1, size))
-        out = []
-        for number, found in runs.items():
-            # A run continues the open chain if it comes after it in both texts, within the gap.
-            chain: list | None = None
-            for at, place, size in sorted(found):
-                if chain and at >= chain[1] and place >= chain[2] and at - chain[1] <= MAX_GAP:
-                    chain[1], chain[2], chain[3] = at + size, place + size, chain[3] + size
-                else:
-                    if chain:
-                        out.append((self.labels[number], chain[0], chain[1] - 1, min(1.0, chain[3] / self.sizes[number])))
-                    chain = [at, at + size, place + size, size]
-            out.append((self.labels[number], chain[0], chain[1] - 1, min(1.0, chain[3] / self.sizes[number])))
-        return out
+                for number, places in self.automaton.ends[state].items():
+                    runs.setdefault(number, []).extend((a + end - size + 1, place - size + 1, size) for place in places)
+        return [(self.labels[k], start, end - 1, min(1.0, n / self.sizes[k])) for k, found in runs.items() for start, end, n in chains(found)]
+
+
+def chains(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, words covered) of chains of (place in text, place in notice, words), best first, apart in the text."""
+    items = sorted(set(matches))
+    widest = max(size for _, _, size in items)
+    best, before, low = [], [], 0
+    for j, (at, place, size) in enumerate(items):
+        while items[low][0] + widest + MAX_GAP < at:
+            low += 1
+        top, via = size, -1
+        for i in range(low, j):
+            a, p, s = items[i]
+            if at - (a + s) > MAX_GAP or p >= place or a >= at:
+                continue
+            gain = size - max(0, a + s - at, p + s - place)
+            if gain > 0 and best[i] + gain > top:
+                top, via = best[i] + gain, i
+        best.append(top)
+        before.append(via)
+    out: list[tuple[int, int, int]] = []
+    for j in sorted(range(len(items)), key=lambda j: (-best[j], items[j])):
+        end, i = items[j][0] + items[j][2], j
+        while before[i] >= 0:
+            i = before[i]
+        start = items[i][0]
+        if all(end <= a or start >= b for a, b, _ in out):
+            out.append((start, end, best[j]))
+    return out
 
 
 _SCANNERS: list[Scanner] = []
@@ -193,9 +212,9 @@ def scan(docs: DataFrame) -> DataFrame:
             spans: list[list] = [[] for _ in range(n)]
             best = np.zeros(n)
             for d in walk.tolist():
-                chains = s.spans(tokens[first[d] : first[d + 1]])
-                best[d] = max((c[3] for c in chains), default=0.0)
-                spans[d] = [c for c in chains if c[3] >= MIN_COVER]
+                found = s.spans(tokens[first[d] : first[d + 1]])
+                best[d] = max((c[3] for c in found), default=0.0)
+                spans[d] = [c for c in found if c[3] >= MIN_COVER]
             places = [[p for p, _ in b] for b in base]
             own = [sorted({label for _, label in b}) for b in base]
             both = [sorted({*o, *(c[0] for c in x)}) for o, x in zip(own, spans)]
