@@ -40,6 +40,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
             yield batch.slice(i, j - i), buf[off[i] : off[j]], off[i : j + 1] - off[i]
             i = j
+    pa.default_memory_pool().release_unused()  # workers go on to other stages
 
 
 def mix(x: np.ndarray) -> np.ndarray:

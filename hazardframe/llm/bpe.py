@@ -74,5 +74,6 @@ def tokenised(docs: DataFrame, tokenizer_file: str) -> DataFrame:
                 [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([x.decode(errors="replace") for x in got.decoded()], pa.string())],
                 names=["doc_id", "n_tokens", "ids", "decoded"],
             )
+        e.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")

@@ -79,6 +79,11 @@ class Encoder:
         split[_APOSTROPHE] = False
         return ~inside & split
 
+    def forget(self) -> None:
+        """Give the known fragments up; a worker that goes on to other work needs the room."""
+        self.ids.clear()
+        self.decoded.clear()
+
     def fragments(self, buf: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         """All fragments as binary values, and the first fragment of each text (n + 1 values)."""
         n = len(buf)
@@ -137,8 +142,7 @@ class Encoder:
         coded = values.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.ids) > CACHE_ENTRIES:
-            self.ids.clear()
-            self.decoded.clear()
+            self.forget()
         new = [x for x in distinct if x not in self.ids]
         if new:
             self.learn(new)
