@@ -69,7 +69,8 @@ def write_geojson(features: DataFrame, path: str, batch: int = 10000) -> None:
     their partition, so equal features do not meet in one batch."""
     b = features.withColumn("_b", F.floor(F.monotonically_increasing_id() / batch))
     coll = b.groupBy("_b").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value"))
-    coll.select("value").write.text(path, lineSep="\n")
+    # A reader takes one document from a file, so no file holds two.
+    coll.select("value").write.option("maxRecordsPerFile", 1).text(path, lineSep="\n")
 
 
 def write_run(tables: dict[str, DataFrame], root: str, mode: str = "error") -> None:

@@ -13,7 +13,10 @@ from hazardframe.operators import network as net
 from hazardframe.operators import rings as rg
 from hazardframe.operators import spatial as sp
 from hazardframe.operators.cells import Grid
+from hazardframe.operators.common import scratch_path
 from hazardframe.operators.requests import validate_requests
+from hazardframe.sources import readers as rd
+from hazardframe.sources import writers as wr
 
 
 def _points(n, seed, hot):
@@ -246,3 +249,10 @@ def test_a_day_without_gaps_forms_passes(spark):
             anchor = s if anchor is None or s - anchor > 1200 else anchor
             want[k, i] = anchor
     assert got == want
+
+
+def test_features_of_many_collections_are_all_read_back(spark):
+    path = scratch_path(spark, "collections")
+    points = spark.range(0, 95, 1, 2).select("id", F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y"))
+    wr.write_geojson(wr.geojson_features(points, "x", "y"), path, batch=5)
+    assert rd.read_features(spark, path).count() == 95
