@@ -135,9 +135,8 @@ def bui(dmc_code, dc_code) -> Column:
     """Build-up index."""
     p, d = dbl(dmc_code), dbl(dc_code)
     total = p + 0.4 * d
-    share = F.when(total > 0, 0.8 * d / total)
-    low = F.coalesce(share * p, F.lit(0.0))
-    high = p - (1.0 - share) * (0.92 + F.pow(0.0114 * p, F.lit(1.7)))
+    low = F.when(total > 0, 0.8 * p * d / total).otherwise(0.0)  # in this order: exact ties of two-decimal codes hang on it
+    high = p - (1.0 - 0.8 * d / F.when(total > 0, total)) * (0.92 + F.pow(0.0114 * p, F.lit(1.7)))
     return F.when(p <= 0.4 * d, low).otherwise(high)
 
 

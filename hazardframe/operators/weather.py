@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from hazardframe.functions import fireweather as fw
 from hazardframe.functions import geo
-from hazardframe.functions.base import dbl
+from hazardframe.functions.base import dbl, round_scaled
 from hazardframe.operators.common import require_empty
 
 STATION = ["station_id"]
@@ -92,7 +92,7 @@ def daily_codes(df: DataFrame, noon_hour: int = 10, keys=STATION) -> DataFrame:
     days = series.select(*keys, F.explode(F.aggregate("s", start, step)).alias("o"))
     return days.filter("o.day is not null").select(
         *keys, F.col("o.day").alias("day"),
-        *[F.round(F.col(f"o.{c}"), 2).alias(c) for c in ("ffmc", "dmc", "dc")],
+        *[round_scaled(f"o.{c}", 2).alias(c) for c in ("ffmc", "dmc", "dc")],
     )
 
 
@@ -119,11 +119,11 @@ def fire_weather(hourly: DataFrame, daily: DataFrame, wd_fixed=None, keys=STATIO
     b = fw.bui("dmc", "dc")
     return df.select(
         *keys, "ts",
-        F.round(F.coalesce(F.col("precip_mm"), F.lit(0.0)), 2).alias("apcp"),
+        round_scaled(F.coalesce(F.col("precip_mm"), F.lit(0.0)), 2).alias("apcp"),
         F.col("temp_c").alias("tmp"), F.col("rh_pct").alias("rh"),
-        F.round("ws_kmh", 1).alias("ws"), F.bround(wd, 0).cast("long").alias("wd"),
+        round_scaled("ws_kmh", 1).alias("ws"), F.bround(wd, 0).cast("long").alias("wd"),
         "ffmc", "dmc", "dc",
-        F.round(i, 2).alias("isi"), F.round(b, 2).alias("bui"), F.round(fw.fwi(i, b), 2).alias("fwi"),
+        round_scaled(i, 2).alias("isi"), round_scaled(b, 2).alias("bui"), round_scaled(fw.fwi(i, b), 2).alias("fwi"),
     )
 
 

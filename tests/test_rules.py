@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hazardframe.functions import answers as an
+from hazardframe.functions import base
 from hazardframe.functions import fireweather as fw
 from hazardframe.functions import geo
 from hazardframe.functions import text as tx
@@ -28,6 +29,11 @@ def test_bui_is_zero_without_fuel(spark):
     assert one(spark, fw.bui(F.lit(0.0), F.lit(0.0))) == 0.0
 
 
+def test_two_decimal_ties_round_as_their_binary_values(spark):
+    bui = lambda p, d: one(spark, base.round_scaled(fw.bui(F.lit(p), F.lit(d)), 2))
+    assert (bui(0.36, 1.98), bui(0.72, 4.6)) == (0.49, 1.03)  # 0.495 and 1.035, both a little less in binary
+
+
 def test_bearing_and_wrap(spark):
     assert one(spark, geo.bearing(F.lit(1.0), F.lit(0.0))) == pytest.approx(90.0)
     assert one(spark, geo.ang_diff(F.lit(350.0), F.lit(10.0))) == pytest.approx(20.0)
