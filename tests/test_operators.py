@@ -13,7 +13,7 @@ from hazardframe.operators import network as net
 from hazardframe.operators import rings as rg
 from hazardframe.operators import spatial as sp
 from hazardframe.operators.cells import Grid
-from hazardframe.operators.common import scratch_path
+from hazardframe.operators.common import estimated_bytes, materialise, scratch_path, size_files_as_rows
 from hazardframe.operators.requests import validate_requests
 from hazardframe.sources import readers as rd
 from hazardframe.sources import writers as wr
@@ -256,3 +256,9 @@ def test_features_of_many_collections_are_all_read_back(spark):
     points = spark.range(0, 95, 1, 2).select("id", F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y"))
     wr.write_geojson(wr.geojson_features(points, "x", "y"), path, batch=5)
     assert rd.read_features(spark, path).count() == 95
+
+
+def test_packed_files_are_not_taken_for_small_tables(spark):
+    size_files_as_rows(spark)
+    df = materialise(spark.range(0, 400_000, 1, 4).selectExpr("struct(id % 7 AS k, id AS r) AS id"), "packed")
+    assert estimated_bytes(df) > 400_000 * 16  # two longs a row, though the files take a fraction of that
