@@ -74,10 +74,13 @@ def write_geojson(features: DataFrame, path: str, batch: int = 10000) -> None:
 
 
 def write_run(tables: dict[str, DataFrame], root: str, mode: str = "error") -> None:
-    """Layers of runs, partitioned by run and hour; other runs' partitions are kept."""
+    """Layers of runs, one folder per run with its rows in order of the hour; a run is written whole,
+    other runs' folders are kept. Hours are columns, not folders, so their number adds no files."""
     for name, df in tables.items():
-        parts = ["run_id"] + (["period"] if "period" in df.columns else [])
-        df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{root}/{name}")
+        hour = ["period"] if "period" in df.columns else []
+        # A run's rows meet in one task first: else every task leaves a file in nearly every folder.
+        rows = df.repartition("run_id").sortWithinPartitions("run_id", *hour)
+        rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{root}/{name}")
 
 
 def write_atomic(df: DataFrame, path: str, fmt: str = "parquet") -> str | None:

@@ -274,3 +274,12 @@ def test_components_use_whole_numbers_and_name_the_first_cell(spark, monkeypatch
         ("b", 0, 0): ("b", 0, 0), ("b", 0, 1): ("b", 0, 0), ("b", 1, 2): ("b", 0, 0), ("b", 5, 5): ("b", 5, 5),
         ("a", 1, 1): ("a", 0, 2), ("a", 0, 2): ("a", 0, 2), ("a", 0, 4): ("a", 0, 4)}
     assert met == [{"u": "bigint", "v": "bigint"}]
+
+
+def test_a_run_is_one_file_and_other_runs_are_kept(spark, tmp_path):
+    cells = spark.range(0, 400, 1, 4).selectExpr("id % 2 AS run_id", "id % 40 AS period", "id AS c")
+    wr.write_run({"cells": cells}, str(tmp_path))
+    assert len(list((tmp_path / "cells").rglob("*.parquet"))) == 2
+    wr.write_run({"cells": cells.filter("run_id = 1").withColumn("c", -F.col("c"))}, str(tmp_path), "overwrite")
+    got = [rd.read_run(spark, str(tmp_path), i, "cells", "period bigint, c bigint, run_id bigint").selectExpr("count(*)", "sum(c)").first() for i in (0, 1)]
+    assert [tuple(r) for r in got] == [(200, 39800), (200, -40000)]
