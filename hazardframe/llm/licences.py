@@ -41,21 +41,22 @@ class Automaton:
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, list[int]]] = [{}]  # per state: sequence -> all end places of its runs there
+        self.places: list[dict[int, list[int]]] = [{}]  # per state: sequence -> all end places of its runs there
         for number, sequence in enumerate(sequences):
             last = 0
             for place, token in enumerate(sequence):
                 last = self._extend(last, token)
-                self.ends[last].setdefault(number, []).append(place)
+                self.places[last].setdefault(number, []).append(place)
         for state in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            for number, places in self.ends[state].items():
-                self.ends[self.link[state]].setdefault(number, []).extend(places)
+            for number, places in self.places[state].items():
+                self.places[self.link[state]].setdefault(number, []).extend(places)
+        self.ends = [{number: places[0] for number, places in at.items()} for at in self.places]  # one of them each
 
     def _new(self, length: int, edges: dict[int, int], link: int) -> int:
         self.next.append(edges)
         self.link.append(link)
         self.length.append(length)
-        self.ends.append({})
+        self.places.append({})
         return len(self.next) - 1
 
     def _split(self, p: int, token: int, q: int) -> int:
@@ -144,7 +145,7 @@ class Scanner:
             if b - a < MIN_RUN:
                 continue
             for end, size, state in self.automaton.matches(tokens[a:b].tolist(), MIN_RUN):
-                for number, places in self.automaton.ends[state].items():
+                for number, places in self.automaton.places[state].items():
                     runs.setdefault(number, []).extend((a + end - size + 1, place - size + 1, size) for place in places)
         return [(self.labels[k], start, end - 1, min(1.0, n / self.sizes[k])) for k, found in runs.items() for start, end, n in chains(found)]
 
