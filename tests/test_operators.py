@@ -283,3 +283,16 @@ def test_a_run_is_one_file_and_other_runs_are_kept(spark, tmp_path):
     wr.write_run({"cells": cells.filter("run_id = 1").withColumn("c", -F.col("c"))}, str(tmp_path), "overwrite")
     got = [rd.read_run(spark, str(tmp_path), i, "cells", "period bigint, c bigint, run_id bigint").selectExpr("count(*)", "sum(c)").first() for i in (0, 1)]
     assert [tuple(r) for r in got] == [(200, 39800), (200, -40000)]
+
+
+def test_parts_of_a_long_narrow_network_have_few_border_nodes(spark):
+    from hazardframe.operators import overlay as ov
+
+    nodes = spark.range(10 * 400).selectExpr("id AS node_id", "CAST(id % 10 AS DOUBLE) AS x", "CAST(id DIV 10 AS DOUBLE) AS y")
+    place = {r.node: (r.part, r.grp) for r in ov.network_parts(nodes, 100, 4).collect()}
+    border = [i for i in place for j in (i + 1, i - 1, i + 10, i - 10) if j in place and abs(j % 10 - i % 10) <= 1 and place[j][0] != place[i][0]]
+    assert len(place) == 4000 and len(set(border)) < 1600
+    groups = {}
+    for part, grp in place.values():
+        groups.setdefault(part, set()).add(grp)
+    assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == 10
