@@ -296,3 +296,25 @@ def test_parts_of_a_long_narrow_network_have_few_border_nodes(spark):
     for part, grp in place.values():
         groups.setdefault(part, set()).add(grp)
     assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == 10
+
+
+def test_rings_over_many_blocks_equal_rings_of_one_block(spark, monkeypatch):
+    """Blocks of five sides: rings leave them, close inside them and start in the middle of a stretch."""
+    r = random.Random(4)
+    cells = [(run, i, j) for run in (1, 2) for i in range(14) for j in range(14) if r.random() < 0.6]
+    df = spark.createDataFrame(cells, "run_id long, r long, c long")
+    names = ["run_id", "ring_id", "seq", "n_ring", "area2", "ar", "ac", "br", "bc"]
+    rows = lambda block: sorted(map(str, rg.boundary_rings(df, exterior_only=False, block=block).select(*names).collect()))
+    assert rows(5) == rows(1 << 16)
+    # One block needs no rounds of doubling.
+    labels = []
+    inner = rg.materialise_observed
+    monkeypatch.setattr(rg, "materialise_observed", lambda d, label, **m: labels.append(label) or inner(d, label, **m))
+    got = rg.boundary_rings(df, exterior_only=False).collect()
+    assert not labels
+    ends = {}
+    for x in got:
+        ends.setdefault((x.run_id, tuple(x.ring_id)), {})[x.seq] = (x.ar, x.ac, x.br, x.bc, x.n_ring)
+    for ring in ends.values():
+        n = len(ring)
+        assert sorted(ring) == list(range(n)) and all(ring[i][4] == n and ring[i][2:4] == ring[(i + 1) % n][:2] for i in range(n))
