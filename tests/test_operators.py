@@ -318,3 +318,11 @@ def test_rings_over_many_blocks_equal_rings_of_one_block(spark, monkeypatch):
     for ring in ends.values():
         n = len(ring)
         assert sorted(ring) == list(range(n)) and all(ring[i][4] == n and ring[i][2:4] == ring[(i + 1) % n][:2] for i in range(n))
+
+
+def test_rows_are_dealt_evenly_whatever_their_splits_hold(spark):
+    from hazardframe.operators.common import spread
+
+    lopsided = spark.range(0, 4000, 1, 1).repartition(16, F.lit(0))  # as many splits as wanted, all rows in one
+    sizes = [len(p) for p in spread(lopsided, 200).rdd.glom().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 300
