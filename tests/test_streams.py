@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hazardframe.functions import fireweather as fw
 from hazardframe.operators.common import scratch_path
+from hazardframe.operators.weather import daily_codes
 from hazardframe.streaming import feeds
 
 
@@ -47,3 +48,21 @@ def test_late_detections_are_counted_and_move_no_anchor(spark):
     base = rows[1]
     assert rows == {1: base, big + 1: base, 3: base + 6000, 6: base + 6000, 4: base + 7800, 7: base + 7800}
     assert feeds.late_rows(query) == 1
+
+
+def test_streamed_codes_take_the_batch_rain_total(spark):
+    """0.7 + 1.5 + 0.6 passes the drought code's threshold of 2.8 from the left and not as an exact sum."""
+    at = lambda hour: dt.datetime(2021, 8, 5) + dt.timedelta(hours=hour)
+    rows = [(1, at(8), 0.7, 20.0, 40.0, 10.0), (1, at(9), 1.5, 20.0, 40.0, 10.0), (1, at(10), 0.6, 20.0, 40.0, 10.0), (1, at(34), 0.0, 25.0, 30.0, 12.0)]
+    schema = "station_id long, ts timestamp, precip_mm double, temp_c double, rh_pct double, ws_kmh double"
+    stream = _fed(spark, [rows, [(-1, at(24 * 40), None, None, None, None)]], schema)
+    store, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        got, _ = _run(spark, feeds.stream_codes(stream), "codes")
+    finally:
+        spark.conf.set(store, before)
+    want = daily_codes(spark.createDataFrame(rows, schema))
+    codes = ["station_id", "day", "ffmc", "dmc", "dc"]
+    assert feeds.rain_total([0.7, 1.5, 0.6]) > 2.8
+    assert sorted(got.select(codes).collect()) == sorted(want.select(codes).collect())
