@@ -2,12 +2,12 @@
 
 Features are the distinct character n-grams (bytes of the lower-cased text) of a document.
 Each is scaled by the log ratio of its smoothed frequencies in the two label classes, and a
-logistic model is trained on the scaled features. The model is fitted on a bounded sample:
-at most ``SAMPLE`` labelled rows per class, those with the least id hash, with their whole
-texts. Scoring covers every document and every byte of it.
+logistic model is trained on the scaled features. The counts and the model come from every
+labelled row that is not held out, with its whole text: rows stay in Spark, and each step of
+the training sums their gradients in tasks. Scoring covers every document and every byte of it.
 
-A feature enters the model when at least ``MIN_ROWS`` sampled positive rows hold it and its
-likelihood-ratio statistic (presence against label) is at least ``MIN_G``; at most
+A feature enters the model when at least ``MIN_ROWS`` positive rows and ``MIN_SHARE`` of them hold
+it and its likelihood-ratio statistic (presence against label) is at least ``MIN_G``; at most
 ``FEATURES`` do, the strongest first.
 
 Defined cases: null and empty texts get the model's score of no features; labels of unknown
@@ -24,25 +24,49 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hazardframe.llm.arrays import U64, lower_ascii, mix, signed, text_chunks
+from hazardframe.operators.common import materialise, small
 
 GRAMS = (4, 5, 6)
-SAMPLE, FEATURES, MIN_ROWS, MIN_G = 3000, 1 << 15, 4, 20.0
+FEATURES, MIN_ROWS, MIN_SHARE, MIN_G = 1 << 15, 4, 0.001, 20.0
 THRESHOLD = 0.7
 _TABLE_BITS = 22
-_STEPS, _RATE, _DECAY = 400, 0.5, 1e-4
+_STEPS, _MEMORY, _FLAT, _DECAY = 60, 10, 1e-5, 1e-4
 
 
-def grams(buf: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-grams that lie in one text, and their texts' rows."""
-    count = np.maximum(0, np.diff(off) - n + 1)
-    if not count.sum():
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    value = np.zeros(len(buf) - n + 1, U64)
-    for i in range(n):
-        value = (value << U64(8)) | buf[i : len(buf) - n + 1 + i].astype(U64)
-    row = np.repeat(np.arange(len(count)), count)
-    at = np.arange(int(count.sum())) + np.repeat(off[:-1] - (np.cumsum(count) - count), count)
-    return mix(value[at] | (U64(n) << U64(56))), row
+def grams(buf: np.ndarray):
+    """(n, hashes of the n bytes from every place on) for each length; some places reach into the next text."""
+    value = np.zeros(len(buf), U64)
+    for n in range(1, GRAMS[-1] + 1):
+        if len(buf) < n:
+            return
+        value = (value[: len(buf) - n + 1] << U64(8)) | buf[n - 1 :]
+        if n in GRAMS:
+            yield n, mix(value | (U64(n) << U64(56)))
+
+
+def rows_of(off: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' rows of places, and which of the places hold n bytes of one text."""
+    row = np.searchsorted(off, place, "right") - 1
+    return row, place + n <= off[row + 1]
+
+
+class Places:
+    """Places of hashes in a sorted array of distinct hashes, found from their leading bits."""
+
+    def __init__(self, known: np.ndarray):
+        self.known = np.append(known, U64((1 << 64) - 1))  # an end for the walk below
+        self.shift = U64(64 - max(1, min(22, len(known).bit_length() + 1)))
+        ends = np.searchsorted(known >> self.shift, np.arange((1 << int(U64(64) - self.shift)), dtype=U64))
+        self.first = ends.astype(np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 where it is not known."""
+        at = self.first[(h >> self.shift).astype(np.int64)].astype(np.int64)
+        open_ = np.flatnonzero(self.known[at] < h)
+        while len(open_):
+            at[open_] += 1
+            open_ = open_[self.known[at[open_]] < h[open_]]
+        return np.where((self.known[at] == h) & (at < len(self.known) - 1), at, -1)
 
 
 class Model:
@@ -58,14 +82,14 @@ class Model:
         """Distinct (row, feature) pairs of a chunk of texts."""
         if not len(self.features):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        low, pairs = lower_ascii(buf), []
-        for n in GRAMS:
-            h, row = grams(low, off, n)
-            hit = self.table[(h & U64((1 << _TABLE_BITS) - 1)).astype(np.uint32)]
-            h, row = h[hit], row[hit]
+        pairs = [np.zeros(0, np.int64)]
+        for n, h in grams(lower_ascii(buf)):
+            place = np.flatnonzero(self.table[(h & U64((1 << _TABLE_BITS) - 1)).astype(np.uint32)])
+            h = h[place]
             at = np.minimum(np.searchsorted(self.features, h), len(self.features) - 1)
             same = self.features[at] == h
-            pairs.append(row[same] * len(self.features) + at[same])
+            at, (row, whole) = at[same], rows_of(off, place[same], n)
+            pairs.append(row[whole] * len(self.features) + at[whole])
         pair = np.unique(np.concatenate(pairs))
         return pair // len(self.features), pair % len(self.features)
 
@@ -78,96 +102,163 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _counted(sample: DataFrame, wanted) -> DataFrame:
-    """(gram, p, q): sampled rows of each class that hold an n-gram; ``wanted`` limits the n-grams."""
+_COUNTS = "gram long, p long, q long"
+
+
+def _often(rows: DataFrame, least: float) -> DataFrame:
+    """n-grams that at least ``least`` of the rows hold."""
 
     def run(batches):
-        for batch, buf, off in text_chunks(batches):
-            low, rows, keys = lower_ascii(buf), [], []
-            for n in GRAMS:
-                h, row = grams(low, off, n)
-                if wanted is not None:
-                    at = np.minimum(np.searchsorted(wanted.value, h), max(0, len(wanted.value) - 1))
-                    keep = wanted.value[at] == h if len(wanted.value) else np.zeros(len(h), bool)
-                    h, row = h[keep], row[keep]
+        for _, buf, off in text_chunks(batches):
+            own = [np.zeros(0, U64)]
+            for n, h in grams(lower_ascii(buf)):
+                row, whole = rows_of(off, np.arange(len(h)), n)
+                h, row = h[whole], row[whole]
                 order = np.lexsort((h, row))
                 h, row = h[order], row[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                rows.append(row[new])
-                keys.append(h[new])
-            keys, toxic = np.concatenate(keys), batch.column("toxic").to_numpy()[np.concatenate(rows)]
-            gram, inverse = np.unique(keys, return_inverse=True)
-            p = np.bincount(inverse, toxic, len(gram)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([signed(gram), pa.array(p), pa.array(np.bincount(inverse, minlength=len(gram)) - p)], names=["gram", "p", "q"])
-
-    return sample.mapInArrow(run, "gram long, p long, q long").groupBy("gram").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+                own.append(h[new])
+            gram, p = np.unique(np.concatenate(own), return_counts=True)
+            yield pa.RecordBatch.from_arrays([signed(gram), pa.array(p.astype(np.int64))], names=["gram", "p"])
 
+    return rows.mapInArrow(run, "gram long, p long").groupBy("gram").agg(F.sum("p").alias("p")).filter(F.col("p") >= least)
 
-def training_rows(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxic", sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, toxic) of the bounded sample: at most ``sample`` labelled ids of each class, by id hash."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    return known.filter("toxic = 1").orderBy(*order).limit(sample).unionAll(known.filter("toxic = 0").orderBy(*order).limit(sample))
 
+def _counted(rows: DataFrame, wanted) -> DataFrame:
+    """(gram, p, q): labelled rows of each class that hold a wanted n-gram."""
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxic", sample: int = SAMPLE) -> Model:
+    def run(batches):
+        places = Places(wanted.value)
+        size = len(wanted.value)
+        counts, stamp = np.zeros((2, size), np.int64), np.zeros(size, np.int64)
+        for batch, buf, off in text_chunks(batches):
+            toxic, rows, found = batch.column("toxic").to_numpy(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for n, h in grams(lower_ascii(buf)):
+                at = places.find(h)
+                place = np.flatnonzero(at >= 0)
+                row, whole = rows_of(off, place, n)
+                rows.append(row[whole])
+                found.append(at[place[whole]])
+            row = np.concatenate(rows)
+            order = np.argsort(row, kind="stable")
+            at, ends = np.concatenate(found)[order], np.searchsorted(row[order], np.arange(len(off)))
+            for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+                own, number = at[a:b], np.arange(b - a)
+                stamp[own] = number  # the last place of each n-gram stands for the row
+                counts[toxic[i], own[stamp[own] == number]] += 1
+        some = np.flatnonzero(counts.sum(axis=0))
+        yield pa.RecordBatch.from_arrays([signed(wanted.value[some]), pa.array(counts[1, some]), pa.array(counts[0, some])], names=["gram", "p", "q"])
+
+    return rows.mapInArrow(run, _COUNTS).groupBy("gram").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+
+
+def training_rows(labels: DataFrame, held_out: Column, label: str = "toxic") -> DataFrame:
+    """(doc_id, toxic) of every labelled id that is not held out."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("toxic"))
+    return known.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out)
+
+
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxic") -> Model:
     """Train on rows of ``labels`` (doc_id, label) for which ``held_out`` (of doc_id) is false."""
     spark = docs.sparkSession
-    rows = training_rows(docs, labels, held_out, label, sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id").repartition(12).persist()  # 2 * sample ids are broadcast
-    try:
-        n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
-        n1, n0 = n.get(1, 0), n.get(0, 0)
-        if not n1 or not n0:
-            return Model(np.zeros(0, U64), np.zeros(0), 40.0 if n1 else -40.0)
-        # First the n-grams that positives hold often enough, then their counts in both classes.
-        often = _counted(rows.filter("toxic = 1"), None).filter(F.col("p") >= MIN_ROWS)
-        known = spark.sparkContext.broadcast(np.sort(np.array([r.gram for r in often.select("gram").toLocalIterator()], np.int64).view(U64)))
-        p, q = F.col("p") + 1.0, F.col("q") + 1.0
-        ratio = F.log((p / (n1 + 2)) / (q / (n0 + 2)))
-        seen = F.col("p") + F.col("q")
-
-        def term(part: Column, share: float) -> Column:
-            return F.when(part > 0, part * F.log(part / (seen * share))).otherwise(0.0)
-
-        g = 2 * (term(F.col("p"), n1 / (n1 + n0)) + term(F.col("q"), n0 / (n1 + n0)))
-        best = _counted(rows, known).select("gram", ratio.alias("r"), g.alias("g")).filter(F.col("g") >= MIN_G).orderBy(F.desc("g"), "gram").limit(FEATURES).collect()
-        gram, r = np.array([x.gram for x in best], np.int64).view(U64), np.array([x.r for x in best])
-        order = np.argsort(gram)
-        model, r = Model(gram, r, 0.0), r[order]
-        used = spark.sparkContext.broadcast(model)
-
-        def hits(batches):
-            for batch, buf, off in text_chunks(batches):
-                row, at = used.value.present(buf, off)
-                ends = np.searchsorted(row, np.arange(len(off)))
-                yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([at[a:b].astype(np.int32) for a, b in zip(ends[:-1], ends[1:])], pa.list_(pa.int32()))], names=["toxic", "at"])
-
-        data = rows.select("text", "toxic").mapInArrow(hits, "toxic int, at array<int>").collect()
-    finally:
-        rows.unpersist()
-    y = np.array([d.toxic for d in data], float)
-    row = np.repeat(np.arange(len(data)), [len(d["at"]) for d in data])
-    at = np.concatenate([np.array(d["at"], np.int64) for d in data]) if data else np.zeros(0, np.int64)
-    return Model(model.features, *_train(row, at, y, r))
-
-
-def _train(row: np.ndarray, at: np.ndarray, y: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression on features scaled by ``r``: full gradients with adaptive steps."""
-    share = y.mean()
-    w, bias, x = np.zeros(len(r)), float(np.log(share / (1 - share))), r[at]
-    weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) / len(y)  # both classes count alike
-    g2, gb2 = np.zeros(len(r)), 0.0
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(training_rows(labels, held_out, label)), "doc_id")
+    # Read three times; the labelled rows of a split may be few, so they are dealt out once more.
+    rows = materialise(rows.select("text", "toxic").repartition(max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))), "labelled")
+    n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    n1, n0 = n.get(1, 0), n.get(0, 0)
+    if not n1 or not n0:
+        return Model(np.zeros(0, U64), np.zeros(0), 40.0 if n1 else -40.0)
+    # First the n-grams that positives hold often enough, then their counts in both classes.
+    often = _often(rows.filter("toxic = 1"), max(MIN_ROWS, MIN_SHARE * n1))
+    known = spark.sparkContext.broadcast(np.sort(np.array([r.gram for r in often.select("gram").toLocalIterator()], np.int64).view(U64)))
+    p, q = F.col("p") + 1.0, F.col("q") + 1.0
+    ratio = F.log((p / (n1 + 2)) / (q / (n0 + 2)))
+    seen = F.col("p") + F.col("q")
+
+    def term(part: Column, share: float) -> Column:
+        return F.when(part > 0, part * F.log(part / (seen * share))).otherwise(0.0)
+
+    g = 2 * (term(F.col("p"), n1 / (n1 + n0)) + term(F.col("q"), n0 / (n1 + n0)))
+    best = _counted(rows, known).select("gram", ratio.alias("r"), g.alias("g")).filter(F.col("g") >= MIN_G).orderBy(F.desc("g"), "gram").limit(FEATURES).collect()
+    known.unpersist()
+    gram, r = np.array([x.gram for x in best], np.int64).view(U64), np.array([x.r for x in best])
+    order = np.argsort(gram)
+    model, r = Model(gram, r, 0.0), r[order]
+    used = spark.sparkContext.broadcast(model)
+
+    def hits(batches):
+        for batch, buf, off in text_chunks(batches):
+            row, at = used.value.present(buf, off)
+            ends = np.searchsorted(row, np.arange(len(off)))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([at[a:b].astype(np.int32).tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())], names=["toxic", "at"])
+
+    data = materialise(rows.mapInArrow(hits, "toxic int, at binary"), "features")
+    return Model(model.features, *_train(data, r, n1, n0))
+
+
+def _loss(data: DataFrame, w: np.ndarray, r: np.ndarray, bias: float, n1: int, n0: int) -> tuple[float, np.ndarray]:
+    """Loss of all rows, both classes counting alike, and its gradient (bias last); one short row a task comes back."""
+    sent = data.sparkSession.sparkContext.broadcast(w * r)
+
+    def part(batches):
+        v = sent.value
+        loss, out = 0.0, np.zeros(len(v) + 1)
+        for batch in batches:
+            y = batch.column("toxic").to_numpy()
+            held = batch.column("at").to_pylist()
+            row, at = np.repeat(np.arange(len(y)), [len(x) // 4 for x in held]), np.frombuffer(b"".join(held), np.int32)
+            z = np.bincount(row, v[at], minlength=len(y)) + bias
+            weight = np.where(y > 0, 0.5 / n1, 0.5 / n0)
+            loss += float((weight * np.logaddexp(0.0, np.where(y > 0, -z, z))).sum())
+            e = (_sigmoid(z) - y) * weight
+            out[:-1] += np.bincount(at, e[row], minlength=len(v))
+            out[-1] += e.sum()
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([out.tobytes()], pa.binary())], names=["loss", "g"])
+
+    total, gradient = 0.0, np.zeros(len(r) + 1)
+    for x in data.mapInArrow(part, "loss double, g binary").collect():
+        total += x.loss
+        gradient += np.frombuffer(x.g)
+    sent.unpersist()
+    gradient[:-1] = gradient[:-1] * r + _DECAY * w
+    return total + 0.5 * _DECAY * float(w @ w), gradient
+
+
+def _train(data: DataFrame, r: np.ndarray, n1: int, n0: int) -> tuple[np.ndarray, float]:
+    """Logistic regression on features scaled by ``r``: limited-memory quasi-Newton steps on full gradients."""
+    x = np.zeros(len(r) + 1)
+    f, g = _loss(data, x[:-1], r, 0.0, n1, n0)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(_STEPS):
-        p = _sigmoid(np.bincount(row, w[at] * x, minlength=len(y)) + bias)
-        e = (p - y) * weight
-        g = np.bincount(at, e[row] * x, minlength=len(r)) + _DECAY * w
-        gb = e.sum()
-        g2, gb2 = g2 + g * g, gb2 + gb * gb
-        w -= _RATE * 0.1 * g / np.sqrt(g2 + 1e-12)
-        bias -= _RATE * gb / np.sqrt(gb2 + 1e-12)
-    return w * r, bias
+        if np.abs(g).max() <= _FLAT:
+            break
+        d, back = -g, []
+        for s, y in reversed(pairs):
+            a = (s @ d) / (s @ y)
+            d = d - a * y
+            back.append(a)
+        if pairs:
+            s, y = pairs[-1]
+            d = d * ((s @ y) / (y @ y))
+        else:
+            d = d / max(1.0, float(np.linalg.norm(g)))
+        for (s, y), a in zip(pairs, reversed(back)):
+            d = d + s * (a - (y @ d) / (s @ y))
+        step, slope = 1.0, float(g @ d)
+        while True:
+            new = x + step * d
+            f1, g1 = _loss(data, new[:-1], r, float(new[-1]), n1, n0)
+            if f1 <= f + 1e-4 * step * slope or step < 1e-6:
+                break
+            step /= 2
+        if f1 >= f:
+            break
+        s, y = new - x, g1 - g
+        if s @ y > 1e-12 * (y @ y):
+            pairs = [*pairs, (s, y)][-_MEMORY:]
+        x, f, g = new, f1, g1
+    return x[:-1] * r, float(x[-1])
 
 
 def is_held_out(doc_id: str = "doc_id") -> Column:

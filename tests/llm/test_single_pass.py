@@ -7,6 +7,8 @@ import zipfile
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from hazardframe.llm import fingerprints, latent, licences, store, toxicity, warc
 from hazardframe.llm.arrays import hash_bytes
 from tests.llm import brute
@@ -225,6 +227,18 @@ def test_toxicity_is_learnt(spark, frame):
     assert toxicity.scores(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_counts_every_labelled_row(spark):
+    """Half the clean rows hold the toxic word, and those with the least id hashes do not."""
+    ids = [r.id for r in spark.range(6000).orderBy(F.xxhash64("id"), "id").collect()]
+    rows = [(i, "plain words only" if n < 3000 else "some loathsome words") for n, i in enumerate(ids)]
+    rows += [(i, "some loathsome words") for i in range(6000, 6100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = docs.select("doc_id", (F.col("doc_id") >= 6000).cast("int").alias("toxic"))
+    model = toxicity.fit(docs, marks, F.lit(False))
+    got = toxicity.scores(docs.filter("doc_id >= 6000"), model).agg({"score": "max"}).first()[0]
+    assert 0.5 < got < 0.7  # all toxic rows against half the clean ones; 1 were the clean ones with the word left out
+
+
 def _crc(i: int) -> int:
     import zlib
 
