@@ -326,3 +326,28 @@ def test_rows_are_dealt_evenly_whatever_their_splits_hold(spark):
     lopsided = spark.range(0, 4000, 1, 1).repartition(16, F.lit(0))  # as many splits as wanted, all rows in one
     sizes = [len(p) for p in spread(lopsided, 200).rdd.glom().collect()]
     assert sum(sizes) == 4000 and max(sizes) <= 300
+
+
+def test_points_in_rings_against_every_pair(spark, monkeypatch):
+    """Rings with many and few segments in a band, buckets wholly inside, points on sides and corners."""
+    monkeypatch.setattr(sp, "RING_SEGMENTS", 8)
+    r, rings = random.Random(11), {}
+    for k in range(14):
+        cx, cy, size, n = r.uniform(-900, 900), r.uniform(-900, 900), r.uniform(30, 900), r.choice([3, 4, 7, 40])
+        rings[k] = [(cx + size * r.uniform(0.4, 1) * math.cos(2 * math.pi * i / n), cy + size * r.uniform(0.4, 1) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    rings[20] = [(-500.0, -500.0), (500.0, -500.0), (500.0, 500.0), (-500.0, 500.0)]
+    segs = [(k, *a, *b) for k, ring in rings.items() for a, b in zip(ring, [*ring[1:], ring[0]])]
+    points = [(i, r.uniform(-1200, 1200), r.uniform(-1200, 1200)) for i in range(300)] + [(1000, 500.0, 0.0), (1001, 500.0, 500.0), (1002, 0.0, -500.0), (1003, 250.0, 250.0), (1004, 0.0, 0.0)]
+
+    def inside(x, y, ring):
+        odd = False
+        for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]]):
+            if (y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1):
+                odd = not odd
+            if min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2) and (x2 - x1) * (y - y1) == (x - x1) * (y2 - y1):
+                return False
+        return odd
+
+    want = sorted((i, k) for i, x, y in points for k, ring in rings.items() if inside(x, y, ring))
+    got = sp.points_in_rings(spark.createDataFrame(points, "id int, x double, y double"), spark.createDataFrame(segs, "ring_id int, x1 double, y1 double, x2 double, y2 double"), "id", 200.0)
+    assert sorted((x.id, x.ring_id) for x in got.collect()) == want
