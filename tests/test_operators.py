@@ -10,10 +10,11 @@ from hazardframe.operators import cells as cl
 from hazardframe.operators import components as cc
 from hazardframe.operators import detections as dt
 from hazardframe.operators import network as net
+from hazardframe.operators import overlay as ov
 from hazardframe.operators import rings as rg
 from hazardframe.operators import spatial as sp
 from hazardframe.operators.cells import Grid
-from hazardframe.operators.common import estimated_bytes, materialise, scratch_path, size_files_as_rows
+from hazardframe.operators.common import CREATED, estimated_bytes, materialise, scratch_path, size_files_as_rows
 from hazardframe.operators.requests import validate_requests
 from hazardframe.sources import readers as rd
 from hazardframe.sources import writers as wr
@@ -351,3 +352,18 @@ def test_points_in_rings_against_every_pair(spark, monkeypatch):
     want = sorted((i, k) for i, x, y in points for k, ring in rings.items() if inside(x, y, ring))
     got = sp.points_in_rings(spark.createDataFrame(points, "id int, x double, y double"), spark.createDataFrame(segs, "ring_id int, x1 double, y1 double, x2 double, y2 double"), "id", 200.0)
     assert sorted((x.id, x.ring_id) for x in got.collect()) == want
+
+
+def test_shortest_path_of_many_hops_in_few_rounds(spark, monkeypatch):
+    """A long ladder with equal ways and a detour; its hops are many times the tables written."""
+    monkeypatch.setattr(ov, "PART_NODES", 60)
+    n = 600
+    links = [(i, i + 2, 0, 10.0) for i in range(2 * n - 2)] + [(i, i + 1, 0, 1.0) for i in range(0, 2 * n, 2)] + [(0, 2, 1, 9.5), (5, 1, 0, 1.0)]
+    edges = spark.createDataFrame(links, "u long, v long, key long, length_m double")
+    nodes = spark.createDataFrame([(i, float(i % 2), float(i // 2)) for i in range(2 * n)] + [(9999, 5.0, 5.0)], "node_id long, x double, y double")
+    before = len(CREATED)
+    got = ov.shortest_path(edges, nodes, 0, 2 * n - 1).orderBy("seq").collect()
+    assert [x.seq for x in got] == list(range(n)) and got[0].u == 0 and got[-1].v == 2 * n - 1
+    assert all(a.v == b.u for a, b in zip(got, got[1:])) and sum(x.length_m for x in got) == 9.5 + 10.0 * (n - 2) + 1.0
+    assert len(CREATED) - before < n / 6
+    assert ov.shortest_path(edges, nodes, 9999, 2 * n - 1).count() == 0
