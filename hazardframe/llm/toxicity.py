@@ -69,12 +69,25 @@ class Places:
         return np.where((self.known[at] == h) & (at < len(self.known) - 1), at, -1)
 
 
+def by_row(rows: list[np.ndarray], found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    row = np.concatenate(rows)
+    order = np.argsort(row, kind="stable")
+    return row[order], np.concatenate(found)[order]
+
+
+def last_places(own: np.ndarray, stamp: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """One place of each distinct value: the last to write its number there."""
+    stamp[own] = numbers
+    return stamp[own] == numbers
+
+
 class Model:
     """Sorted feature hashes with weights, a table that rejects most other n-grams, a bias."""
 
     def __init__(self, features: np.ndarray, weights: np.ndarray, bias: float):
         order = np.argsort(features)
         self.features, self.weights, self.bias = features[order], weights[order], bias
+        self.places = Places(self.features)
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[(self.features & U64((1 << _TABLE_BITS) - 1)).astype(np.int64)] = True
 
@@ -82,16 +95,21 @@ class Model:
         """Distinct (row, feature) pairs of a chunk of texts."""
         if not len(self.features):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pairs = [np.zeros(0, np.int64)]
+        rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for n, h in grams(lower_ascii(buf)):
             place = np.flatnonzero(self.table[(h & U64((1 << _TABLE_BITS) - 1)).astype(np.uint32)])
-            h = h[place]
-            at = np.minimum(np.searchsorted(self.features, h), len(self.features) - 1)
-            same = self.features[at] == h
+            at = self.places.find(h[place])
+            same = at >= 0
             at, (row, whole) = at[same], rows_of(off, place[same], n)
-            pairs.append(row[whole] * len(self.features) + at[whole])
-        pair = np.unique(np.concatenate(pairs))
-        return pair // len(self.features), pair % len(self.features)
+            rows.append(row[whole])
+            found.append(at[whole])
+        row, at = by_row(rows, found)
+        kept = np.zeros(len(at), bool)
+        ends = np.searchsorted(row, np.arange(len(off)))
+        stamp, numbers = np.zeros(len(self.features), np.int64), np.arange(len(at))
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            kept[a:b] = last_places(at[a:b], stamp, numbers[: b - a])
+        return row[kept], at[kept]
 
     def score(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         row, at = self.present(buf, off)
@@ -140,13 +158,11 @@ def _counted(rows: DataFrame, wanted) -> DataFrame:
                 row, whole = rows_of(off, place, n)
                 rows.append(row[whole])
                 found.append(at[place[whole]])
-            row = np.concatenate(rows)
-            order = np.argsort(row, kind="stable")
-            at, ends = np.concatenate(found)[order], np.searchsorted(row[order], np.arange(len(off)))
-            for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
-                own, number = at[a:b], np.arange(b - a)
-                stamp[own] = number  # the last place of each n-gram stands for the row
-                counts[toxic[i], own[stamp[own] == number]] += 1
+            row, at = by_row(rows, found)
+            ends, numbers = np.searchsorted(row, np.arange(len(off))), np.arange(len(at))
+            for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                own = at[a:b]
+                counts[toxic[i], own[last_places(own, stamp, numbers[: b - a])]] += 1
         some = np.flatnonzero(counts.sum(axis=0))
         yield pa.RecordBatch.from_arrays([signed(wanted.value[some]), pa.array(counts[1, some]), pa.array(counts[0, some])], names=["gram", "p", "q"])
 
