@@ -43,6 +43,17 @@ def test_nearest_matches_brute_force(spark):
     assert {r["id"]: r["tid"] for r in sp.nearest(left, right, ["id"]).collect()} == want
 
 
+def test_nearest_of_crowded_places_and_of_points_without_a_place(spark, monkeypatch):
+    """Targets beyond one list, points that share a place, ties, and a null place, which was searched without end."""
+    monkeypatch.setattr(sp, "LIST_TARGETS", 3)
+    at = [(i, float(i % 4), float(i % 3)) for i in range(60)]
+    right = spark.createDataFrame([(i, x + 0.25, y) for i, x, y in at], "tid long, x double, y double")
+    left = spark.createDataFrame([*at, (98, 500.0, -70.0), (99, None, 1.0)], "id long, x double, y double")
+    want = {i: min((math.hypot(x - a - 0.25, y - b), t) for t, a, b in at)[1] for i, x, y in [*at, (98, 500.0, -70.0)]}
+    got = sp.nearest(left, right, ["id"]).collect()
+    assert {r["id"]: r["tid"] for r in got} == want and len(got) == 61
+
+
 def test_fronts_are_transitive_and_inclusive(spark):
     pins = spark.createDataFrame([(1, 0.0, 0.0), (2, 375.0, 0.0), (3, 750.0, 0.0), (4, 1126.0, 0.0)], "pin_id long, x double, y double")
     assert {r["pin_id"]: r["front"] for r in cc.front_components(pins).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
