@@ -99,17 +99,21 @@ def read_features(spark: SparkSession, path: str, where: str | None = None) -> D
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, x, y) and edges (u, v, key, length, highway) of GraphML files.
 
-    Attribute keys are resolved through the file's own key declarations.
+    Attribute keys are resolved through the files' key declarations; a node or edge without
+    attributes keeps its row. A file is parsed by one task, so a large network comes in several files.
     """
     def table(tag: str, schema: str) -> DataFrame:
         return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
 
     keys = table("key", "_id string, `_attr.name` string, _for string").select(F.col("_id").alias("k"), F.col("`_attr.name`").alias("name"), F.col("_for").alias("of")).distinct()
-    named = {of: F.broadcast(keys.filter(F.col("of") == of).select("k", "name")) for of in ("node", "edge")}
 
     def wide(df: DataFrame, of: str, ids: list[str], cols: list[str]) -> DataFrame:
-        d = df.select(*ids, F.explode("data").alias("d")).select(*ids, F.col("d._key").alias("k"), F.col("d._VALUE").alias("val")).join(named[of], "k")
-        return d.groupBy(*ids).agg(*[F.max(F.when(F.col("name") == c, F.regexp_replace("val", r"[\[\]']", ""))).alias(c) for c in cols])
+        """One row per id with its attributes, looked up in the row itself. Rows leave the task that parsed their file before they are grouped."""
+        names = keys.filter(F.col("of") == of).agg(*[F.collect_set(F.when(F.col("name") == c, F.col("k"))).alias(f"_{c}") for c in cols])
+        d = df.crossJoin(F.broadcast(names))
+        text = lambda c: F.transform(F.filter("data", lambda x: F.array_contains(F.col(f"_{c}"), x["_key"])), lambda x: F.regexp_replace(x["_VALUE"], r"[\[\]']", ""))
+        d = d.select(*ids, *[F.array_max(text(c)).alias(c) for c in cols])
+        return d.repartition(*ids).groupBy(*ids).agg(*[F.max(c).alias(c) for c in cols])
 
     data = "data array<struct<_VALUE:string,_key:string>>"
     n = wide(table("node", f"_id bigint, {data}").withColumnRenamed("_id", "node_id"), "node", ["node_id"], ["x", "y"])

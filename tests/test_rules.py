@@ -9,6 +9,7 @@ from hazardframe.functions import fireweather as fw
 from hazardframe.functions import geo
 from hazardframe.functions import text as tx
 from hazardframe.operators import runs as rn
+from hazardframe.sources import readers as rd
 
 
 def one(spark, col):
@@ -105,3 +106,13 @@ def test_negated_family_is_not_flagged(spark):
     p = tx.NOTE_FAMILIES["fabricated_geography"]
     df = spark.createDataFrame([("No invented settlement",), ("an invented settlement",), ("invented road: none",)], "n string")
     assert [r[0] > 0 for r in df.select(tx.flagged("n", p)).collect()] == [False, True, False]
+
+
+def test_graphml_comes_in_files_with_own_ends_and_keeps_edges_without_attributes(spark, tmp_path):
+    """A file with keys, one that repeats none of them, and an edge and a node without data, which were dropped."""
+    keys = '<key id="d0" for="node" attr.name="x" attr.type="string"/><key id="d1" for="edge" attr.name="length" attr.type="string"/>'
+    (tmp_path / "a.graphml").write_text(f'<graphml>\n{keys}\n<graph>\n<node id="1"><data key="d0">2.5</data></node>\n<node id="2"/>\n<edge source="1" target="2" id="0"><data key="d1">7</data></edge>\n</graph></graphml>')
+    (tmp_path / "b.graphml").write_text('<graphml>\n<graph>\n<edge source="2" target="1" id="0"/>\n</graph></graphml>')
+    nodes, edges = rd.read_graphml(spark, str(tmp_path))
+    assert sorted((r["node_id"], r["x"]) for r in nodes.collect()) == [(1, 2.5), (2, None)]
+    assert sorted((r["u"], r["v"], r["length"] or 0) for r in edges.collect()) == [(1, 2, 7.0), (2, 1, 0)]
