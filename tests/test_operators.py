@@ -54,6 +54,21 @@ def test_nearest_of_crowded_places_and_of_points_without_a_place(spark, monkeypa
     assert {r["id"]: r["tid"] for r in got} == want and len(got) == 61
 
 
+def test_blocked_zone_across_tiles_matches_brute_force(spark, monkeypatch):
+    """A filled block with later and missing cells, cut by tiles narrower than the reach, and two runs."""
+    monkeypatch.setattr(cl, "TILE", 2)
+    fire = {(k, r, c): (r * 3 + c + k) % 4 for k in (0, 1) for r in range(-3, 5) for c in range(6) if (r * 5 + c * 3 + k) % 7}
+    width = {(r, c): 100.0 + (r * 7 + c * 11) % 6 * 100 for r in range(-6, 8) for c in range(-3, 9)}
+    want = {}
+    for (k, r, c), hour in fire.items():
+        for (r2, c2), w in width.items():
+            if 200 * math.hypot(r - r2, c - c2) <= w:
+                want[k, r2, c2] = min(hour, want.get((k, r2, c2), hour))
+    f = spark.createDataFrame([(*k, h) for k, h in fire.items()], "run_id long, r long, c long, arrival long")
+    w = spark.createDataFrame([(*k, m) for k, m in width.items()], "r long, c long, width_m double")
+    assert {(x["run_id"], x["r"], x["c"]): x["arrival"] for x in cl.blocked_zone(f, w, 200.0).collect()} == want
+
+
 def test_fronts_are_transitive_and_inclusive(spark):
     pins = spark.createDataFrame([(1, 0.0, 0.0), (2, 375.0, 0.0), (3, 750.0, 0.0), (4, 1126.0, 0.0)], "pin_id long, x double, y double")
     assert {r["pin_id"]: r["front"] for r in cc.front_components(pins).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
