@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from hazardframe.llm import latent
@@ -59,3 +60,43 @@ def test_pairs_equal_exhaustive_search(spark, monkeypatch, parts):
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     got = latent.contaminated(frame, spark.createDataFrame(items, "item_id long, text string, answer string"), "answer")
     assert {(x.doc_id, x.item_id) for x in got.collect()} == pairs(docs, items)
+
+
+def test_common_words_before_the_rare_ones_count(spark):
+    """An item whose rare words all stand blocks after its common ones, far from it in the space: the window starts before them."""
+    r = random.Random(5)
+    common, rare = [f"c{i}" for i in range(36)], [[f"r{k}x{i}" for i in range(12)] for k in range(6)]
+    items = [(k, " ".join(r.sample(common, 36) + rare[k]), None) for k in range(6)]
+    docs = [(d, " ".join(common[::-1])) for d in range(40)]
+    for k in range(6):
+        own, drown = items[k][1].split(), f"r{(k + 1) % 6}x0"
+        for d, gap in ((100, 0), (200, 1), (300, 7)):  # blocks of other words between the common and the rare ones
+            blocks = [own[:18] + [drown] * 14, own[18:36] + [drown] * 14, *[["other"] * 32] * gap, own[36:] + [drown] * 20]
+            docs.append((d + k, " ".join(w for b in [["other"] * 32] * k + blocks + [["other"] * 32] * (k % 3) for w in b)))
+    got = latent.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id long, text string, answer string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got if x.doc_id >= 100} == {(d + k, k) for d in (100, 200) for k in range(6)}
+    assert all(x.lcs_share == 1.0 and x.cosine < latent.MIN_COSINE for x in got if x.doc_id >= 100)
+
+
+def test_rare_windows_are_all_windows_with_enough_weight(monkeypatch):
+    r = np.random.default_rng(3)
+    weight = r.uniform(0.1, 3.0, 30)
+    own = [r.choice(30, int(n), replace=False) for n in r.integers(3, 70, 12).clip(3, 25)]
+    reaches = np.array([1, 1, 2, 3] * 3)
+    items = type("Held", (), {"terms": own})
+    counts = r.integers(0, 4, 400)
+    terms, blocks = r.integers(0, 30, counts.sum()), np.array([0, 1, 1, 9, 40, 44, 200, 400])
+    row = np.repeat(np.arange(400), counts)
+    postings = latent.rarest(items, weight)
+    first, item, w, need = postings
+    want = set()
+    for i, reach in enumerate(reaches.tolist()):
+        rare = {t: w[at] for t in range(30) for at in range(first[t], first[t + 1]) if item[at] == i}
+        held = [sum(rare.get(t, 0.0) for t in set(terms[row == b].tolist())) for b in range(400)]
+        for a, z in zip(blocks[:-1].tolist(), blocks[1:].tolist()):
+            want |= {(i, s) for s in range(a, max(a, z - 2 - 2 * reach) + (z > a)) if sum(held[s : min(z, s + 2 + 2 * reach)]) >= need[i]}
+    for run in (latent.RUN, 40):
+        monkeypatch.setattr(latent, "RUN", run)
+        least, last, found = latent._rare_windows(terms, row, blocks, postings, reaches)
+        assert {(i, s) for a, b, i in zip(least.tolist(), last.tolist(), found.tolist()) for s in range(a, b + 1)} == want
+    assert want
