@@ -100,3 +100,20 @@ def test_rare_windows_are_all_windows_with_enough_weight(monkeypatch):
         least, last, found = latent._rare_windows(terms, row, blocks, postings, reaches)
         assert {(i, s) for a, b, i in zip(least.tolist(), last.tolist(), found.tolist()) for s in range(a, b + 1)} == want
     assert want
+
+
+def test_space_is_fitted_on_every_passage(spark):
+    """Against the eigenvectors of all blocks' term counts; ``n_passages`` weighs the items and leaves no row out."""
+    r, n_passages = random.Random(9), 2_000_000
+    items = latent.Items([{"item_id": 1, "text": "a b c d e f", "answer": None}])
+    words = [[r.choice("aabbbcdddddefffxyz") for _ in range(r.randint(1, 80))] for _ in range(600)]
+    rows = latent.as_terms(spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(words)], "doc_id long, text string").repartition(3), items)
+    idf = np.array([1.0, 1.5, 0.7, 2.0, 1.2, 0.9])
+    place = {int(h): i for i, h in enumerate(items.vocabulary)}
+    at = {w: place[int(latent.Items._hashes(w)[0])] for w in "abcdef"}
+    blocks = [w[i : i + latent.BLOCK] for w in words for i in range(0, len(w), latent.BLOCK)]
+    counts = np.array([[sum(at.get(x) == k for x in b) for k in range(6)] for b in blocks], float) * idf
+    own = np.ones(6) * idf
+    _, want = np.linalg.eigh(counts.T @ counts + n_passages * np.outer(own, own))
+    got = latent.fit(rows, items, idf, n_passages)
+    assert np.allclose(np.abs(got.T @ want[:, ::-1]), np.eye(6), atol=2e-3)
