@@ -131,9 +131,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     part, n = id_ranges(docs, max(1, round(input_bytes(docs) / RANGE_BYTES)))
     firsts = docs.select(part.alias("part"), "doc_id").groupBy("part").agg(F.min(F.struct("doc_id")).alias("least")).orderBy("part").collect()
-    target = F.lit(None).cast("int")
+    least, before = [None] * n, [0] * n
     for i, r in enumerate(firsts):
-        target = F.when(F.col("doc_id").eqNullSafe(F.lit(r.least.doc_id).cast("long")), F.lit(firsts[i - 1].part)).otherwise(target)
+        least[r.part], before[r.part] = r.least.doc_id, firsts[i - 1].part
+    of_part = lambda values, kind: F.element_at(F.array(*[F.lit(x).cast(kind) for x in values]), part + 1)
+    target = F.when(F.col("doc_id").eqNullSafe(of_part(least, "long")), of_part(before, "int"))
     own = F.struct(part.alias("part"), F.lit(False).alias("is_tail"))
     rows = docs.select(F.explode(F.filter(F.array(own, F.struct(target.alias("part"), F.lit(True).alias("is_tail"))), lambda x: x["part"].isNotNull())).alias("to"), "doc_id", "text")
     rows = rows.select("to.part", "to.is_tail", "doc_id", "text").repartitionById(n, F.col("part"))

@@ -43,10 +43,16 @@ def id_ranges(docs: DataFrame, n: int, id_col: str = "doc_id") -> tuple[Column,
     """A column that gives each row its range of ids (0 to n - 1, in order), and n."""
     cuts = docs.select(F.col(id_col).cast("double").alias("x")).approxQuantile("x", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
     cuts = sorted({int(c) for c in cuts})
-    at = F.lit(0)
-    for i in range(len(cuts)):  # a balanced chain of comparisons would be shorter; the list has one entry per shard
-        at = at + (F.col(id_col) > cuts[i]).cast("int")
-    return F.coalesce(at, F.lit(0)), len(cuts) + 1
+    if not cuts:
+        return F.lit(0), 1
+    listed, steps = F.array(*[F.lit(c).cast("long") for c in cuts]), [1 << i for i in reversed(range(len(cuts).bit_length()))]
+
+    def further(at: Column, step: Column) -> Column:
+        below = F.element_at(listed, F.least(at + step, F.lit(len(cuts)))) < F.col(id_col)
+        return F.when((at + step <= len(cuts)) & below, at + step).otherwise(at)
+
+    # A binary search over one constant list: the plan is as deep for ten thousand ranges as for two.
+    return F.aggregate(F.array(*[F.lit(i) for i in steps]), F.lit(0), further), len(cuts) + 1
 
 
 class Shard:

@@ -91,6 +91,22 @@ def test_repeated_and_null_ids_have_successors(frame):
     assert fingerprints.edited_report(frame(rows).limit(0)).count() == 0
 
 
+def test_successors_over_a_thousand_ranges(spark, monkeypatch):
+    """One plan node per range is too deep a plan."""
+    docs = spark.createDataFrame([(None, "x")] + [(7 * i, f"text {i}") for i in range(3000)], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(fingerprints, "input_bytes", lambda _: 1000 * fingerprints.RANGE_BYTES)
+    got = fingerprints.with_next(docs).select("part", "is_tail", "doc_id").collect()
+    own = {r.doc_id: r.part for r in got if not r.is_tail}
+    assert len(own) == 3001 and max(own.values()) > 900 and own[None] == 0
+    order = [own[d] for d in sorted(own, key=lambda d: -1 if d is None else d)]
+    assert order == sorted(order)
+    firsts = {}
+    for d in sorted(own, key=lambda d: -1 if d is None else d):
+        firsts.setdefault(own[d], d)
+    parts = sorted(firsts)
+    assert {(r.part, r.doc_id) for r in got if r.is_tail} == {(parts[i - 1], firsts[p]) for i, p in enumerate(parts)}
+
+
 def test_merged_fingerprints(spark, frame):
     text = words(1, 800)
     parts = frame([(i, " ".join(text.split()[i * 100 : i * 100 + 104])) for i in range(8)])
