@@ -6,12 +6,14 @@ denominator and what was left out of it.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hazardframe.functions.base import col
-from hazardframe.operators.common import global_rank, require_empty, small
+from hazardframe.operators.common import TASK_ROWS, global_rank, require_empty, small, spread
 
 CASE = "case_id"
 
@@ -257,29 +259,99 @@ def agreement(p1: DataFrame, p2: DataFrame, questions: list[str], key: str = "re
     )
 
 
+#: ``mix`` goes from x to ((x * _MIX_A + part * _MIX_B + _MIX_C) * _MIX_D) modulo this prime.
+_PRIME, _MIX_A, _MIX_B, _MIX_C, _MIX_D = 2147483647, 48271, 69621, 12345, 16807
+
+
 def mix(*parts) -> Column:
     """Integer mixing of long columns (two multiplicative steps), for repeatable draws."""
-    m = 2147483647
     out = F.lit(0).cast("long")
     for p in parts:
-        out = F.pmod((out * 48271 + F.pmod(col(p).cast("long"), F.lit(m)) * 69621 + 12345), F.lit(m))
-        out = F.pmod(out * 16807, F.lit(m))
+        out = F.pmod((out * _MIX_A + F.pmod(col(p).cast("long"), F.lit(_PRIME)) * _MIX_B + _MIX_C), F.lit(_PRIME))
+        out = F.pmod(out * _MIX_D, F.lit(_PRIME))
     return out
 
 
+#: Up to so many cases, a table of them goes to every task. Places that a task looks at together.
+TABLE_CASES, PLACES = 1 << 17, 1 << 20
+
+
+def _sums_of_draws(per: DataFrame, n: int, draws: int, seed: int) -> list[tuple[int, int, int]]:
+    """(draw, num, den): sums over the ``n`` cases that each draw picks, case ``mix(seed, draw, k) % n`` for each k below n.
+
+    ``mix`` adds the same step to its value for each further k. Counted in such steps round the prime, a draw is one
+    stretch of places, and stretches of several draws overlap: each stretch between two draws' ends is summed once, so
+    the work is at most one look at every place, whatever the number of draws times cases. Few cases are looked up
+    place by place; of many, each finds the places at which it stands, so no task holds more than its own cases.
+    """
+    spark, step = per.sparkSession, _MIX_B * _MIX_D % _PRIME
+    back, turns, width = pow(step, -1, _PRIME), *divmod(n, _PRIME)
+    of_seed = (seed % _PRIME * _MIX_B + _MIX_C) % _PRIME * _MIX_D % _PRIME
+    of_draw = (of_seed * _MIX_A + np.arange(draws, dtype=np.int64) % _PRIME * _MIX_B + _MIX_C) % _PRIME * _MIX_D % _PRIME
+    start = (of_draw * _MIX_A + _MIX_C) % _PRIME * _MIX_D % _PRIME * back % _PRIME
+    end = (start + width) % _PRIME
+    wraps = start + width >= _PRIME
+    cuts = np.unique(np.concatenate([[0], start, end]))
+    first, last = np.searchsorted(cuts, start), np.searchsorted(cuts, end)
+
+    if n <= TABLE_CASES:
+        covered = np.zeros(len(cuts) + 1, np.int64)
+        np.add.at(covered, first, 1)
+        np.add.at(covered, last, -1)
+        covered = np.cumsum(covered)[:-1] + wraps.sum() > 0
+        parts = [(i, x, min(x + PLACES, b)) for i, a, b in zip(np.flatnonzero(covered).tolist(), cuts[covered].tolist(), np.append(cuts[1:], _PRIME)[covered].tolist()) for x in range(a, b, PLACES)]
+        table = np.zeros((2, n), np.int64)
+        case, *both = (c.to_numpy() for c in per.select("_i", "num", "den").toArrow().columns)  # at most TABLE_CASES rows
+        table[:, case] = both
+        held = spark.sparkContext.broadcast(table)
+
+        def run(batches):
+            for batch in batches:
+                own = [(i, *held.value[:, np.arange(a, b) * step % _PRIME % n].sum(axis=1).tolist()) for i, a, b in zip(*(c.to_pylist() for c in batch.columns))]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in own], pa.int64()) for k in range(3)], names=["part", "num", "den"])
+
+        tasks = max(1, min(len(parts), 4 * spark.sparkContext.defaultParallelism))
+        rows = spark.createDataFrame(parts, "part long, a long, b long").repartition(tasks)
+    else:
+        shift = max(0, _PRIME.bit_length() - 20)
+        bounds = np.searchsorted(cuts, np.arange((_PRIME >> shift) + 2, dtype=np.int64) << shift, "right") - 1
+
+        def run(batches):
+            sums = np.zeros((2, len(cuts)))
+            for batch in batches:
+                case, *both = (c.to_numpy() for c in batch.columns)
+                for i in range(0, len(case), max(1, PLACES * n // _PRIME)):
+                    some = slice(i, i + max(1, PLACES * n // _PRIME))
+                    value = case[some, None] + np.arange(0, _PRIME, n)[None, :]
+                    own, at = np.nonzero(value < _PRIME)
+                    place = value[own, at] * back % _PRIME
+                    part, upto = bounds[place >> shift], bounds[(place >> shift) + 1]
+                    open_ = np.flatnonzero(part != upto)  # a cut stands among the places that share a bound
+                    part[open_] = np.searchsorted(cuts, place[open_], "right") - 1
+                    for total, x in zip(sums, both):
+                        total += np.bincount(part, x[some][own], len(cuts))  # whole numbers below 2^53
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cuts))), *(pa.array(x.astype(np.int64)) for x in sums)], names=["part", "num", "den"])
+
+        rows = spread(per.select("_i", "num", "den"), max(TASK_ROWS, -(-n // 512)))
+    sums = np.zeros((2, len(cuts) + 1), np.int64)
+    for r in rows.mapInArrow(run, "part long, num long, den long").groupBy("part").agg(F.sum("num").alias("num"), F.sum("den").alias("den")).collect():  # two rows a draw at most
+        sums[:, r["part"] + 1] = r["num"], r["den"]
+    upto = np.cumsum(sums, axis=1)
+    num, den = upto[:, last] - upto[:, first] + (wraps + turns) * upto[:, -1:]
+    return list(zip(range(draws), num.tolist(), den.tolist()))
+
+
 def cluster_bootstrap(rows: DataFrame, verdict: str, draws: int = 20000, seed: int = 7, alpha: float = 0.05) -> DataFrame:
-    """Percentile interval of a rate, resampling whole cases.
+    """Percentile interval of a rate, resampling whole cases; null bounds without cases.
 
-    Cases are pre-aggregated, draws are a distributed range, picks come from integer
-    mixing; the bounds are order statistics found by rank over one number per draw.
+    Cases are pre-aggregated and numbered, picks come from integer mixing (see ``_sums_of_draws``); the
+    bounds are order statistics found by rank over one number per draw.
     """
     spark = rows.sparkSession
     per = rows.groupBy(CASE).agg(F.count_if(F.coalesce(F.col(verdict), F.lit(False))).alias("num"), F.count("*").alias("den"))
-    per = global_rank(per, [F.col(CASE)], "_r").withColumn("_i", F.col("_r") - 1)
+    per = global_rank(per, [F.col(CASE)], "_r").select((F.col("_r") - 1).cast("long").alias("_i"), "num", "den")
     n = per.count()
-    picks = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
-    picks = picks.withColumn("_i", F.pmod(mix(F.lit(seed), "draw", "k"), F.lit(n)))
-    d = picks.join(small(per), "_i").groupBy("draw").agg((F.sum("num") / F.sum("den")).alias("rate"))
+    d = spark.createDataFrame(_sums_of_draws(per, n, draws, seed) if n else [], "draw long, num long, den long").select((F.col("num") / F.col("den")).alias("rate"))
     # Few distinct rates: count them, then find the bounds by cumulative rank.
     h = d.groupBy("rate").agg(F.count("*").alias("n"))
     h = h.withColumn("hi", F.sum("n").over(W.orderBy("rate")))

@@ -12,6 +12,7 @@ from hazardframe.operators import detections as dt
 from hazardframe.operators import network as net
 from hazardframe.operators import overlay as ov
 from hazardframe.operators import rings as rg
+from hazardframe.operators import runs as rn
 from hazardframe.operators import spatial as sp
 from hazardframe.operators.cells import Grid
 from hazardframe.operators.common import CREATED, estimated_bytes, materialise, scratch_path, size_files_as_rows
@@ -393,3 +394,37 @@ def test_shortest_path_of_many_hops_in_few_rounds(spark, monkeypatch):
     assert all(a.v == b.u for a, b in zip(got, got[1:])) and sum(x.length_m for x in got) == 9.5 + 10.0 * (n - 2) + 1.0
     assert len(CREATED) - before < n / 6
     assert ov.shortest_path(edges, nodes, 9999, 2 * n - 1).count() == 0
+
+
+@pytest.mark.parametrize("table", [1 << 20, 5])
+def test_bootstrap_sums_are_those_of_the_picked_cases(spark, monkeypatch, table):
+    """Draws against their picks one by one, by a table of the cases and by each case's own places; bounded work."""
+    monkeypatch.setattr(rn, "TABLE_CASES", table)
+    monkeypatch.setattr(rn, "PLACES", 1000)
+    monkeypatch.setattr(rn, "_PRIME", 65537)  # a small prime: stretches of places wrap and overlap, and cases outnumber none or all
+    r = random.Random(4)
+    for n, draws in ((7, 3), (400, 300), (70_000, 4)):
+        cases = [(i, r.randint(0, 3), r.randint(3, 6)) for i in range(n)]
+        if table > n > 1000 or table < n < 100:
+            continue
+        got = rn._sums_of_draws(spark.createDataFrame(cases, "_i long, num long, den long").repartition(3), n, draws, 7)
+        m = 65537
+
+        def mixed(*parts):
+            x = 0
+            for p in parts:
+                x = (x * 48271 + p % m * 69621 + 12345) % m * 16807 % m
+            return x
+
+        want = []
+        for d in range(draws):
+            at = [mixed(7, d, k) % n for k in range(n)]
+            want.append((d, sum(cases[i][1] for i in at), sum(cases[i][2] for i in at)))
+        assert got == want
+
+
+def test_bootstrap_of_many_draws_and_no_cases(spark):
+    rows = spark.range(3000).select(F.concat(F.lit("c"), F.col("id") % 1000).alias("case_id"), (F.col("id") % 7 > 2).alias("ok"))
+    got = rn.cluster_bootstrap(rows, "ok", 2000, 7).first()
+    assert got.lower < 4 / 7 < got.upper and got.upper - got.lower < 0.05
+    assert tuple(rn.cluster_bootstrap(rows.limit(0), "ok", 2000, 7).first()) == (None, None)
